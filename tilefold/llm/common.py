@@ -143,3 +143,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def crc_text(value: int) -> int:
     return zlib.crc32(str(value).encode())
+
+
+@dataclass
+class Cut:
+    """Words of a slice as bytes: ``data`` without white space, where each word begins in it, and
+    the first word of each text (each with one more entry for the end)."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    first: np.ndarray
+
+    def place(self) -> np.ndarray:
+        """Position of each byte in its word."""
+        return np.arange(len(self.data)) - np.repeat(self.starts[:-1], np.diff(self.starts))
+
+    def sums(self, per_byte: np.ndarray) -> np.ndarray:
+        """Sum of a value of each byte over each word (words are never empty)."""
+        return np.add.reduceat(per_byte, self.starts[:-1]) if len(self.starts) > 1 else per_byte[:0]
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word by its bytes and their positions."""
+        return mix(self.sums(mix(((self.place().astype(np.uint64) << np.uint64(8)) | self.data) * MIX_A + MIX_B)))
+
+
+def cut_words(texts: pa.StringArray, lower: bool = False) -> Cut:
+    """All words of the texts, as bytes; ``lower`` turns A-Z into a-z first."""
+    raw, offsets = raw_bytes(texts)
+    if lower:
+        raw = _LOWER[raw]
+    inside = ~_SPACE[raw]
+    before = np.empty_like(inside)
+    before[:1] = False
+    before[1:] = inside[:-1]
+    before[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    begins = np.flatnonzero(inside & ~before)
+    data = raw[inside]
+    starts = np.append((np.cumsum(inside, dtype=np.int64) - 1)[begins], len(data)) if len(begins) else np.zeros(1, np.int64)
+    return Cut(data, starts, np.searchsorted(begins, offsets))
+
+
+def segment_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows first[i]:first[i + 1]; empty stretches give zeros."""
+    out = np.zeros((len(first) - 1, *rows.shape[1:]), rows.dtype)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(rows, first[full], axis=0)
+    return out
