@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_model, secret_scan, sentencepiece_codec, toxicity
+from . import quality_model, quality_rules, secret_scan, sentencepiece_codec, toxicity
 from .common import held_out, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
+    base_failed = F.col("fail_mask").bitwiseAND(F.lit(quality_rules.mask_of(quality_rules.BASE))) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "fail_mask")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
@@ -49,6 +55,7 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
@@ -56,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE}
