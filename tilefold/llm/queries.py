@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_model, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import html_template, quality_model, quality_rules, secret_scan, sentencepiece_codec, toxicity
 from .common import held_out, table
 
 
@@ -54,12 +54,17 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_model": op7_quality_model,
+    "op9_html_template": op9_html_template,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
