@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, quality_model, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from . import html_template, quality_model, quality_rules, secret_scan, sentencepiece_codec, topk_search, toxicity
 from .common import held_out, table
 
 
@@ -38,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select(
@@ -62,10 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_topk_search": op5_topk_search,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_model": op7_quality_model,
     "op9_html_template": op9_html_template,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op5_topk_search": topk_search.ORACLE}
