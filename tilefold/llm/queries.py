@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, quality_model, quality_rules, secret_scan, sentencepiece_codec, topk_search, toxicity
+from . import html_template, packing, quality_model, quality_rules, secret_scan, sentencepiece_codec, topk_search, toxicity
 from .common import held_out, table
 
 
@@ -18,6 +18,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "fail_mask")
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
@@ -64,6 +73,7 @@ def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_topk_search": op5_topk_search,
