@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, packing, quality_model, quality_rules, secret_scan, sentencepiece_codec, topk_search, toxicity
+from . import html_template, jaccard_join, packing, quality_model, quality_rules, secret_scan, sentencepiece_codec, topk_search, toxicity
 from .common import held_out, table
 
 
@@ -71,6 +71,10 @@ def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), jaccard_join.Rule(width=3, percent=90))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_model": op7_quality_model,
     "op9_html_template": op9_html_template,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
