@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, jaccard_join, packing, quality_model, quality_rules, secret_scan, sentencepiece_codec, topk_search, toxicity
+from . import html_template, jaccard_join, packing, quality_model, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, topk_search, toxicity
 from .common import held_out, table
 
 
@@ -67,6 +67,12 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk_search": op5_topk_search,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_quality_model": op7_quality_model,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_template": op9_html_template,
     "op10_jaccard_join": op10_jaccard_join,
 }
