@@ -250,8 +250,19 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row, ``n_bytes``, the removed ``spans`` (start, end in bytes) and the ``kept`` bytes."""
+def whole(away: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """``away`` without the bytes of characters that keep a byte."""
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    if not len(starts):
+        return away
+    return np.repeat(np.minimum.reduceat(away, starts), np.diff(np.append(starts, len(raw))))
+
+
+def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+    """The ``keep`` columns of every row, ``n_bytes``, the removed ``spans`` (start, end in bytes) and the ``kept`` bytes.
+
+    With ``whole_characters``, a character of which a byte stays is kept whole, so what is kept is text.
+    """
     spark = docs.sparkSession
     picked = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), F.struct(*[docs[c] for c in keep]).alias("_kept"))
     kept_type = picked.schema["_kept"].dataType.simpleString()
@@ -388,6 +399,8 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
                 spans = spans[spans["block"] == number]
                 raw, offsets = raw_bytes(as_text(block.column("_text")))
                 away = covered(len(raw), spans["start"].astype(np.int64), spans["end"].astype(np.int64))
+                if whole_characters:
+                    away = whole(away, raw)
                 edge = np.zeros(len(raw) + 1, bool)
                 edge[1:-1] = away[1:] != away[:-1]
                 edge[offsets] = True  # spans end with their document
