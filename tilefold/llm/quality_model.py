@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     rows = texts.join(F.broadcast(chosen), "_id").select("_text", "_y", "_fold").mapInArrow(pool, "x binary, y int, fold long").toArrow()
     listed = sorted(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), rows.column("fold").to_pylist(), strict=True))
-    x = np.array([np.frombuffer(r[0], "<f4") for r in listed], float).reshape(len(listed), -1)
+    x = np.array([np.frombuffer(r[0], "<f4") for r in listed], float).reshape(len(listed), 2 * DIM + 2)
     y, part = np.array([r[1] for r in listed], float), np.array([r[2] for r in listed], int)
     model.fit(x[part < 2], y[part < 2])
     model.calibrate(x[part == 3], y[part == 3])
