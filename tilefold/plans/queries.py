@@ -684,3 +684,37 @@ def c_array_rows(spark, d):
     rows = mosaic(spark, d).select("cell", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "tile")
     body = F.array_join(F.transform(F.slice("tile", F.col("y") * 8 + 1, 8), lambda v: F.concat(F.lit("0x"), F.lower(F.lpad(F.hex(v), 2, "0")))), ",")
     return rows.select("cell", "y", F.concat(F.lit("\t"), body, F.when(F.col("y") < 7, ",").otherwise("")).alias("line"))
+
+
+# ---- conversion ----
+
+
+def mosaic_image(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mosaic as a true-colour image: eight palettes of four colours."""
+    px = bridge.mosaic_pixels(spark, d)
+    x, y = F.col("cell") % bridge.TILES_X * 8 + F.col("x"), F.floor(F.col("cell") / bridge.TILES_X) * 8 + F.col("y")
+    k = F.col("p_size") % 8
+    pixels_ = px.select(F.lit(0).alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), (F.col("v") * 64 + k).cast("int").alias("r"), (k * 32).cast("int").alias("g"), (F.col("v") * 32).cast("int").alias("b"), F.lit(255).alias("a"))
+    sizes = bridge.read(spark, d, "part").agg(F.count("*").alias("n")).select(F.lit(0).alias("image_id"), F.lit(bridge.TILES_X * 8).alias("width"), (F.floor(F.col("n") / bridge.TILES_X) * 8).cast("int").alias("height"))
+    return pixels_, sizes
+
+
+@query("convert_gbc_cells")
+def convert_gbc_cells(spark, d):
+    from .convert import convert, target
+
+    return convert(*mosaic_image(spark, d), target("gbc"))["cells"]
+
+
+@query("convert_nes_diagnostics")
+def convert_nes_diagnostics(spark, d):
+    from .convert import convert, target
+
+    return convert(*mosaic_image(spark, d), target("nes"))["diagnostics"]
+
+
+@query("convert_gbc_files")
+def convert_gbc_files(spark, d):
+    from .convert import convert, files, target
+
+    return files(convert(*mosaic_image(spark, d), target("gbc")), target("gbc"))
