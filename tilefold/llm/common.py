@@ -36,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the working tables made so far but for lasting ones. Results that read them must be stored by then."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -47,14 +57,25 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tilefold-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
 
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` written to a working table and read again: cuts the lineage, survives lost executors.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a working table and read again: cuts the lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    What was shuffled to write it is of no use later, so it is removed at once.
+    """
+    spark, path, setting = df.sparkSession, work_path(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    if lasting:
+        _made.remove(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:

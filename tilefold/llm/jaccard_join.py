@@ -97,7 +97,7 @@ def part_keys(s: np.ndarray, rule: Rule, bands: np.ndarray) -> np.ndarray:
             continue
         spare = 2 + most // 60
         parts = most + 1 + spare
-        seed = np.uint64(band + 1) * MIX_B
+        seed = mix(np.array([band + 1], np.uint64))[0]
         at = (mix(s ^ seed) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         filled, first = np.unique(at[order], return_index=True)
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("sb"))
     sizes = F.col("percent") * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
-    joined = pairs.join(right, "b").join(left, "a").withColumn("percent", F.lit(rule.percent)).where(sizes)
+    joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").withColumn("percent", F.lit(rule.percent)).where(sizes)
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -264,7 +264,8 @@ def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].astype("<u8").tobytes() for i in keep], pa.binary())], ["node", "n", "elements"])
 
     texts = docs.select(docs[id_col].alias("least"), docs[text_col].alias("_text"))
-    sets = texts.join(wanted, "least").select("node", "_text").mapInArrow(collect, "node long, n long, elements binary")
+    # sorted joins of the texts whatever the size of the other side: what is shuffled follows the input
+    sets = texts.hint("merge").join(wanted, "least").select("node", "_text").mapInArrow(collect, "node long, n long, elements binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
     links = written(verified(pairs, sets, rule), "links")
     roots = components(links)
