@@ -718,3 +718,11 @@ def convert_gbc_files(spark, d):
     from .convert import convert, files, target
 
     return files(convert(*mosaic_image(spark, d), target("gbc")), target("gbc"))
+
+
+@query("quantize_stochastic")
+def quantize_stochastic(spark, d):
+    from .train import train
+
+    px = pixels(spark, d).select("image_id", (F.col("cell") * 64 + F.col("p")).alias("p"), "r", "g", "b")
+    return train(px, 4, seed=1, share=0.05)
