@@ -3,7 +3,8 @@
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame that is
 written and read again as the next one's ``docs``. All but the last return the columns of
 ``documents``. Stages judge their own input as a whole: models are trained and counts are made
-over the rows that reach them.
+over the rows that reach them. As each stage's rows are stored before the next begins, a stage
+begins by deleting the working tables of those before it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilefold.llm import jaccard_join, queries, secret_scan, suffix_dedup, toxicity
-from tilefold.llm.common import table, written
+from tilefold.llm.common import release, table, written
 
 #: Documents with this score or more are rejected as toxic.
 TOXIC = 0.3
@@ -23,19 +24,23 @@ NEAR = jaccard_join.Rule(width=5, percent=80)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group stays; rows that repeat a document (id and text) are one document."""
+    release(spark)
     linked = jaccard_join.link_documents(docs, NEAR)
     gone = written(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # a sorted join whatever the number of duplicates: what is shuffled follows the input
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a character stays if any of its bytes does. Untouched rows stay as they are."""
+    release(spark)
     out = suffix_dedup.dedup(docs, keep=docs.columns, whole_characters=True)
     changed = F.size("spans") > 0
     text = F.when(changed, F.decode(F.col("kept"), "UTF-8")).otherwise(F.col("text"))
@@ -45,6 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     out = secret_scan.find_secrets(docs, keep=docs.columns)
     changed = F.size("spans") > 0
     return out.withColumn("new_chars", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))).select(
@@ -53,6 +59,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return queries.packed_pieces(docs)
 
 
@@ -68,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
