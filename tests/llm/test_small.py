@@ -284,8 +284,9 @@ def brute_links(rows, width, percent):
     return [(d, len(s), least.get(root(i)) if s else d) for i, (d, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
-def test_jaccard(spark, docs, empty, width, percent):
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 90, 192), (5, 80, 192), (5, 80, 3)])
+def test_jaccard(spark, docs, empty, monkeypatch, width, percent, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng, extra = random.Random(13), []
     for g in range(12):
         base = [rng.choice(VOCAB) for _ in range(rng.choice([6, 9, 11, 30, 200]))]

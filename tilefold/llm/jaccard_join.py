@@ -10,10 +10,11 @@ bands meet in the upper one.
 
 Equal sets are one node, found by a hash of the whole set. Sketches that agree link every node
 of a bucket with its smallest one only (first inside a task, then over tasks), so a bucket costs
-no more rows than it has nodes. Those pairs are verified on the sets. What is still undecided,
-pairs of nodes that are connected by sketches but not by links, is verified in a grid of blocks
-of bounded size, where pairs of one component are skipped and a longer parity sketch rejects
-most others before the sets are compared. Only spanning links leave a block.
+no more rows than it has nodes. Nodes that such pairs connect are a cluster. In clusters larger than
+a block, the star pairs are verified on the sets; then the pairs of every cluster that are still
+undecided are verified in a grid of blocks of bounded size, where pairs of one component are
+skipped and a longer parity sketch rejects most others before the sets are compared. Only
+spanning links leave a block.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; texts of
 fewer words than a shingle are one shingle; equal sets are linked, whatever their texts;
@@ -22,6 +23,7 @@ repeated rows are repeated; an empty table gives an empty table; other columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,6 +87,15 @@ def shingle_sets(texts: pa.StringArray, rule: Rule) -> list[np.ndarray]:
     return out
 
 
+def spare_parts(needed: int, smallest: int) -> int:
+    """Parts beyond those needed, so that sets of ``smallest`` elements rarely have more empty parts than that."""
+    spare = 2
+    for _ in range(16):
+        empty = (needed + spare) * math.exp(-smallest / (needed + spare))
+        spare = int(1.1 * empty + 3 * math.sqrt(empty)) + 2
+    return spare
+
+
 def part_keys(s: np.ndarray, rule: Rule, bands: np.ndarray) -> np.ndarray:
     """The keys of a set's parts, for its band and, near that one's end, for the next."""
     n, keys = len(s), []
@@ -95,7 +106,7 @@ def part_keys(s: np.ndarray, rule: Rule, bands: np.ndarray) -> np.ndarray:
         most = rule.largest_difference(int(bands[band + 1]) - 1)
         if not most:  # only equal sets are linked
             continue
-        spare = 2 + most // 60
+        spare = spare_parts(most + 1, -(-rule.percent * int(bands[band]) // 100))
         parts = most + 1 + spare
         seed = mix(np.array([band + 1], np.uint64))[0]
         at = (mix(s ^ seed) % np.uint64(parts)).astype(np.int64)
@@ -267,14 +278,15 @@ def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
     # sorted joins of the texts whatever the size of the other side: what is shuffled follows the input
     sets = texts.hint("merge").join(wanted, "least").select("node", "_text").mapInArrow(collect, "node long, n long, elements binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
-    links = written(verified(pairs, sets, rule), "links")
-    roots = components(links)
-    clusters = components(pairs).withColumnRenamed("root", "cluster")
-    placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
+    clusters = written(components(pairs).withColumnRenamed("root", "cluster"), "clusters")
+    # Small clusters go to the grid as they are, one block each; in large ones the star pairs are verified first.
+    large = clusters.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster")
+    stars = pairs.join(clusters.withColumnRenamed("node", "a"), "a").join(large, "cluster").select("a", "b")
+    links = written(verified(stars, sets, rule), "links")
+    placed = clusters.join(components(links), "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
     open_ = placed.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
     more = written(grid_links(written(placed.join(open_, "cluster"), "open"), sets, rule), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    roots = components(links.unionByName(more))
     known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     known = written(known, "known")
     final = known.groupBy("root").agg(F.min("least").alias("component_id"))
