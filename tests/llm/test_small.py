@@ -325,3 +325,56 @@ def test_grid(spark, monkeypatch):
 
 def test_digest_helpers():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def brute_kneser_ney(rows):
+    """Scorer of a word by exact counts: (text, toxic) rows, each n-gram with a count of its own."""
+    top = defaultdict(lambda: [0, 0])
+    cut = lambda w: [(b"\1" * 6 + w.encode() + b"\2")[i + 1 : i + 7] for i in range(len(w.encode()) + 1)]
+    for text, y in rows:
+        for w in set(text.split()):
+            for g in cut(w):
+                top[g][y] += 1
+    levels = {6: dict(top)}
+    for k in range(5, 0, -1):
+        levels[k] = defaultdict(lambda: [0, 0])
+        for g, n in levels[k + 1].items():
+            for c in (0, 1):
+                levels[k][g[1:]][c] += n[c]
+    totals = [sum(n[c] for n in top.values()) for c in (0, 1)]
+    ratios, lower = {}, None
+    for k in range(1, 7):
+        used = {g: list(n) for g, n in levels[6].items()} if k == 6 else defaultdict(lambda: [0, 0])
+        for g, n in levels[k + 1].items() if k < 6 else ():
+            for c in (0, 1):
+                used[g[1:]][c] += k <= 2 or n[c] > 0
+        total, kinds = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        for g, n in used.items():
+            for c in (0, 1):
+                total[g[:-1]][c] += n[c]
+                kinds[g[:-1]][c] += n[c] > 0
+        now = {}
+        for g, n in used.items():
+            t, u, base = total[g[:-1]], kinds[g[:-1]], lower[g[1:]] if lower else (1 / 256, 1 / 256)
+            now[g] = [(max(n[c] - 0.75, 0) + 0.75 * u[c] * base[c]) / t[c] if t[c] else base[c] for c in (0, 1)]
+            seen = levels[k][g]
+            g2 = 2 * sum(seen[c] * np.log(max(seen[c], 1e-9) / max(sum(seen) * totals[c] / sum(totals), 1e-9)) for c in (0, 1))
+            ratios[g] = np.log(max(now[g][1], 1e-12)) - np.log(max(now[g][0], 1e-12)) if g2 >= 5.5 * np.log(len(rows) + 2) else 0.0
+        lower = now
+    return lambda w: sum(next((ratios[g[i:]] for i in range(6) if g[i:] in ratios), 0.0) for g in cut(w))
+
+
+def test_toxicity_counts_every_ngram(spark):
+    """No n-gram shares a count or a ratio with another: each word's ratio is that of exact counts."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß", k=9)) for _ in range(2400)]
+    rows = [(i, " ".join(words[i % 2 :: 2]), i % 2) for i in range(160)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    ratio = brute_kneser_ney([r[1:] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 < 2])
+    unseen = [w[::-1] for w in words[:300]]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(words + unseen)), "doc_id long, text string"), model).collect()
+    assert len(got) == 2700 and max(abs(r.log_ratio) for r in got) > 1
+    for r in got:
+        assert r.log_ratio == pytest.approx(ratio((words + unseen)[r.doc_id]), abs=1e-4)
