@@ -109,6 +109,30 @@ def test_packing_prefers_neighbours():
     assert whole and all(max(Counter(d // 4 for d, _, _ in s).values()) >= 3 for s in whole[:4])
 
 
+def test_packing_retrieves_from_the_whole_corpus(spark, monkeypatch):
+    """Related documents share a window however far apart they are stored."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 24)
+    rng, topics = random.Random(4), 96
+    own = [[f"{rng.choice(VOCAB)}{rng.choice(VOCAB)}" for _ in range(12)] for _ in range(topics)]
+    texts = [" ".join(rng.choice(own[i % topics]) if rng.random() < 0.5 else rng.choice(VOCAB) for _ in range(450)) for i in range(4 * topics)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(rows, public_tokenizers.path("word_bpe_49k.json"), end_id=2).collect()
+    held = defaultdict(set)
+    for p in pieces:
+        held[p.sequence_id].add(p.doc_id)
+    alike = {d for s in held.values() for d in s if any(e != d and e % topics == d % topics for e in s)}
+    assert len({p.doc_id for p in pieces}) == len(texts) and len(alike) > 0.6 * len(texts)
+
+
+def test_packing_indexes_whole_texts():
+    """A long document is found by what is said before its last stretch."""
+    idf, rng = np.full(1000, 1.0), np.random.default_rng(5)
+    tails = [np.full(1500, 900), np.full(1400, 901), np.full(1300, 902), np.full(1200, 903), np.full(1100, 904)]
+    said = [rng.integers(0, 50, 4096), rng.integers(100, 150, 4096), rng.integers(200, 250, 4096), rng.integers(0, 50, 4096), rng.integers(0, 50, 4096)]
+    first = packing.pack_shard(tails, idf, 5000, [np.concatenate(x) for x in zip(said, tails, strict=True)])[0]
+    assert [d for d, _, _ in first][:3] == [0, 3, 4] or [d for d, _, _ in first][:3] == [0, 4, 3]
+
+
 def test_word_bpe():
     path = public_tokenizers.path("word_bpe_49k.json")
     own, rng = word_bpe.encoder(path), random.Random(4)

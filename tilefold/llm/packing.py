@@ -2,10 +2,17 @@
 
 Documents are encoded once into a working table of ids, together with the document frequency of
 every token id of each slice; their sum over all documents (one number for each vocabulary
-entry, a bounded table) gives the idf. The inverted index is sharded: a shard holds the
-documents of a stretch of one partition of that table, so it is built, searched and used up in
-one task and nothing is shuffled. In a shard, the longest unused document seeds a window; its
-BM25 neighbours (terms are token ids; an idf of 0 or less is left out) follow by score while
+entry, a bounded table) gives the idf.
+
+A first retrieval goes over the whole corpus and brings related documents together wherever they
+are stored: each document looks up the pairs of its ``LOOKED_UP`` terms of most BM25 weight, the
+documents of a pair are counted, and its home is the pair of most weight that another document
+looks up too. The table is dealt by range of the homes, rarest term first, so documents of one
+home, and then those of one term, are neighbours in it, whatever the number of them.
+
+The inverted index is sharded: a shard holds the documents of a stretch of that order, by their
+whole texts, so it is built, searched and used up in one task. In a shard, the longest unused
+document seeds a window; its BM25 neighbours (terms are token ids; an idf of 0 or less is left out) follow by score while
 they fit, and the best one that does not fit is cut to fill the window to its end. What a cut
 leaves stays in the index. Windows of a document longer than a window are cut off first.
 
@@ -32,17 +39,21 @@ from .word_bpe import encoder
 WINDOW = 4096
 #: A shard takes documents up to so many, or so many tokens.
 SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
+#: Terms of a document whose pairs are looked up in the whole corpus.
+LOOKED_UP = 8
 K1, B = 1.2, 0.75
 #: Neighbours that are tried whole before one is cut.
 TRIED = 32
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A working table: for each document its ``ids`` (16-bit), for each slice its ``df`` (32-bit)."""
+    """A working table: for each document its ``ids`` (16-bit) and a number of its ``row``, for each slice its ``df`` (32-bit)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        own, row = encoder(tokenizer), TaskContext.get().partitionId() << 40
         vocabulary = own.library.get_vocab_size()
         if vocabulary > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit in 16 bits")
@@ -60,11 +71,12 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
             at = np.concatenate([[0], ends * 2]).tolist()
             rows = pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), rows, pa.nulls(n, pa.binary())], ["_id", "ids", "df"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column("_id").type), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], ["_id", "ids", "df"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.arange(row, row + n)), rows, pa.nulls(n, pa.binary())], ["_id", "row", "ids", "df"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column("_id").type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], ["_id", "row", "ids", "df"])
+            row += n
 
     picked = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    return written(picked.mapInArrow(run, f"_id {kind}, ids binary, df binary"), "ids")
+    return written(picked.mapInArrow(run, f"_id {kind}, row long, ids binary, df binary"), "ids")
 
 
 def document_frequencies(table: DataFrame, fan: int = 32) -> np.ndarray:
@@ -84,19 +96,65 @@ def document_frequencies(table: DataFrame, fan: int = 32) -> np.ndarray:
     return sum((np.frombuffer(r.df, "<i8") for r in rows), np.zeros(0, np.int64) if not rows else 0)
 
 
+def term_weights(texts: list[np.ndarray], idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, document and BM25 weight of the postings of some documents, by term, then document."""
+    n = len(texts)
+    lengths = np.fromiter(map(len, texts), np.int64, n)
+    flat = np.concatenate(texts).astype(np.int64) if n else np.zeros(0, np.int64)
+    flat_doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
+    useful = idf[flat] > 0
+    key, tf = np.unique(flat[useful] * n + flat_doc[useful], return_counts=True)
+    term, doc = key // max(n, 1), key % max(n, 1)
+    return term, doc, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean_length, 1)))
+
+
+def lookups(texts: list[np.ndarray], idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, pair and weight of what each document looks up; a document of one term looks up that."""
+    term, doc, weight = term_weights(texts, idf, mean_length)
+    rarity = np.empty(len(idf), np.int64)
+    rarity[np.argsort(-idf, kind="stable")] = np.arange(len(idf))
+    order = np.lexsort([term, -weight, doc])
+    term, doc, weight = rarity[term[order]], doc[order], weight[order]
+    starts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    found = []
+    for a in range(LOOKED_UP):
+        for b in range(a + 1, LOOKED_UP):
+            x = starts[:-1][starts[:-1] + b < starts[1:]]
+            one, two = term[x + a], term[x + b]
+            found.append((doc[x], np.minimum(one, two) << 16 | np.maximum(one, two), weight[x + a] + weight[x + b]))
+    alone = starts[:-1][np.diff(starts) == 1]
+    found.append((doc[alone], term[alone] << 16 | term[alone], weight[alone]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def homes(table: DataFrame, idf: np.ndarray, mean_length: float) -> DataFrame:
+    """For each ``row`` with a useful term its ``home``: the pair of most weight that another one looks up, or else its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+            rows, ends = np.asarray(batch.column("row")), np.cumsum([0, *map(len, texts)])
+            first = 0
+            while first < len(texts):  # some documents at a time, to bound the postings
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SHARD_TOKENS, side="right")) - 1)
+                doc, pair, weight = lookups(texts[first:last], idf, mean_length)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[first + doc]), pa.array(pair), pa.array(weight.astype(np.float32))], ["row", "pair", "weight"])
+                first = last
+
+    pairs = written(table.where("df is null").select("row", "ids").mapInArrow(run, "row long, pair long, weight float"), "pairs")
+    shared = pairs.groupBy("pair").count().where("count > 1").select("pair", F.lit(True).alias("shared"))
+    found = pairs.join(shared.hint("merge"), "pair", "left")
+    best = F.max(F.struct(F.coalesce("shared", F.lit(False)).alias("shared"), "weight", "pair"))
+    return written(found.groupBy("row").agg(best.alias("best")).select("row", F.col("best.pair").alias("home")), "homes")
+
+
 class Shard:
-    """Documents' last stretches (shorter than a window) and their inverted index."""
+    """Documents' last stretches (shorter than a window) and an inverted index of their whole texts."""
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean_length: float):
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean_length: float, texts: list[np.ndarray] | None = None):
         self.tails = tails
         n = len(tails)
-        lengths = np.fromiter(map(len, tails), np.int64, n)
-        flat = np.concatenate(tails).astype(np.int64) if n else np.zeros(0, np.int64)
-        flat_doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        useful = idf[flat] > 0
-        key, tf = np.unique(flat[useful] * n + flat_doc[useful], return_counts=True)  # by term, then document
-        term, self.doc = key // max(n, 1), key % max(n, 1)
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean_length, 1)))
+        term, self.doc, self.weight = term_weights(tails if texts is None else texts, idf, mean_length)
         self.list_start = np.searchsorted(term, np.arange(len(idf) + 1))
         by_doc = np.argsort(self.doc, kind="stable")
         self.terms, self.terms_start = term[by_doc], np.searchsorted(self.doc[by_doc], np.arange(n + 1))
@@ -110,12 +168,12 @@ class Shard:
         return np.bincount(self.doc[at], weights=self.weight[at], minlength=len(self.tails))
 
 
-def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float) -> list[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length) that use every id of the tails once.
+def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float, texts: list[np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, start, length) that use every id of the tails once; ``texts`` are the whole documents.
 
     All but the last few are exactly one window long; those are powers of two.
     """
-    shard = Shard(tails, idf, mean_length)
+    shard = Shard(tails, idf, mean_length, texts)
     left = np.fromiter(map(len, tails), np.int64, len(tails))
     start = np.zeros(len(tails), np.int64)
     order, sequences = np.argsort(-left, kind="stable").tolist(), []
@@ -189,7 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
             whole = [[(i, a, WINDOW)] for i, x in enumerate(ids_of) for a in range(0, len(x) - WINDOW + 1, WINDOW)]
             cut = [len(x) // WINDOW * WINDOW for x in ids_of]
             kept = [i for i, x in enumerate(ids_of) if len(x) > cut[i]]
-            packed = pack_shard([ids_of[i][cut[i] :] for i in kept], idf, mean_length)
+            packed = pack_shard([ids_of[i][cut[i] :] for i in kept], idf, mean_length, [ids_of[i] for i in kept])
             rows = []
             for pieces in whole + [[(kept[d], cut[kept[d]] + a, n) for d, a, n in s] for s in packed]:
                 offset = 0
@@ -217,5 +275,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         if ids_of:
             yield from flush()
 
-    out = table.where("df is null").select("_id", "ids").mapInArrow(run, f"_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    dealt = table.where("df is null").select("_id", "row", "ids").join(homes(table, idf, mean_length).hint("merge"), "row", "left")
+    dealt = dealt.repartitionByRange("home", "row").sortWithinPartitions("home", "row").select("_id", "ids")
+    out = dealt.mapInArrow(run, f"_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)
