@@ -97,3 +97,20 @@ def test_dither(spark):
     px = spark.createDataFrame([(0, p, 120, 120, 120) for p in (0, 1, 8, 9)], "cell int, p int, r int, g int, b int")
     out = plans.dithered(px, [(0, 0, 0), (255, 255, 255)], model.DITHER_PATTERNS[0], 4, 1.0)
     assert {r.i for r in out.collect()} == {0, 1}
+
+
+def test_layer_flatten_covers_the_map(spark, tmp_path):
+    """Cells of any id, against brute force."""
+    orders = [(k, k * 37 % 9000) for k in (0, 7, 1999, 2000, 2001, 2006, 70_005, 149_998, 149_999)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i,) for i in range(60)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    expected = set()
+    for cell, cust in orders:
+        gid, bits = cust % 1500 + 1, cell % 8
+        lid = gid - max(f for f in (i * 20 + 1 for i in range(60)) if f <= gid)
+        for p in range(64):
+            x, y = 7 - p % 8 if bits & 4 else p % 8, 7 - p // 8 if bits & 2 else p // 8
+            x, y = (y, x) if bits & 1 else (x, y)
+            expected.add((cell, p, (lid * 7 + y * 8 + x) % 128))
+    got = [tuple(r) for r in plans.QUERIES["layer_flatten_whole"](spark, str(tmp_path)).select("cell", "p", "idx").collect()]
+    assert len(got) == 64 * len(orders) and set(got) == expected

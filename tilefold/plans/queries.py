@@ -562,8 +562,19 @@ select cell, p::int as p, ((lid * 7 + sy * 8 + sx) % 128)::int as idx from f3"""
 
 @query("layer_flatten", _FLAT)
 def layer_flatten(spark, d):
+    """The pixels of the first 2,000 cells, which is what its SQL covers; ``layer_flatten_whole`` flattens the map."""
+    return flatten(bridge.gid_cells(spark, d).where("cell < 2000"), bridge.tilesets(spark, d))
+
+
+@query("layer_flatten_whole", None)
+def layer_flatten_whole(spark, d):
+    """Every cell of the map to pixels."""
+    return flatten(bridge.gid_cells(spark, d), bridge.tilesets(spark, d))
+
+
+def flatten(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """Map cells to pixels: the flips of a cell are undone, the diagonal last; a tileset pixel is a formula."""
-    rows = as_of_tilesets(bridge.gid_cells(spark, d).where("cell < 2000"), bridge.tilesets(spark, d)).select("cell", (F.col("gid") - F.col("firstgid")).alias("lid"), "raw", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    rows = as_of_tilesets(cells, sets).select("cell", (F.col("gid") - F.col("firstgid")).alias("lid"), "raw", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
     bit = lambda b: F.shiftright("raw", b).bitwiseAND(F.lit(1).cast("long")) == 1
     x, y = F.col("p") % 8, F.floor(F.col("p") / 8)
     x1, y1 = F.when(bit(31), 7 - x).otherwise(x), F.when(bit(30), 7 - y).otherwise(y)
