@@ -285,6 +285,20 @@ def test_html(spark):
     assert html_template.extract(out.select("page_id", "url", F.col("text").alias("html")).limit(0)).count() == 0
 
 
+def test_html_keeps_heading_and_lead(spark):
+    """Without an article element, no text outside other roles is left out, however small its share."""
+    long = "Body text. " * 60
+
+    def page(i):
+        inner = f"<h1>Title {i}</h1><p class=lead>Lead {i}</p><div class=body><p>{long}{i}</p></div>"
+        return f"<html><body><nav>Home</nav><div class=content>{inner}</div><footer>Imprint</footer></body></html>"
+
+    loose = f"Before<div class=body><p>{long}</p></div>"
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(6)] + [(9, "https://b.example/", loose)]
+    got = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nLead {i}\n{long}{i}" for i in range(6)} | {9: f"Before\n{long.strip()}"}
+
+
 def brute_links(rows, width, percent):
     sets = []
     for d, t in rows:

@@ -4,9 +4,10 @@ A page's tokens are its elements, named by their path of tags and classes. Over
 host, tokens with the same occurrence vector (as often on each page as one another) form an
 equivalence class. Classes that most pages hold are valid; the class whose tokens stand once on
 each page is the frame of the template, the others nest in its gaps as repeated parts. What the
-frame's tokens enclose are slots. The main slot is the innermost one that holds nearly all text
-outside elements of other roles (menus, page headers, footers, sidebars, notices, adverts,
-forms, reader comments); its blocks are the page's text.
+frame's tokens enclose are slots. The main slot is the article or main element around the slot of
+nearly all text outside elements of other roles (menus, page headers, footers, sidebars, notices,
+adverts, forms, reader comments); on a host without one it is the innermost slot that holds all of
+that text. Its blocks are the page's text.
 
 Occurrence vectors are never gathered: each is summed up as (pages, sum of a hash of page and
 count), which tasks and Spark add up partially, so a host with a third of all pages is no
@@ -52,6 +53,7 @@ ROLE_WORDS = re.compile(
     r"notice|alert|cookie|cookies|consent|gdpr|comment|comments|reply|replies|disqus|form|search|login|signup|subscribe|newsletter|popup|modal|share|social|related|breadcrumb|breadcrumbs|pagination|contentinfo)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: An article or main element is the main slot if it is around the slot of so much of the text.
 MAIN_SHARE = 0.9
 
 
@@ -137,10 +139,11 @@ def host_of(url: str | None) -> str:
 
 
 def enclosed(page: Page) -> dict[str, int]:
-    """Characters of article-like text inside each path."""
+    """Characters of article-like text inside each path; the path "" is the page."""
     out: dict[str, int] = defaultdict(int)
     for path, text, other in page.blocks:
         if not other:
+            out[""] += len(text)
             at = len(path)
             while at > 0:
                 out[path[:at]] += len(text)
@@ -153,11 +156,11 @@ def main_slot(rows: list[tuple[str, int, int, int, int]]) -> str:
 
     Tokens are grouped to classes by (pages, vector). A class is a frame if its tokens stand
     once on each of its pages; the frame on most pages is the template's, and a class nests
-    in it where all of its tokens' paths run through one of the frame's.
+    in it where all of its tokens' paths run through one of the frame's. The path "" is the page.
     """
     classes: dict[tuple[int, int], list[tuple[str, int]]] = defaultdict(list)
     for path, pages, vector, times, chars in rows:
-        if times == pages:
+        if path and times == pages:
             classes[pages, vector].append((path, chars))
     best = ""
     for (_, _), tokens in sorted(classes.items(), key=lambda c: (-c[0][0], -len(c[1]), min(c[1]))):
@@ -168,12 +171,15 @@ def main_slot(rows: list[tuple[str, int, int, int, int]]) -> str:
         best = max((p for p, chars in inside if chars >= MAIN_SHARE * most), key=lambda p: (p.count(">"), p))
     article = [p for p, _, _, _, chars in rows if chars and p.rsplit(">", 1)[-1].split(".")[0] in ("article", "main")]
     held = [p for p in article if best == p or best.startswith(p + ">")]
-    return min(held, key=len) if held else best
+    if held:
+        return min(held, key=len)
+    total = max((chars for *_, chars in rows), default=0)
+    return max((p for p, pages, _, times, chars in rows if total and times == pages and chars == total), key=lambda p: (p.count(">"), len(p)), default="")
 
 
 def page_slot(page: Page) -> str:
     chars = enclosed(page)
-    return main_slot([(p, 1, 1 if n == 1 else n + 1, n, chars.get(p, 0)) for p, n in page.counts.items()])
+    return main_slot([(p, 1, 1 if n == 1 else n + 1, n, chars.get(p, 0)) for p, n in (*page.counts.items(), ("", 1))])
 
 
 def text_of(page: Page, slot: str | None) -> str:
@@ -203,14 +209,14 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     def deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [[(t["path"], t["pages"], t["vector"], t["times"], t["chars"]) for t in row] for row in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([main_slot(t) for t in tokens], pa.string()), pa.array([len(t) for t in tokens], pa.int64())], ["host", "slot", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([main_slot(t) for t in tokens], pa.string()), pa.array([len(t) - 1 for t in tokens], pa.int64())], ["host", "slot", "tokens"])
 
     picked = pages.select(pages[url_col].alias("_url"), pages[html_col].alias("_html"))
     sums = picked.mapInArrow(count, "host string, path string, pages long, vector long, times long, chars long")
     sums = sums.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "vector", "times", "chars")])
     sums = written(sums, "tokens")
     total = sums.where("path = ''").select("host", F.col("pages").alias("total"))
-    common = sums.where("path <> ''").join(total, "host").where("2 * pages >= total")
+    common = sums.join(total, "host").where("2 * pages >= total")
     grouped = common.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "pages", "vector", "times", "chars"))).alias("tokens"))
     return grouped.mapInArrow(deduce, "host string, slot string, tokens long")
 
