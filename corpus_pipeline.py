@@ -9,13 +9,14 @@ begins by deleting the working tables of those before it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilefold.llm import jaccard_join, queries, secret_scan, suffix_dedup, toxicity
-from tilefold.llm.common import release, table, written
+from tilefold.llm.common import delete, recorded, scratch, table, written
 
 #: Documents with this score or more are rejected as toxic.
 TOXIC = 0.3
@@ -23,47 +24,91 @@ TOXIC = 0.3
 NEAR = jaccard_join.Rule(width=5, percent=80)
 
 
+_left: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(function: Stage) -> Stage:
+    """A stage whose working tables go when the next one begins, as its rows are stored by then."""
+
+    @functools.wraps(function)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _left)
+        with recorded(_left):
+            return function(spark, docs, sf_dir)
+
+    return begin
+
+
+def _with(docs: DataFrame, out: DataFrame, changed: F.Column, text: F.Column) -> DataFrame:
+    """The columns of ``docs``, held in ``out`` as the struct ``row``, with another text and its length where it is changed."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _as_row(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` for an operator, and all columns as the struct ``row``, so that none clashes with its results."""
+    return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    """Documents whose toxicity score is ``TOXIC`` or more go; all others stay as they are.
+
+    Null and empty texts are scored as texts without evidence; rows with a null id are scored and
+    not learnt from; repeated rows get equal scores; an empty table gives an empty table; labels of
+    other documents are not used.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score(_as_row(docs), model, keep=("row",)).where(F.col("score") < TOXIC).select("row.*")
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays; rows that repeat a document (id and text) are one document."""
-    release(spark)
-    linked = jaccard_join.link_documents(docs, NEAR)
-    gone = written(linked.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    # a sorted join whatever the number of duplicates: what is shuffled follows the input
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays: that of the smallest id (nulls last).
 
+    Rows that repeat a document are one document, and a row whose id is that of another document is
+    judged by its own text. Null and empty texts are nobody's duplicates, so all such rows stay; an
+    empty table gives an empty table; extra columns are kept.
+    """
+    return jaccard_join.representatives(docs, NEAR)
 
+
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a character stays if any of its bytes does. Untouched rows stay as they are."""
-    release(spark)
-    out = suffix_dedup.dedup(docs, keep=docs.columns, whole_characters=True)
-    changed = F.size("spans") > 0
-    text = F.when(changed, F.decode(F.col("kept"), "UTF-8")).otherwise(F.col("text"))
-    return out.withColumn("new_text", text).withColumn("new_chars", F.when(changed, F.length("new_text").cast("long")).otherwise(F.col("n_chars"))).select(
-        *[F.col({"text": "new_text", "n_chars": "new_chars"}.get(c, c)).alias(c) for c in docs.columns]
-    )
+    """Passages that a document with a smaller id has too are cut out; untouched rows stay as they are.
+
+    A character stays if any of its bytes does. No row goes; null texts stay null, and a text of
+    which nothing is left is empty. A null id counts as larger than all others; rows of equal ids
+    leave each other alone; an empty table gives an empty table; extra columns are kept.
+    """
+    out = suffix_dedup.dedup(_as_row(docs), keep=("row",), whole_characters=True)
+    return _with(docs, out, F.size("spans") > 0, F.decode(F.col("kept"), "UTF-8"))
 
 
+@stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
-    out = secret_scan.find_secrets(docs, keep=docs.columns)
-    changed = F.size("spans") > 0
-    return out.withColumn("new_chars", F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))).select(
-        *[F.col({"text": "redacted", "n_chars": "new_chars"}.get(c, c)).alias(c) for c in docs.columns]
-    )
+    """Secrets are replaced by ``[kind]``; rows without one stay as they are.
 
+    No row goes; null texts stay null and empty ones empty; repeated rows and rows with null ids
+    are treated as any other; an empty table gives an empty table; extra columns are kept.
+    """
+    out = secret_scan.find_secrets(_as_row(docs), keep=("row",))
+    return _with(docs, out, F.size("spans") > 0, F.col("redacted"))
 
+
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
+    """Pieces of token sequences that hold every id of every row once.
+
+    Null and empty texts are documents of the end id alone; repeated rows are packed each; null ids
+    stay null; an empty table gives no pieces; other columns are left out.
+    """
     return queries.packed_pieces(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("jaccard_join", drop_near_duplicates),
     ("suffix_dedup", cut_repeats),
@@ -73,10 +118,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; the working tables of each go as soon as its rows are stored."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name, lasting=True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, step in STAGES[:-1]:
+        with scratch(spark):
+            docs = written(step.__wrapped__(spark, docs, sf_dir), name, lasting=True)
+    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)
 
 
 #: Trained models and tokenizers are beyond SQL; tests compare the stages with brute-force versions.

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,20 +37,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_made: list[str] = []
+_recorders: list[list[str]] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the working tables made so far but for lasting ones. Results that read them must be stored by then."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[list[str]]:
+    """Inside, ``paths`` lists the working tables that are made, so that their owner can delete them."""
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [r for r in _recorders if r is not paths]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Working tables made inside are deleted at its end, but for those that are ``lasting``."""
+    with recorded([]) as paths:
+        yield
+    delete(spark, paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes working tables; what has been read from them must be stored by then."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def work_path(spark: SparkSession, name: str) -> str:
+def work_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where that is unset, which is the case in local tests.
+    A folder of our own is made only where that is unset, which is the case in local tests. A
+    ``lasting`` table is one that a lazy result reads: the innermost ``scratch`` leaves it alone.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -57,8 +77,10 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tilefold-")
         spark.conf.set("spark.checkpoint.dir", base)
-    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _recorders[: len(_recorders) - lasting] if _recorders else []:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
@@ -66,15 +88,13 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 
     What was shuffled to write it is of no use later, so it is removed at once.
     """
-    spark, path, setting = df.sparkSession, work_path(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark, path, setting = df.sparkSession, work_path(df.sparkSession, name, lasting), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(setting, before)
-    if lasting:
-        _made.remove(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Every step is an aggregation with partial sums and an equi-join; no task sees a whole
-component and the driver sees two numbers for each round.
+Every step is an aggregation with partial sums and an equi-join, sorted so that a hub's rows can
+be split; no task sees a whole component and the driver sees two numbers for each round.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import delete, recorded, written
 
 MAX_ROUNDS = 60
 
@@ -19,20 +19,28 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the smallest node of its component) of every node in edges (a, b) of longs."""
+    """``node`` and ``root`` (the smallest node of its component) of every node in edges (a, b) of longs.
+
+    A working table holds the result; those of the rounds before are deleted.
+    """
+    spark, last = edges.sparkSession, []
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "edges")
+    with recorded(last):
+        edges = written(edges, "edges")
     before = _signature(edges)
     for _ in range(MAX_ROUNDS):
         # large star: each larger neighbour of a node is linked with the smallest of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: each node and its smaller neighbours are linked with the smallest of those
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = written(small.where("a <> b").distinct(), "edges")
-        after = _signature(edges)
+        small = large.hint("merge").join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        now: list[str] = []
+        with recorded(now):
+            edges = written(small.where("a <> b").distinct(), "edges")
+        delete(spark, last)
+        last, after = now, _signature(edges)
         if after == before:
             break
         before = after

@@ -3,46 +3,59 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Its elements are dealt to P
 parts by a hash; the XOR of a part's elements is its parity sketch, and the sketches of two sets
 differ in no more parts than their symmetric difference has elements. P is larger than the
-largest difference that two linked sets of a size band can have, so they agree in a part
-(pigeonhole); more parts than that are dealt than may be empty, so they agree in one that is not
-empty, and a set with more empty parts than that also publishes those. Sets of two neighbouring
-bands meet in the upper one.
-
-Equal sets are one node, found by a hash of the whole set. Sketches that agree link every node
-of a bucket with its smallest one only (first inside a task, then over tasks), so a bucket costs
-no more rows than it has nodes. Nodes that such pairs connect are a cluster. In clusters larger than
-a block, the star pairs are verified on the sets; then the pairs of every cluster that are still
-undecided are verified in a grid of blocks of bounded size, where pairs of one component are
-skipped and a longer parity sketch rejects most others before the sets are compared. Only
-spanning links leave a block.
+largest difference d that two linked sets of a size band can have, so they agree in P - d parts
+or more (pigeonhole). Sets near the end of a band are sketched for the next one too, where they
+meet its sets.
+
+1. Each part's key goes to its own place, where it is seen whether another set has it. A set of
+   f parts that are not empty is linked with none unless f - d or more of them are shared, with d
+   of its own size; most sets end here, though they share passages with many. (Where f <= d, empty
+   parts count as well, behind all others.)
+2. Of the keys of the others, all but the f - d - 1 commonest are enough for two linked sets to
+   meet in one (the order of keys by count is the same for all sets). A bucket links every set
+   with its smallest one only, so it costs no more rows than it has sets. Sets that such pairs
+   connect are a cluster.
+3. A cluster is dealt to blocks of bounded size, together with its few best connected sets. In a
+   block, a longer parity sketch, whose Hamming distance bounds the difference from below, rejects
+   most pairs before the sets are compared; pairs of one component are skipped.
+4. Where a cluster of several blocks is in several components by then, all sets outside its
+   largest component are compared with all sets of other components, block by block.
+
+Equal sets are one node, found by a hash of the whole set.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; texts of
-fewer words than a shingle are one shingle; equal sets are linked, whatever their texts;
-repeated rows are repeated; an empty table gives an empty table; other columns are left out.
+fewer words than a shingle are one shingle; equal sets are linked, whatever their texts or ids;
+repeated rows are repeated; rows with a null id link others as any row does, and the smallest id
+of a component leaves nulls out (null if it has no other); an empty table gives an empty table;
+other columns are left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, MIX_C, as_text, cut_words, mix, slices, written
+from .common import MIX_A, MIX_C, as_text, cut_words, mix, scratch, slices, written
 from .components import components
 
 #: Size bands grow by this factor.
 BAND = 1.4
 #: Nodes of a block of the grid, about.
 BLOCK = 192
+#: Best connected sets of a cluster that go to each of its blocks.
+HUBS = 8
 #: Bits of the sketch that is compared before the sets.
 SKETCH_BITS = 2048
+#: A set is taken up to here by its band; no text is near it.
+LARGEST = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -55,16 +68,20 @@ class Rule:
     def linked(self, common: int, n: int, m: int) -> bool:
         return 100 * common >= self.percent * (n + m - common)
 
-    def largest_difference(self, n: int) -> int:
-        """Of two linked sets of at most n elements."""
-        return 2 * n * (100 - self.percent) // (100 + self.percent)
+    def largest_difference(self, n, m):
+        """Of two linked sets of n and m elements."""
+        return (n + m) * (100 - self.percent) // (100 + self.percent)
 
-    def bands(self, up_to: int) -> np.ndarray:
-        """First sizes of the bands."""
-        out = [1]
-        while out[-1] <= up_to:
-            out.append(int(out[-1] * BAND) + 1)
-        return np.array(out, np.int64)
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """First sizes of the bands, and the parts of each (0 where only equal sets are linked)."""
+        first = [1]
+        while first[-1] <= LARGEST:
+            first.append(int(first[-1] * BAND) + 1)
+        parts = []
+        for low, high in zip(first, first[1:]):
+            most = self.largest_difference(high - 1, high - 1)
+            parts.append(most + 1 + spare_parts(most + 1, -(-self.percent * low // 100)) if most else 0)
+        return np.array(first, np.int64), np.array(parts, np.int64)
 
 
 def shingle_sets(texts: pa.StringArray, rule: Rule) -> list[np.ndarray]:
@@ -96,96 +113,112 @@ def spare_parts(needed: int, smallest: int) -> int:
     return spare
 
 
-def part_keys(s: np.ndarray, rule: Rule, bands: np.ndarray) -> np.ndarray:
-    """The keys of a set's parts, for its band and, near that one's end, for the next."""
-    n, keys = len(s), []
-    own = int(np.searchsorted(bands, n, side="right")) - 1
-    for band in (own, own + 1):
-        if band > own and 100 * n < rule.percent * int(bands[band]):
-            continue
-        most = rule.largest_difference(int(bands[band + 1]) - 1)
-        if not most:  # only equal sets are linked
+def part_keys(sets: list[np.ndarray], rule: Rule, bands: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the parts of all sets, in their band and in the next where they meet its sets: key, set and tag.
+
+    A key is odd if its part is empty. The tag holds how many shared parts are too few to be linked,
+    and whether it is the next band.
+    """
+    first, parts_of = bands
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    band = np.searchsorted(first, n, side="right") - 1
+    out = []
+    for up in (0, 1):
+        b = np.maximum(band, 0) + up
+        chosen = np.flatnonzero((n > 0) & (parts_of[b] > 0) & (not up or 100 * n >= rule.percent * first[b]))
+        if not len(chosen):
             continue
-        spare = spare_parts(most + 1, -(-rule.percent * int(bands[band]) // 100))
-        parts = most + 1 + spare
-        seed = mix(np.array([band + 1], np.uint64))[0]
-        at = (mix(s ^ seed) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        filled, first = np.unique(at[order], return_index=True)
-        sketch = np.bitwise_xor.reduceat(s[order], first)
-        if parts - len(filled) > spare:
-            every = np.zeros(parts, np.uint64)
-            every[filled] = sketch
-            filled, sketch = np.arange(parts), every
-        keys.append(mix(mix(sketch * MIX_C + seed) + filled.astype(np.uint64) * MIX_A))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-
-
-def sketched(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """A working table: ``_id``, set size ``n``, ``node`` (null for empty sets) and part ``keys``."""
+        size, b = n[chosen], b[chosen]
+        parts, seed = parts_of[b], mix((b + 1).astype(np.uint64))
+        most = rule.largest_difference(size, np.minimum(first[b + 1] - 1, 100 * size // rule.percent))
+        begin = np.concatenate([[0], np.cumsum(parts)])
+        flat = np.concatenate([sets[i] for i in chosen])
+        owner = np.repeat(np.arange(len(chosen)), size)
+        at = (mix(flat ^ seed[owner]) % parts.astype(np.uint64)[owner]).astype(np.int64) + begin[owner]
+        sketch = np.zeros(begin[-1], np.uint64)
+        np.bitwise_xor.at(sketch, at, flat)
+        filled = np.bincount(at, minlength=begin[-1]) > 0
+        full = np.add.reduceat(filled.astype(np.int64), begin[:-1])
+        every = full <= most  # then empty parts count too
+        of = np.repeat(np.arange(len(chosen)), parts)
+        number = (np.arange(begin[-1]) - begin[of]).astype(np.uint64)
+        key = mix(mix(sketch * MIX_C + seed[of]) + number * MIX_A) >> np.uint64(1) << np.uint64(1) | (~filled).astype(np.uint64)
+        tag = np.where(every, parts, full) - most - 1 << 1 | up
+        sent = np.flatnonzero(filled | every[of])
+        out.append((key[sent].view(np.int64), chosen[of[sent]], tag[of[sent]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def node_of(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+
+
+def sized(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """``_id``, set size ``n`` and ``node`` (null for empty sets) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            sets = shingle_sets(as_text(batch.column("_text")), rule)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes), pa.array(node_of(sets), mask=sizes == 0)], ["_id", "n", "node"])
+
+    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    return texts.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, n long, node long")
+
+
+def keyed_parts(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
+    """``key``, ``node`` and ``tag`` of every part to be compared; a task sends a node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = rule.bands(1 << 30)
+        bands, seen = rule.bands(), set()
         for batch in slices(batches, "_text"):
             sets = shingle_sets(as_text(batch.column("_text")), rule)
-            keys = [part_keys(s, rule, bands) if len(s) else s for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            nodes = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], pa.uint64()).to_numpy().view(np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["_id", "n", "node", "keys"])
-
-    picked = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    return written(picked.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, n long, node long, keys array<long>"), "sketches")
-
-
-def star_pairs(table: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b: each node of a bucket with a smaller one, so that a bucket is connected."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Inside a task: a row for each key with its smallest node, and the links to the others."""
-        keys, nodes = [], []
-        for batch in batches:
-            listed = batch.column("keys")
-            keys.append(np.asarray(listed.flatten()))
-            nodes.append(np.repeat(np.asarray(batch.column("node")), np.diff(np.asarray(listed.offsets))))
-        if not keys:
-            return
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)
-        least = node[first][np.cumsum(new) - 1]
-        other = np.flatnonzero(node != least)
-        pairs = np.unique(np.stack([least[other], node[other]]), axis=1)
-        for a in range(0, len(first), 100_000):
-            f = first[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[f]), pa.array(node[f]), pa.nulls(len(f), pa.int64())], ["key", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], ["key", "a", "b"])
-
-    rows = table.where("node is not null and size(keys) > 0").select("node", "keys").mapInArrow(local, "key long, a long, b long")
-    inside = rows.where("key is null").select("a", "b")
-    keyed = rows.where("key is not null").select("key", F.col("a").alias("node"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over tasks: rows come sorted by key and node."""
-        last_key, least = None, None
-        for batch in batches:
-            key, node = np.asarray(batch.column("key")), np.asarray(batch.column("node"))
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = key[0] != last_key
-            begins = node[new]
-            mins = np.concatenate([[least if least is not None else 0], begins])[np.cumsum(new)]
-            last_key, least = key[-1], mins[-1]
-            at = np.flatnonzero(node != mins)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(mins[at].astype(np.int64)), pa.array(node[at])], ["a", "b"])
-
-    over = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(across, "a long, b long")
-    return written(inside.unionByName(over).distinct(), "pairs")
+            new = []
+            for s, node in zip(sets, node_of(sets).tolist(), strict=True):
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    new.append(s)
+            key, of, tag = part_keys(new, rule, bands)
+            nodes = node_of(new)[of]
+            for i in range(0, len(key), 200_000):
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(nodes[part]), pa.array(tag[part])], ["key", "node", "tag"])
+
+    return docs.select(docs[text_col].alias("_text")).mapInArrow(run, "key long, node long, tag long")
+
+
+def candidate_pairs(parts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, with the number of ``buckets`` that hold them: each node of a bucket with its smallest one."""
+    own = Window.partitionBy("key")
+    shared = parts.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own)).withColumn("count", F.count("*").over(own)).where("lo <> hi")
+    rarest_first = F.array_sort(F.collect_set(F.struct(F.col("key").bitwiseAND(F.lit(1)).alias("empty"), "count", "key")))
+    lists = shared.groupBy("node", "tag").agg(rarest_first.alias("keys")).withColumn("take", F.size("keys") - F.shiftright("tag", 1)).where("take > 0")
+    chosen = lists.select("node", F.explode(F.slice("keys", F.lit(1), F.least(F.col("take"), F.size("keys")).cast("int"))).alias("k")).select("node", F.col("k.key").alias("key"))
+    chosen = written(chosen, "prefixes")
+    stars = chosen.withColumn("a", F.min("node").over(own)).where("a <> node")
+    return written(stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("buckets")), "pairs")
+
+
+def node_sets(docs: DataFrame, wanted: DataFrame, rule: Rule, text_col: str) -> DataFrame:
+    """``node``, ``n`` and sorted ``elements`` of the nodes of ``wanted``."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with their nodes; a task sends a node once."""
+        seen: set[int] = set()
+        for batch in slices(batches, "_text"):
+            nodes = node_of(shingle_sets(as_text(batch.column("_text")), rule))
+            new = [i for i, x in enumerate(nodes.tolist()) if not (x in seen or seen.add(x))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), batch.column("_text").take(pa.array(new, pa.int64()))], ["node", "_text"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            sets = shingle_sets(as_text(batch.column("_text")), rule)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "n", "elements"])
+
+    named = docs.select(docs[text_col].alias("_text")).where("_text is not null").mapInArrow(name, "node long, _text string")
+    found = named.hint("merge").join(wanted, "node").groupBy("node").agg(F.min("_text").alias("_text"))
+    return found.mapInArrow(collect, "node long, n long, elements binary")
 
 
 def _set(data: bytes) -> np.ndarray:
@@ -199,30 +232,16 @@ def common_elements(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[at] == b).sum()) if len(a) else 0
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [rule.linked(common_elements(x, y), len(x), len(y)) for x, y in ((_set(p), _set(q)) for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("sb"))
-    sizes = F.col("percent") * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
-    joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").withColumn("percent", F.lit(rule.percent)).where(sizes)
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def block_links(rows: pd.DataFrame, rule: Rule, diagonal: bool) -> list[tuple[int, int]]:
-    """Links that join components, among the nodes of a block or between those of two.
+def block_links(rows: pd.DataFrame, rule: Rule) -> list[tuple[int, int]]:
+    """Links that join components, between the ``left`` rows of a block and all its rows.
 
     Pairs are tried from each node on, unless they are of one component by then.
     """
-    rows = rows.sort_values("node").reset_index(drop=True)
+    rows = rows.sort_values(["node", "left"], ascending=[True, False]).drop_duplicates("node").reset_index(drop=True)
     sets = [_set(e) for e in rows["elements"]]
     n = rows["n"].to_numpy()
-    side = rows["block"].to_numpy()
+    left = rows["left"].to_numpy()
+    node = rows["node"].tolist()
     names = {r: i for i, r in enumerate(dict.fromkeys(rows["root"]))}
     root = np.array([names[r] for r in rows["root"]])
     bits = np.zeros((len(sets), SKETCH_BITS), np.uint8)
@@ -230,10 +249,8 @@ def block_links(rows: pd.DataFrame, rule: Rule, diagonal: bool) -> list[tuple[in
         bits[i] = np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
     packed = np.packbits(bits, axis=1).view(np.uint64)
     links = []
-    for i in range(len(sets)):
-        other = np.arange(i + 1, len(sets))
-        if not diagonal:
-            other = other[side[other] != side[i]]
+    for i in np.flatnonzero(left).tolist():
+        other = np.flatnonzero(~left | (np.arange(len(sets)) > i))
         lo, hi = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
         other = other[(root[other] != root[i]) & (100 * lo >= rule.percent * hi)]
         if not len(other):
@@ -241,55 +258,111 @@ def block_links(rows: pd.DataFrame, rule: Rule, diagonal: bool) -> list[tuple[in
         differ = np.bitwise_count(packed[other] ^ packed[i]).sum(axis=1)
         for j in other[differ * (100 + rule.percent) <= (n[other] + n[i]) * (100 - rule.percent)].tolist():
             if root[i] != root[j] and rule.linked(common_elements(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-                links.append((int(rows["node"][i]), int(rows["node"][j])))
+                links.append((node[i], node[j]))
                 root[root == root[j]] = root[i]
     return links
 
 
-def grid_links(undecided: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between the components of a cluster. ``undecided``: node, cluster, root."""
+def compared(rows: DataFrame, sets: DataFrame, rule: Rule, cell: Sequence[str]) -> DataFrame:
+    """Links (a, b) found in each cell. ``rows``: the columns of a cell, node, root and whether it is on the ``left``."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(group, rule), columns=["a", "b"]).astype("int64")
+
+    return rows.join(sets.hint("merge"), "node").groupBy(*cell).applyInPandas(run, "a long, b long")
+
+
+def blocks_of(count) -> F.Column:
+    return F.ceil(count / F.lit(BLOCK))
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(block_links(rows, rule, bool(rows["i"].iloc[0] == rows["j"].iloc[0])), columns=["a", "b"]).astype("int64")
+def block_of(blocks: str) -> F.Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks))
 
-    sizes = undecided.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = undecided.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return dealt.select("cluster", "i", "j", "block", "node", "root", "n", "elements").groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+
+def local_links(clusters: DataFrame, pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links inside the blocks of each cluster (node, cluster), its hubs being in all of its blocks."""
+    sizes = clusters.groupBy("cluster").agg(blocks_of(F.count("*")).alias("blocks"))
+    large = written(sizes.where("blocks > 1"), "large")
+    placed = clusters.hint("merge").join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = placed.select("cluster", block_of("blocks").alias("block"), "node", F.col("node").alias("root"), F.lit(True).alias("left"))
+    degree = pairs.groupBy(F.col("a").alias("node")).agg(F.sum("buckets").alias("degree")).join(clusters, "node")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "node"))
+    hubs = degree.join(large, "cluster").withColumn("rank", rank).where(F.col("rank") <= HUBS)
+    hubs = hubs.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", F.col("node").alias("root"), F.lit(True).alias("left"))
+    return compared(rows.unionByName(hubs), sets, rule, ["cluster", "block"])
+
+
+def grid_links(undecided: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between the components of a cluster. ``undecided``: node, cluster, root.
+
+    Rows outside the largest component of a cluster meet all its rows: cells of (block of those, block of all).
+    """
+    by_root = undecided.groupBy("cluster", "root").count()
+    sizes = by_root.groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("all"))
+    sizes = sizes.select("cluster", F.col("top.root").alias("giant"), blocks_of(F.col("all")).alias("blocks"), blocks_of(F.col("all") - F.col("top.count")).alias("odd_blocks")).where("odd_blocks > 0")
+    placed = undecided.hint("merge").join(written(sizes, "sizes"), "cluster")
+    every = placed.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("odd_blocks") - 1)).alias("i"), block_of("blocks").alias("j"), "node", "root", F.lit(False).alias("left"))
+    odd = placed.where("root <> giant").select("cluster", block_of("odd_blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "node", "root", F.lit(True).alias("left"))
+    return compared(every.unionByName(odd), sets, rule, ["cluster", "i", "j"])
+
+
+def labelled_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``_id``, ``n`` and ``node``, and every node's ``component_id`` and ``root``."""
+    table = written(sized(docs, rule, id_col, text_col), "sized", lasting=True)
+    nodes = table.where("node is not null").groupBy("node").agg(F.min("_id").alias("least"))
+    pairs = candidate_pairs(keyed_parts(docs, rule, text_col))
+    clusters = written(components(pairs.select("a", "b")).withColumnRenamed("root", "cluster"), "clusters")
+    sets = written(node_sets(docs, clusters.select("node"), rule, text_col), "sets")
+    links = written(local_links(clusters, pairs, sets, rule), "links")
+    placed = written(clusters.join(components(links).hint("merge"), "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root")), "placed")
+    several = placed.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where(F.col("lo") != F.col("hi")).where(F.col("count") > BLOCK).select("cluster")
+    undecided = written(placed.hint("merge").join(several, "cluster"), "undecided")
+    more = written(grid_links(undecided, sets, rule), "links")
+    roots = components(links.unionByName(more))
+    known = written(nodes.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "known")
+    final = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return table, written(known.hint("merge").join(final, "root").select("node", "root", "component_id"), "labels", lasting=True)
 
 
 def link_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) of every row."""
-    table = sketched(docs, rule, id_col, text_col)
-    nodes = table.where("node is not null").groupBy("node").agg(F.min("_id").alias("least"))
-    pairs = star_pairs(table)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(nodes, "node"), "nodes")
+    with scratch(docs.sparkSession):
+        table, labels = labelled_rows(docs, rule, id_col, text_col)
+    out = table.hint("merge").join(labels, "node", "left")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (nulls last, then the smallest hash of
+    the set), and of several rows of that id and set the one with the smallest text. Rows with empty sets all stay."""
+    with scratch(docs.sparkSession):
+        table, labels = labelled_rows(docs, rule, id_col, text_col)
+        first = F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "node"))
+        winners = table.select("_id", "node").distinct().join(labels.hint("merge"), "node").groupBy("root").agg(first.alias("w"))
+        winners = written(winners.select(F.col("w._id").alias("_id"), F.col("w.node").alias("_node"), F.lit(True).alias("_wins")), "winners", lasting=True)
+    kept = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), kept.alias("_kept"))
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their nodes; a task sends an id with a text once, unless its set is empty."""
+        seen: set[tuple] = set()
         for batch in slices(batches, "_text"):
-            sets = shingle_sets(as_text(batch.column("_text")), rule)
-            found = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            keep = np.flatnonzero(found == np.asarray(batch.column("node")))  # a repeated id may have other texts
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].astype("<u8").tobytes() for i in keep], pa.binary())], ["node", "n", "elements"])
-
-    texts = docs.select(docs[id_col].alias("least"), docs[text_col].alias("_text"))
-    # sorted joins of the texts whatever the size of the other side: what is shuffled follows the input
-    sets = texts.hint("merge").join(wanted, "least").select("node", "_text").mapInArrow(collect, "node long, n long, elements binary")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
-    clusters = written(components(pairs).withColumnRenamed("root", "cluster"), "clusters")
-    # Small clusters go to the grid as they are, one block each; in large ones the star pairs are verified first.
-    large = clusters.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster")
-    stars = pairs.join(clusters.withColumnRenamed("node", "a"), "a").join(large, "cluster").select("a", "b")
-    links = written(verified(stars, sets, rule), "links")
-    placed = clusters.join(components(links), "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
-    open_ = placed.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
-    more = written(grid_links(written(placed.join(open_, "cluster"), "open"), sets, rule), "links")
-    roots = components(links.unionByName(more))
-    known = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    known = written(known, "known")
-    final = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = known.join(final, "root").select("node", "component_id")
-    out = table.join(label, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+            texts = as_text(batch.column("_text"))
+            sets = shingle_sets(texts, rule)
+            nodes, new = node_of(sets), []
+            for i, (name, s, text) in enumerate(zip(batch.column("_id").to_pylist(), sets, texts, strict=True)):
+                this = (name, xxhash.xxh3_64_intdigest(text.as_buffer() or b""))
+                if not len(s) or this not in seen:
+                    new.append(i)
+                    seen.add(this)
+            taken = batch.take(pa.array(new, pa.int64()))
+            empty = np.array([not len(sets[i]) for i in new], bool)
+            yield pa.RecordBatch.from_arrays([taken.column("_id"), pa.array(nodes[new], mask=empty), taken.column("_kept")], ["_id", "_node", "_kept"])
+
+    named = rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _node long, _kept {rows.schema['_kept'].dataType.simpleString()}")
+    same = named["_id"].eqNullSafe(winners["_id"]) & (named["_node"] == winners["_node"])
+    joined = named.hint("merge").join(winners, same, "left").where(named["_node"].isNull() | F.col("_wins")).select(named["_id"], named["_node"], "_kept")
+    order = F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.col(f"_kept.`{text_col}`"), F.to_json("_kept")))
+    numbered = joined.withColumn("_number", F.when(F.col("_node").isNull(), F.lit(1)).otherwise(order))
+    return numbered.where("_number = 1").select("_kept.*")
