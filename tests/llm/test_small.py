@@ -366,53 +366,74 @@ def test_digest_helpers():
 
 
 def brute_kneser_ney(rows):
-    """Scorer of a word by exact counts: (text, toxic) rows, each n-gram with a count of its own."""
-    top = defaultdict(lambda: [0, 0])
-    cut = lambda w: [(b"\1" * 6 + w.encode() + b"\2")[i + 1 : i + 7] for i in range(len(w.encode()) + 1)]
+    """Log ratio of a text by exact counts of (text, toxic) rows, each expression with a count of its own."""
+    d, counts = 0.75, defaultdict(lambda: [0, 0])
     for text, y in rows:
-        for w in set(text.split()):
-            for g in cut(w):
-                top[g][y] += 1
-    levels = {6: dict(top)}
-    for k in range(5, 0, -1):
-        levels[k] = defaultdict(lambda: [0, 0])
-        for g, n in levels[k + 1].items():
-            for c in (0, 1):
-                levels[k][g[1:]][c] += n[c]
-    totals = [sum(n[c] for n in top.values()) for c in (0, 1)]
-    ratios, lower = {}, None
-    for k in range(1, 7):
-        used = {g: list(n) for g, n in levels[6].items()} if k == 6 else defaultdict(lambda: [0, 0])
-        for g, n in levels[k + 1].items() if k < 6 else ():
-            for c in (0, 1):
-                used[g[1:]][c] += k <= 2 or n[c] > 0
-        total, kinds = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-        for g, n in used.items():
-            for c in (0, 1):
-                total[g[:-1]][c] += n[c]
-                kinds[g[:-1]][c] += n[c] > 0
-        now = {}
-        for g, n in used.items():
-            t, u, base = total[g[:-1]], kinds[g[:-1]], lower[g[1:]] if lower else (1 / 256, 1 / 256)
-            now[g] = [(max(n[c] - 0.75, 0) + 0.75 * u[c] * base[c]) / t[c] if t[c] else base[c] for c in (0, 1)]
-            seen = levels[k][g]
-            g2 = 2 * sum(seen[c] * np.log(max(seen[c], 1e-9) / max(sum(seen) * totals[c] / sum(totals), 1e-9)) for c in (0, 1))
-            ratios[g] = np.log(max(now[g][1], 1e-12)) - np.log(max(now[g][0], 1e-12)) if g2 >= 5.5 * np.log(len(rows) + 2) else 0.0
-        lower = now
-    return lambda w: sum(next((ratios[g[i:]] for i in range(6) if g[i:] in ratios), 0.0) for g in cut(w))
-
-
-def test_toxicity_counts_every_ngram(spark):
-    """No n-gram shares a count or a ratio with another: each word's ratio is that of exact counts."""
+        w = text.split()
+        for pair in set(zip(["", *w], w)):
+            counts[pair][y] += 1
+    kinds, docs = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for (_, w), n in counts.items():
+        for c in (0, 1):
+            kinds[w][c] += n[c] > 0
+            docs[w][c] += n[c]
+    total = [sum(k[c] for k in kinds.values()) for c in (0, 1)]
+    words = [sum(k[c] > 0 for k in kinds.values()) for c in (0, 1)]
+    top = [sum(n[c] for n in counts.values()) for c in (0, 1)]
+
+    def one(w, c):
+        return (max(kinds[w][c] - d, 0) + d * words[c] * sum(kinds[w]) / sum(total)) / total[c]
+
+    def two(u, w, c):
+        return (max(counts[u, w][c] - d, 0) + d * total[c] * one(w, c) * sum(counts[u, w]) / sum(docs[w])) / top[c]
+
+    def ratio(u, w):
+        if w not in kinds or sum(kinds[w]) < 3:
+            return 0.0
+        if (u, w) in counts and counts[u, w][1] >= 3:
+            return np.log(two(u, w, 1) / two(u, w, 0))
+        return np.log(one(w, 1) / one(w, 0))
+
+    return lambda text: sum(ratio(u, w) for u, w in zip(["", *text.split()], text.split()))
+
+
+def test_toxicity_counts_every_expression(spark):
+    """No expression shares a count or a ratio with another: each text's ratio is that of exact counts."""
     rng = random.Random(3)
-    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß", k=9)) for _ in range(2400)]
-    rows = [(i, " ".join(words[i % 2 :: 2]), i % 2) for i in range(160)]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß", k=4)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words[i % 2 * 100 :][:200]) for _ in range(60)), i % 2) for i in range(400)]
+    rows += [(400 + i, " ".join(words[:2] * 3), 1) for i in range(16)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     ratio = brute_kneser_ney([r[1:] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 < 2])
-    unseen = [w[::-1] for w in words[:300]]
-    got = toxicity.score(spark.createDataFrame(list(enumerate(words + unseen)), "doc_id long, text string"), model).collect()
-    assert len(got) == 2700 and max(abs(r.log_ratio) for r in got) > 1
+    unseen = [w[::-1] for w in words[:30]]
+    texts = [r[1] for r in rows] + words + unseen
+    marked = spark.createDataFrame([(i, t.upper().replace(" ", ", ") + "...") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = toxicity.score(marked, model).collect()
+    assert len(model.pairs[0]) and len(got) == len(texts) and max(abs(r.log_ratio) for r in got) > 1
     for r in got:
-        assert r.log_ratio == pytest.approx(ratio((words + unseen)[r.doc_id]), abs=1e-4)
+        if "ß" not in texts[r.doc_id]:  # its capital letters are two
+            assert r.log_ratio == pytest.approx(ratio(texts[r.doc_id]), abs=1e-9)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Held-out labels of a larger table, far beyond the share of either class."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").select("doc_id", "score", "toxic").collect()
+    rows = sorted((r.score, r.toxic) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    rank = [i for i, (_, y) in enumerate(rows) if y]
+    auc = (sum(rank) - len(rank) * (len(rank) - 1) / 2) / (len(rank) * (len(rows) - len(rank)))
+    caught = [y for s, y in rows if s >= 0.3]
+    assert auc > 0.9 and sum(caught) > 0.85 * len(rank) and sum(caught) > 0.75 * len(caught)
+
+
+def test_classifiers_on_odd_rows(spark):
+    """Repeated rows, a very long text, null ids and columns that clash with results."""
+    texts, labels = labelled(spark)
+    odd = [(1, "same", "x", 3), (1, "same", "x", 3), (None, "vileak " * 5, "x", 3), (2, "the vileak of " + "x y " * 300_000, "x", 3), (3, None, None, None)]
+    rows = spark.createDataFrame(odd, "doc_id long, text string, score string, n_words int")
+    for module, label in ((toxicity, "toxic"), (quality_model, "quality")):
+        got = module.score(rows, module.train(texts, labels, label_col=label), keep=("doc_id",)).collect()
+        assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1
