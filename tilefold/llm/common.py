@@ -38,6 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _recorders: list[list[str]] = []
+#: What marks the name of a catalog table among recorded paths.
+_TABLE = "table "
 
 
 @contextmanager
@@ -61,7 +63,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Deletes working tables; what has been read from them must be stored by then."""
     while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        name = paths.pop()
+        if name.startswith(_TABLE):
+            spark.sql(f"drop table if exists {name.removeprefix(_TABLE)}")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -78,9 +84,13 @@ def work_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
         base = tempfile.mkdtemp(prefix="tilefold-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _record(path, lasting)
+    return path
+
+
+def _record(path: str, lasting: bool) -> None:
     for paths in _recorders[: len(_recorders) - lasting] if _recorders else []:
         paths.append(path)
-    return path
 
 
 def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
@@ -98,6 +108,15 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written to a lasting working table in buckets of ``column``, so that joins on it do not move the table."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    _record(_TABLE + table, True)
+    df.write.option("path", work_path(spark, name, lasting=True)).bucketBy(min(buckets, 100_000), column).saveAsTable(table)
+    return spark.table(table)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the documents whose labels may never be learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2

@@ -1,20 +1,23 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
-Documents are encoded once into a working table of ids, together with the document frequency of
-every token id of each slice; their sum over all documents (one number for each vocabulary
-entry, a bounded table) gives the idf.
+Documents are encoded once into blocks of ids, in a working table that is bucketed by block, with
+the document frequency of every token id of each block; their sum over all documents (one number
+for each vocabulary entry, a bounded table) gives the idf.
 
 A first retrieval goes over the whole corpus and brings related documents together wherever they
-are stored: each document looks up the pairs of its ``LOOKED_UP`` terms of most BM25 weight, the
-documents of a pair are counted, and its home is the pair of most weight that another document
-looks up too. The table is dealt by range of the homes, rarest term first, so documents of one
-home, and then those of one term, are neighbours in it, whatever the number of them.
+are stored: each document looks up the pairs of its ``LOOKED_UP`` terms of most BM25 weight, and
+its home is the pair of most weight that another document looks up too. The homes come back to the
+blocks without moving these, and the documents are dealt by range of their homes, rarest term
+first, so documents of one home, and then those of one term, are neighbours, whatever the number
+of them (splitters come from at most ``SAMPLED`` of them).
 
 The inverted index is sharded: a shard holds the documents of a stretch of that order, by their
 whole texts, so it is built, searched and used up in one task. In a shard, the longest unused
-document seeds a window; its BM25 neighbours (terms are token ids; an idf of 0 or less is left out) follow by score while
-they fit, and the best one that does not fit is cut to fill the window to its end. What a cut
-leaves stays in the index. Windows of a document longer than a window are cut off first.
+document seeds a window; its BM25 neighbours (terms are token ids; an idf of 0 or less is left
+out) follow by score, each time the best one that fits, and where none fits the best one is cut to
+fill the window to its end. What a cut leaves stays in the index. Where a seed has no unused
+neighbour, the next documents of the shard follow in its place. Windows of a document longer than
+a window are cut off first.
 
 What remains of a shard at last is shorter than a window and goes into sequences whose lengths
 are powers of two, so no sequence needs padding.
@@ -30,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, slices, written
+from .common import as_text, bucketed, slices, written
 from .word_bpe import encoder
 
 WINDOW = 4096
@@ -42,22 +45,34 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
 #: Terms of a document whose pairs are looked up in the whole corpus.
 LOOKED_UP = 8
 K1, B = 1.2, 0.75
-#: Neighbours that are tried whole before one is cut.
-TRIED = 32
+#: Documents whose homes give the splitters, about.
+SAMPLED = 200_000
+#: Bits of a row's number that count inside its block.
+_INDEX = 24
+
+
+def _arrays(lists: pa.Array) -> list[np.ndarray]:
+    """The lists of 16-bit ids, without copies."""
+    flat, at = np.asarray(lists.values), np.asarray(lists.offsets).tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
+def _block(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(pa.py_buffer(data)) as reader:
+        return reader.read_next_batch()
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A working table: for each document its ``ids`` (16-bit) and a number of its ``row``, for each slice its ``df`` (32-bit)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """A working table of blocks: number, number of documents and of ids, ``df`` (32-bit) and ``data`` (``_id`` and 16-bit ``ids`` of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, row = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        own, first_block = encoder(tokenizer), TaskContext.get().partitionId() << 20
         vocabulary = own.library.get_vocab_size()
         if vocabulary > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit in 16 bits")
-        for batch in slices(batches, "_text"):
+        for number, batch in enumerate(slices(batches, "_text")):
             ids, first = own.encode(as_text(batch.column("_text")))
             lengths = np.diff(first) + 1
             ends = np.cumsum(lengths)
@@ -65,18 +80,21 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
             inner = np.ones(len(flat), bool)
             inner[ends - 1] = False
             flat[inner] = ids
-            seen = np.unique(np.repeat(np.arange(batch.num_rows, dtype=np.int64), lengths) << 16 | flat) & 0xFFFF
-            df = np.bincount(seen, minlength=vocabulary).astype("<i4")
-            data = flat.tobytes()
-            at = np.concatenate([[0], ends * 2]).tolist()
-            rows = pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.arange(row, row + n)), rows, pa.nulls(n, pa.binary())], ["_id", "row", "ids", "df"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column("_id").type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary())], ["_id", "row", "ids", "df"])
-            row += n
+            held = np.zeros(vocabulary, np.int64)
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), lengths)
+            seen = np.unique(owner << 16 | flat) & 0xFFFF
+            held += np.bincount(seen, minlength=vocabulary)
+            rows = pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))], ["_id", "ids"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first_block + number]), pa.array([batch.num_rows]), pa.array([len(flat)]), pa.array([held.astype("<i4").tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                ["block", "docs", "tokens", "df", "data"],
+            )
 
     picked = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    return written(picked.mapInArrow(run, f"_id {kind}, row long, ids binary, df binary"), "ids")
+    return bucketed(picked.mapInArrow(run, "block long, docs long, tokens long, df binary, data binary"), "ids", "block")
 
 
 def document_frequencies(table: DataFrame, fan: int = 32) -> np.ndarray:
@@ -91,7 +109,7 @@ def document_frequencies(table: DataFrame, fan: int = 32) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([0], pa.int64())], ["df", "wide"])
 
-    partial = table.where("df is not null").select("df").mapInArrow(add, "df binary, wide long")
+    partial = table.select("df").mapInArrow(add, "df binary, wide long")
     rows = partial.repartition(fan).mapInArrow(add, "df binary, wide long").collect()  # ``fan`` rows
     return sum((np.frombuffer(r.df, "<i8") for r in rows), np.zeros(0, np.int64) if not rows else 0)
 
@@ -128,26 +146,48 @@ def lookups(texts: list[np.ndarray], idf: np.ndarray, mean_length: float) -> tup
 
 
 def homes(table: DataFrame, idf: np.ndarray, mean_length: float) -> DataFrame:
-    """For each ``row`` with a useful term its ``home``: the pair of most weight that another one looks up, or else its own."""
+    """A working table of each ``row`` (block and index) with a useful term and its ``home``: the pair of most weight that another one looks up, or else its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
-            rows, ends = np.asarray(batch.column("row")), np.cumsum([0, *map(len, texts)])
-            first = 0
-            while first < len(texts):  # some documents at a time, to bound the postings
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SHARD_TOKENS, side="right")) - 1)
-                doc, pair, weight = lookups(texts[first:last], idf, mean_length)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[first + doc]), pa.array(pair), pa.array(weight.astype(np.float32))], ["row", "pair", "weight"])
-                first = last
-
-    pairs = written(table.where("df is null").select("row", "ids").mapInArrow(run, "row long, pair long, weight float"), "pairs")
-    shared = pairs.groupBy("pair").count().where("count > 1").select("pair", F.lit(True).alias("shared"))
-    found = pairs.join(shared.hint("merge"), "pair", "left")
-    best = F.max(F.struct(F.coalesce("shared", F.lit(False)).alias("shared"), "weight", "pair"))
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                texts = _arrays(_block(data).column("ids"))
+                ends, first = np.cumsum([0, *map(len, texts)]), 0
+                while first < len(texts):  # some documents at a time, to bound the postings
+                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + SHARD_TOKENS, side="right")) - 1)
+                    doc, pair, weight = lookups(texts[first:last], idf, mean_length)
+                    order = np.lexsort([pair, -weight, doc])
+                    best = np.zeros(len(doc), bool)
+                    best[order] = np.append(True, doc[order][1:] != doc[order][:-1])[: len(doc)]
+                    row = (block << _INDEX) + first + doc
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pair), pa.array(weight.astype(np.float32)), pa.array(best)], ["row", "pair", "weight", "best"])
+                    first = last
+
+    pairs = table.select("block", "data").mapInArrow(run, "row long, pair long, weight float, best boolean")
+    same = Window.partitionBy("pair")
+    found = pairs.withColumn("shared", F.min("row").over(same) != F.max("row").over(same)).where("shared or best")
+    best = F.max(F.struct("shared", "weight", "pair"))
     return written(found.groupBy("row").agg(best.alias("best")).select("row", F.col("best.pair").alias("home")), "homes")
 
 
+def splitters(found: DataFrame, rows: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Homes and rows that cut the order of (home, row) into about equal parts."""
+    every = max(1, rows // SAMPLED)
+    some = found.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("home", "row").toArrow()
+    home, row = (np.asarray(some.column(c)) for c in ("home", "row"))
+    order = np.lexsort((row, home))
+    at = order[(np.arange(1, parts) * len(order)) // parts] if len(order) else order
+    return home[at], row[at]
+
+
+def part_of(home: np.ndarray, row: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many cuts are not above each (home, row)."""
+    merged = np.lexsort((np.append(np.zeros(len(cuts[0]), int), np.ones(len(home), int)), np.append(cuts[1], row), np.append(cuts[0], home)))
+    out = np.empty(len(merged), np.int64)
+    out[merged] = np.cumsum(merged < len(cuts[0]))
+    return out[len(cuts[0]) :]
+
+
 class Shard:
     """Documents' last stretches (shorter than a window) and an inverted index of their whole texts."""
 
@@ -185,25 +225,18 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float, tex
         scores = shard.scores(seed)
         pieces, room = [(seed, int(start[seed]), int(left[seed]))], WINDOW - int(left[seed])
         start[seed], left[seed] = start[seed] + left[seed], 0
-        ranked = np.flatnonzero(left)
-        ranked = ranked[np.argsort(-scores[ranked], kind="stable")]
-        waiting: list[int] = []
-        for doc in ranked.tolist():
-            if not room:
-                break
-            if left[doc] <= room:
-                pieces.append((doc, int(start[doc]), int(left[doc])))
-                room -= int(left[doc])
-                start[doc], left[doc] = start[doc] + left[doc], 0
-            else:
-                waiting.append(doc)
-                if len(waiting) >= TRIED:
-                    break
-        if room:  # the best neighbour that does not fit whole; there is one, as the rest is no less than a window
-            doc = waiting[0]
-            pieces.append((doc, int(start[doc]), room))
-            start[doc] += room
-            left[doc] -= room
+        unused = np.flatnonzero(left)
+        unused = unused[np.argsort(-scores[unused], kind="stable")]
+        for ranked in (unused[scores[unused] > 0], unused[scores[unused] <= 0]):  # neighbours, then the others
+            while room and len(ranked):
+                fitting = np.flatnonzero(left[ranked] <= room)
+                i = int(fitting[0]) if len(fitting) else 0
+                doc, take = int(ranked[i]), int(min(room, left[ranked[i]]))
+                pieces.append((doc, int(start[doc]), take))
+                start[doc] += take
+                left[doc] -= take
+                room -= take
+                ranked = np.delete(ranked, i)
         sequences.append(pieces)
         total -= WINDOW
     rest = [(d, int(start[d]), int(left[d])) for d in np.flatnonzero(left).tolist()]
@@ -228,10 +261,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     """Pieces: ``id_col``, ``start``, ``length``, ``ids`` (little-endian 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
     table = encoded(docs, tokenizer, end_id, id_col, text_col)
     df = document_frequencies(table)
-    n_docs, n_tokens = table.where("df is null").agg(F.count("*"), F.sum(F.length("ids") / 2)).first()
+    n_docs, n_tokens = table.agg(F.sum("docs"), F.sum("tokens")).first()
+    n_docs = n_docs or 0
     mean_length = (n_tokens or 0) / max(n_docs, 1)
     idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0)
-    id_type = table.schema["_id"].dataType.simpleString()
+    id_type = docs.schema[id_col].dataType.simpleString()
     names = ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +309,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
         if ids_of:
             yield from flush()
 
-    dealt = table.where("df is null").select("_id", "row", "ids").join(homes(table, idf, mean_length).hint("merge"), "row", "left")
-    dealt = dealt.repartitionByRange("home", "row").sortWithinPartitions("home", "row").select("_id", "ids")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = homes(table, idf, mean_length)
+    cuts = splitters(found, n_docs, parts)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with their part and their home (-1 without one)."""
+        for batch in batches:
+            for n in range(batch.num_rows):
+                block, listed = batch.column("block")[n].as_py(), batch.column("homes")[n].values
+                rows = _block(batch.column("data")[n].as_py())
+                row, home = (block << _INDEX) + np.arange(rows.num_rows), np.full(rows.num_rows, -1, np.int64)
+                if listed is not None:
+                    home[np.asarray(listed.field("row")) - (block << _INDEX)] = np.asarray(listed.field("home"))
+                ids = pa.array([x.tobytes() for x in _arrays(rows.column("ids"))], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part_of(home, row, cuts).astype(np.int32)), pa.array(home), pa.array(row), rows.column("_id"), ids], ["part", "home", "row", "_id", "ids"])
+
+    by_block = found.groupBy(F.shiftright("row", _INDEX).alias("block")).agg(F.collect_list(F.struct("row", "home")).alias("homes"))
+    placed = table.select("block", "data").join(by_block.hint("merge"), "block", "left").mapInArrow(place, f"part int, home long, row long, _id {id_type}, ids binary")
+    dealt = placed.repartitionById(parts, "part").sortWithinPartitions("home", "row").select("_id", "ids")
     out = dealt.mapInArrow(run, f"_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

@@ -26,7 +26,6 @@ left out.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, as_text, mix, raw_bytes, slices, work_path, written
+from .common import MIX_A, MIX_B, as_text, bucketed, mix, raw_bytes, slices, written
 
 LENGTH, K = 50, 20
 LEFT = LENGTH - K
@@ -299,11 +298,7 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([number]), pa.array([lead_of(raw, some).tolist()], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pid", "block", "sample", "data"])
 
     # 1. Blocks, bucketed by the task that wrote them.
-    name = f"suffix_blocks_{uuid.uuid4().hex}"
-    tasks = max(1, picked.rdd.getNumPartitions())
-    blocks = picked.mapInArrow(write, "pid long, block long, sample array<long>, data binary")
-    blocks.write.option("path", work_path(spark, "blocks")).bucketBy(min(max(tasks, buckets), 100_000), "pid").saveAsTable(name)
-    table = spark.table(name)
+    table = bucketed(picked.mapInArrow(write, "pid long, block long, sample array<long>, data binary"), "suffix_blocks", "pid")
     cuts = table.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)] or [0.5], 1000)).first()[0] or []
     splitters = np.unique(np.array(cuts, np.int64))
 
