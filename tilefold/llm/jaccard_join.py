@@ -287,8 +287,10 @@ def local_links(clusters: DataFrame, pairs: DataFrame, sets: DataFrame, rule: Ru
     placed = clusters.hint("merge").join(large, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     rows = placed.select("cluster", block_of("blocks").alias("block"), "node", F.col("node").alias("root"), F.lit(True).alias("left"))
     degree = pairs.groupBy(F.col("a").alias("node")).agg(F.sum("buckets").alias("degree")).join(clusters, "node")
+    best = Window.partitionBy("cluster", "salt").orderBy(F.desc("degree"), "node")
+    some = degree.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS)
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "node"))
-    hubs = degree.join(large, "cluster").withColumn("rank", rank).where(F.col("rank") <= HUBS)
+    hubs = some.join(large, "cluster").withColumn("rank", rank).where(F.col("rank") <= HUBS)
     hubs = hubs.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", F.col("node").alias("root"), F.lit(True).alias("left"))
     return compared(rows.unionByName(hubs), sets, rule, ["cluster", "block"])
 
