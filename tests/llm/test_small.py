@@ -299,6 +299,40 @@ def test_html_keeps_heading_and_lead(spark):
     assert got == {i: f"Title {i}\nLead {i}\n{long}{i}" for i in range(6)} | {9: f"Before\n{long.strip()}"}
 
 
+def test_html_by_template(spark):
+    """Text that repeats on a host without telling names, names that only look like roles, copies of a page, and deep nesting."""
+
+    def page(i):
+        side = f"<section class='side by side'><p>Real body text {i}</p></section>"
+        return f"<html><body><div class=q1>Subscribe now, same on each page</div><div class=q2><h2>Part {i}</h2>{side}<p>Closing words of {i}</p></div></body></html>"
+
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(8)] + [(100 + i, "https://a.example/copy", page(3)) for i in range(30)]
+    deep = 100_000
+    rows += [(900, "https://deep.example/", "<div>" * deep + "<p>At the bottom" + "</div>" * deep), (901, "https://long.example/", "<article>" + "<p>word &amp; word</p>" * 60_000 + "</article>")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, slot string, text string")
+    got = {r.page_id: r.text for r in html_template.extract(df.repartition(3)).collect()}
+    for i, _, html in rows[:38]:
+        n = i if i < 100 else 3
+        assert got[i] == f"Part {n}\nReal body text {n}\nClosing words of {n}"
+    assert got[900] == "At the bottom" and got[901] == "\n".join(["word & word"] * 60_000)
+
+
+def test_html_classes():
+    """Slots against a brute-force deduction over whole occurrence vectors."""
+    rng = random.Random(21)
+    for _ in range(40):
+        shape = rng.choice(["<div class=a><div class=b>{}</div></div>", "<main><div>{}</div></main>", "<div><section class=s>{}</section><em>x</em></div>"])
+        pages = [html_template.Page(shape.format("".join(f"<p>{'text ' * rng.randrange(1, 9)}{i}</p>" for _ in range(rng.randrange(1, 4))))) for i in range(5)]
+        paths = {p: v[:3] for page in pages for p, v in page.paths.items()}
+        vectors = {p: tuple(page.paths.get(p, [0, 0, 0, 0])[3] for page in pages) for p in paths}
+        tokens = [(p, *paths[p], sum(n > 0 for n in v), hash(v), sum(v), sum(page.chars().get(p, 0) for page in pages)) for p, v in vectors.items()]
+        slot, main = html_template.main_slot(tokens)
+        full = max(t[7] for t in tokens)
+        once = [p for p, v in vectors.items() if v == (1,) * 5 and sum(page.chars().get(p, 0) for page in pages) == full]
+        expected = [p for p in once if paths[p][2]] or [max(once, key=lambda p: paths[p][1])]
+        assert slot == expected[0] and main == bool(paths[slot][2])
+
+
 def brute_links(rows, width, percent):
     sets = []
     for d, t in rows:

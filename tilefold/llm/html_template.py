@@ -1,13 +1,16 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page's tokens are its elements, named by their path of tags and classes. Over the pages of a
-host, tokens with the same occurrence vector (as often on each page as one another) form an
-equivalence class. Classes that most pages hold are valid; the class whose tokens stand once on
-each page is the frame of the template, the others nest in its gaps as repeated parts. What the
-frame's tokens enclose are slots. The main slot is the article or main element around the slot of
-nearly all text outside elements of other roles (menus, page headers, footers, sidebars, notices,
-adverts, forms, reader comments); on a host without one it is the innermost slot that holds all of
-that text. Its blocks are the page's text.
+A page's tokens are its elements, named by their path of tags and classes (as a hash of the path
+above and the label, so nesting costs nothing), and, on pages without an article or main element,
+its blocks of text, named by path and text. Over the pages of a host, tokens with the same
+occurrence vector (as often on each page as one another) form an equivalence class. Classes that
+most pages hold are valid; the class whose tokens stand once on each page is the frame of the
+template, the others nest in its gaps as repeated parts. What the frame's tokens enclose are
+slots. The main slot is the article or main element around the slot of nearly all text outside
+elements of other roles (menus, page headers, footers, sidebars, notices, adverts, forms, reader
+comments); on a host without one it is the innermost slot that holds all of that text, and texts
+that are tokens of the template themselves (on at least half of the host's different pages, and
+on ``REPEATED`` of them) are no article's. The other blocks of the slot are the page's text.
 
 Occurrence vectors are never gathered: each is summed up as (pages, sum of a hash of page and
 count), which tasks and Spark add up partially, so a host with a third of all pages is no
@@ -15,11 +18,11 @@ burden. Per host, only tokens on at least half of its pages are kept, which boun
 twice the mean number of tokens of a page.
 
 Blocks: text between block-level tags or ``<br>``, character references decoded, runs of white
-space one space, trimmed, empty blocks left out, joined by ``\\n``.
+space one space, trimmed, empty blocks left out, joined by ``\n``.
 
 Defined results: null and empty html give an empty text; a page without the host's main slot
-is its own template; a null url is a host of its own; repeated rows count as so many pages;
-an empty table gives an empty table; other columns are left out.
+is its own template; a null url is a host of its own; repeated rows count as so many pages, but
+once for texts; an empty table gives an empty table; other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, slices, written
+from .common import as_text, scratch, slices, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template title head textarea select option button svg iframe object canvas".split())
@@ -49,7 +53,7 @@ ENDS_P = BLOCK - frozenset("br body html".split())
 ITEM = {"li": "li", "dt": "dt|dd", "dd": "dt|dd", "tr": "tr", "td": "td|th", "th": "td|th", "option": "option"}
 #: Words in a class, id or role that name another role than the article's.
 ROLE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|complementary|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|"
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|complementary|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|"
     r"notice|alert|cookie|cookies|consent|gdpr|comment|comments|reply|replies|disqus|form|search|login|signup|subscribe|newsletter|popup|modal|share|social|related|breadcrumb|breadcrumbs|pagination|contentinfo)(?:$|[\s_-])",
     re.IGNORECASE,
 )
@@ -57,17 +61,41 @@ ROLE_WORDS = re.compile(
 MAIN_SHARE = 0.9
 
 
-class Page(HTMLParser):
-    """Blocks (path, text, linked characters) and element counts of a page.
+#: Different pages that a text must stand on to be the template's.
+REPEATED = 3
+#: The path of the page itself.
+ROOT = 0
 
-    ``others`` is true for a block inside an element of another role.
-    """
 
-    def __init__(self, html: str):
+def hashed(text: str, seed: int = 0) -> int:
+    """A signed 64-bit hash."""
+    h = xxhash.xxh3_64_intdigest(text, seed=seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@dataclass
+class Element:
+    """An open element: ``inside`` is true in the slot that is looked for."""
+
+    tag: str
+    path: int
+    silent: bool
+    other: bool
+    inside: bool
+
+
+class Page(HTMLParser):
+    """Blocks (path, text, whether in an element of another role, whether in the slot), and of each path its
+    parent, depth, whether it is an article or main element, and how often it stands on the page."""
+
+    def __init__(self, html: str, slot: int | None = None):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, path, silent, other role
-        self.counts: dict[str, int] = defaultdict(int)
-        self.blocks: list[tuple[str, str, bool]] = []
+        self.slot = slot
+        self.stack = [Element("", ROOT, False, False, slot == ROOT)]
+        self.mains = 0  # open article and main elements
+        self.open_tags: dict[str, int] = defaultdict(int)
+        self.paths: dict[int, list[int]] = {ROOT: [ROOT, 0, 0, 1]}
+        self.blocks: list[tuple[int, str, bool, bool]] = []
         self.parts: list[str] = []
         self.feed(html)
         self.close()
@@ -78,13 +106,16 @@ class Page(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                _, path, silent, other = next((s for s in reversed(self.stack) if s[0] in BLOCK or s[2]), ("", "", False, False))
-                if not silent:
-                    self.blocks.append((path, text, other))
+                at = next((e for e in reversed(self.stack) if e.tag in BLOCK or e.silent), self.stack[0])
+                if not at.silent:
+                    self.blocks.append((at.path, text, at.other, at.inside))
 
     def pop_to(self, depth: int) -> None:
-        if any(s[0] in BLOCK for s in self.stack[depth:]):
+        if any(e.tag in BLOCK for e in self.stack[depth:]):
             self.flush()
+        for e in self.stack[depth:]:
+            self.open_tags[e.tag] -= 1
+            self.mains -= e.tag in ("article", "main")
         del self.stack[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -92,27 +123,33 @@ class Page(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        ended = "p" if tag in ENDS_P else ""
-        for i in range(len(self.stack) - 1, -1, -1):
-            open_tag = self.stack[i][0]
-            if open_tag == ended or open_tag in ITEM.get(tag, "").split("|"):
-                self.pop_to(i)
-                break
-            if open_tag in BLOCK and open_tag not in ("p", *ITEM):
-                break
+        ended = {"p"} & self.open_tags.keys() if tag in ENDS_P else set()
+        ended |= set(ITEM.get(tag, "").split("|"))
+        if any(self.open_tags[t] for t in ended if t):
+            for i in range(len(self.stack) - 1, 0, -1):
+                open_tag = self.stack[i].tag
+                if open_tag in ended:
+                    self.pop_to(i)
+                    break
+                if open_tag in BLOCK and open_tag not in ("p", *ITEM):
+                    break
         named = dict(attrs)
-        above = self.stack[-1] if self.stack else ("", "", False, False)
+        above = self.stack[-1]
         label = tag + "".join(f".{c}" for c in (named.get("class") or "").split())
         names = " ".join(named.get(k) or "" for k in ("class", "id", "role"))
         # A header inside the article is a part of it; outside it is the page's.
-        header = tag == "header" and not any(s[0] in ("article", "main") for s in self.stack)
-        frame = tag in ("html", "body", "article", "main")
-        other = above[3] or tag in OTHER_ROLE or header or (not frame and bool(names) and ROLE_WORDS.search(names) is not None) or "hidden" in named
-        path = f"{above[1]}>{label}" if above[1] else label
+        header = tag == "header" and not self.mains
+        main = tag in ("article", "main")
+        frame = main or tag in ("html", "body")
+        other = above.other or tag in OTHER_ROLE or header or (not frame and bool(names) and ROLE_WORDS.search(names) is not None) or "hidden" in named
+        path = hashed(label, seed=above.path & (1 << 64) - 1)
         if tag in SILENT:
             self.flush()
-        self.stack.append((tag, path, above[2] or tag in SILENT, other))
-        self.counts[path] += 1
+        self.stack.append(Element(tag, path, above.silent or tag in SILENT, other, above.inside or path == self.slot))
+        self.open_tags[tag] += 1
+        self.mains += main
+        known = self.paths.setdefault(path, [above.path, len(self.stack) - 1, int(main), 0])
+        known[3] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,104 +158,137 @@ class Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+        if not self.open_tags[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
                 if tag in SILENT:
                     self.parts = []
                 self.pop_to(i)
                 break
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][2]):
+        if not self.stack[-1].silent:
             self.parts.append(data)
 
+    def chars(self) -> dict[int, int]:
+        """Characters of article-like text inside each path."""
+        out = dict.fromkeys(self.paths, 0)
+        for path, text, other, _ in self.blocks:
+            if not other:
+                out[path] += len(text)
+        for path in reversed(self.paths):  # what is opened later is never above
+            if path != ROOT:
+                out[self.paths[path][0]] += out[path]
+        return out
+
 
 def host_of(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
 
 
-def enclosed(page: Page) -> dict[str, int]:
-    """Characters of article-like text inside each path; the path "" is the page."""
-    out: dict[str, int] = defaultdict(int)
-    for path, text, other in page.blocks:
-        if not other:
-            out[""] += len(text)
-            at = len(path)
-            while at > 0:
-                out[path[:at]] += len(text)
-                at = path.rfind(">", 0, at)
-    return out
+Token = tuple[int, int, int, int, int, int, int, int]
 
 
-def main_slot(rows: list[tuple[str, int, int, int, int]]) -> str:
-    """The main slot's path, from tokens (path, pages, vector, times, characters) of one host.
+def main_slot(tokens: list[Token]) -> tuple[int, bool]:
+    """The main slot's path, and whether it is an article or main element, from tokens (path, parent,
+    depth, main, pages, vector, times, characters) of one host.
 
     Tokens are grouped to classes by (pages, vector). A class is a frame if its tokens stand
     once on each of its pages; the frame on most pages is the template's, and a class nests
-    in it where all of its tokens' paths run through one of the frame's. The path "" is the page.
+    in it where all of its tokens' paths run through one of the frame's. ``ROOT`` is the page.
     """
-    classes: dict[tuple[int, int], list[tuple[str, int]]] = defaultdict(list)
-    for path, pages, vector, times, chars in rows:
-        if path and times == pages:
-            classes[pages, vector].append((path, chars))
-    best = ""
-    for (_, _), tokens in sorted(classes.items(), key=lambda c: (-c[0][0], -len(c[1]), min(c[1]))):
-        inside = [t for t in tokens if not best or t[0].startswith(best + ">")]
-        most = max((chars for _, chars in inside), default=0)
-        if not most or (best and most < MAIN_SHARE * dict((p, c) for p, _, _, _, c in rows)[best]):
+    parent = {t[0]: t[1] for t in tokens}
+    chars = {t[0]: t[7] for t in tokens}
+    depth = {t[0]: t[2] for t in tokens}
+
+    def above(path: int) -> Iterator[int]:
+        while path != ROOT and path in parent:
+            yield path
+            path = parent[path]
+
+    def under(path: int) -> set[int]:
+        """The tokens below one; parents come first by depth."""
+        out = {path}
+        for p in sorted(parent, key=depth.__getitem__):
+            if p != ROOT and parent[p] in out:
+                out.add(p)
+        return out - {path}
+
+    classes: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for path, _, _, _, pages, vector, times, _ in tokens:
+        if path != ROOT and times == pages:
+            classes[pages, vector].append(path)
+    best, below = ROOT, set(parent) - {ROOT}
+    for (_, _), paths in sorted(classes.items(), key=lambda c: (-c[0][0], -len(c[1]), min(c[1]))):
+        inside = [p for p in paths if p in below]
+        most = max((chars[p] for p in inside), default=0)
+        if not most or (best != ROOT and most < MAIN_SHARE * chars[best]):
             continue
-        best = max((p for p, chars in inside if chars >= MAIN_SHARE * most), key=lambda p: (p.count(">"), p))
-    article = [p for p, _, _, _, chars in rows if chars and p.rsplit(">", 1)[-1].split(".")[0] in ("article", "main")]
-    held = [p for p in article if best == p or best.startswith(p + ">")]
+        best = max((p for p in inside if chars[p] >= MAIN_SHARE * most), key=lambda p: (depth[p], p))
+        below = under(best)
+    around = set(above(best))
+    held = [t[0] for t in tokens if t[3] and t[7] and t[0] in around]
     if held:
-        return min(held, key=len)
-    total = max((chars for *_, chars in rows), default=0)
-    return max((p for p, pages, _, times, chars in rows if total and times == pages and chars == total), key=lambda p: (p.count(">"), len(p)), default="")
-
-
-def page_slot(page: Page) -> str:
-    chars = enclosed(page)
-    return main_slot([(p, 1, 1 if n == 1 else n + 1, n, chars.get(p, 0)) for p, n in (*page.counts.items(), ("", 1))])
+        return min(held, key=lambda p: (depth[p], p)), True
+    total = max(chars.values(), default=0)
+    every = [t[0] for t in tokens if total and t[6] == t[4] and t[7] == total]
+    return max(every, key=lambda p: (depth[p], p), default=ROOT), False
 
 
-def text_of(page: Page, slot: str | None) -> str:
-    if not slot or slot not in page.counts:
-        slot = page_slot(page)
-    return "\n".join(t for path, t, other in page.blocks if not other and (path == slot or path.startswith(slot + ">") or not slot))
+def text_of(html: str, slot: int | None, main: bool, repeated: frozenset[int]) -> str:
+    page = Page(html, slot)
+    if slot is None or slot not in page.paths:
+        chars = page.chars()
+        slot, main = main_slot([(p, up, depth, is_main, 1, 1 if n == 1 else n + 1, n, chars[p]) for p, (up, depth, is_main, n) in page.paths.items()])
+        page = Page(html, slot)
+    return "\n".join(t for path, t, other, inside in page.blocks if inside and not other and (main or not repeated or hashed(t, path & (1 << 64) - 1) not in repeated))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, its main ``slot``, and the size of its template."""
+    """``host``, its main ``slot``, whether that is an article or ``main`` element, and the ``texts`` of its template."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_html"):
-            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+            sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
             for url, html in zip(batch.column("_url").to_pylist(), as_text(batch.column("_html")).to_pylist(), strict=True):
                 page, host = Page(html), host_of(url)
-                key, chars = xxhash.xxh3_64_intdigest(f"{url}\0{len(html)}\0{html[:256]}"), enclosed(page)
-                for path, n in (*page.counts.items(), ("", 1)):
-                    s = sums[host, path]
-                    s[0] += 1
-                    s[1] += xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), seed=key) >> 24  # sums of 40 bits stay in a long
-                    s[2] += n
-                    s[3] += chars.get(path, 0)
+                own = hashed(html)
+                key, chars = hashed(f"{url}\0{own}") & (1 << 64) - 1, page.chars()
+                for path, (up, depth, main, n) in page.paths.items():
+                    x = sums[host, path, up, depth, main, 0]
+                    x[0] += 1
+                    x[1] += xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), seed=key) >> 24  # sums of 40 bits stay in a long
+                    x[2] += n
+                    x[3] += chars[path]
+                if not any(main for _, _, main, _ in page.paths.values()):
+                    for text in {hashed(t, path & (1 << 64) - 1) for path, t, other, _ in page.blocks if not other} | {ROOT}:
+                        sums[host, text, own, 0, 0, 1] = [1, 0, 0, 0]
             keys, values = list(sums), np.array(list(sums.values()), np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array(values[:, i]) for i in range(4)], ["host", "path", "pages", "vector", "times", "chars"])
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            names = ["host", "path", "parent", "depth", "main", "text", "pages", "vector", "times", "chars"]
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate(types)] + [pa.array(values[:, i]) for i in range(4)], names)
 
     def deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [[(t["path"], t["pages"], t["vector"], t["times"], t["chars"]) for t in row] for row in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([main_slot(t) for t in tokens], pa.string()), pa.array([len(t) - 1 for t in tokens], pa.int64())], ["host", "slot", "tokens"])
+            found = [main_slot([tuple(t.values()) for t in row]) for row in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.bool_())], ["host", "slot", "main"])
 
     picked = pages.select(pages[url_col].alias("_url"), pages[html_col].alias("_html"))
-    sums = picked.mapInArrow(count, "host string, path string, pages long, vector long, times long, chars long")
-    sums = sums.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "vector", "times", "chars")])
+    kinds = "host string, path long, parent long, depth long, main long, text long, pages long, vector long, times long, chars long"
+    sums = picked.mapInArrow(count, kinds).groupBy("host", "path", "parent", "depth", "main", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "vector", "times", "chars")])
     sums = written(sums, "tokens")
-    total = sums.where("path = ''").select("host", F.col("pages").alias("total"))
-    common = sums.join(total, "host").where("2 * pages >= total")
-    grouped = common.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "pages", "vector", "times", "chars"))).alias("tokens"))
-    return grouped.mapInArrow(deduce, "host string, slot string, tokens long")
+    elements = sums.where("text = 0")
+    total = elements.where(F.col("path") == ROOT).select("host", F.col("pages").alias("total"))
+    common = elements.join(total, "host").where("2 * pages >= total")
+    grouped = common.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "parent", "depth", "main", "pages", "vector", "times", "chars"))).alias("tokens"))
+    slots = grouped.mapInArrow(deduce, "host string, slot long, main boolean")
+    # a text's pages are counted once for each different page: its row names the page as parent
+    texts = sums.where("text = 1").groupBy("host", "path").agg(F.count("*").alias("pages"))
+    most = texts.where(F.col("path") == ROOT).select("host", F.col("pages").alias("total"))
+    repeated = texts.where(F.col("path") != ROOT).join(most, "host").where((2 * F.col("pages") >= F.col("total")) & (F.col("pages") >= REPEATED))
+    return slots.join(repeated.groupBy("host").agg(F.collect_list("path").alias("texts")), "host", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -226,14 +296,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_html"):
-            slots, html = batch.column("slot").to_pylist(), as_text(batch.column("_html")).to_pylist()
-            texts = [text_of(Page(h), s) if h else "" for h, s in zip(html, slots, strict=True)]
+            html, held = as_text(batch.column("_html")).to_pylist(), zip(*(batch.column(c).to_pylist() for c in ("slot", "main", "texts")), strict=True)
+            texts = [text_of(h, slot, bool(main), frozenset(repeated or ())) if h else "" for h, (slot, main, repeated) in zip(html, held, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], ["_id", "_url", "_text"])
 
-    found = written(templates(pages, url_col, html_col).select("host", "slot"), "templates")  # its size is known when the join is planned
+    with scratch(pages.sparkSession):
+        found = written(templates(pages, url_col, html_col), "templates", lasting=True)  # its size is known when the join is planned
     url = F.coalesce(pages[url_col], F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     picked = pages.select(pages[id_col].alias("_id"), pages[url_col].alias("_url"), pages[html_col].alias("_html"), host.alias("host"))
-    joined = picked.join(found, "host", "left").select("_id", "_url", "_html", "slot")
+    joined = picked.join(found, "host", "left").select("_id", "_url", "_html", "slot", "main", "texts")
     out = joined.mapInArrow(run, f"_id {pages.schema[id_col].dataType.simpleString()}, _url string, _text string")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.col("_text").alias("text"))
