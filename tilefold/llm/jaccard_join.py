@@ -292,7 +292,7 @@ def local_links(clusters: DataFrame, pairs: DataFrame, sets: DataFrame, rule: Ru
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("degree"), "node"))
     hubs = some.join(large, "cluster").withColumn("rank", rank).where(F.col("rank") <= HUBS)
     hubs = hubs.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", F.col("node").alias("root"), F.lit(True).alias("left"))
-    return compared(rows.unionByName(hubs), sets, rule, ["cluster", "block"])
+    return compared(rows.unionByName(written(hubs, "hubs")), sets, rule, ["cluster", "block"])
 
 
 def grid_links(undecided: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
