@@ -76,6 +76,14 @@ def test_tolerance(spark):
     assert [r.tile_id for r in tile_ops.merge_within(kept, 2).orderBy("cell").collect()] == [0, 1, 2, 0]
 
 
+def test_metatiles_by_palette_and_flags(spark):
+    """Three blocks of equal tiles, of which one has a flipped cell and one another palette; odd sizes have none."""
+    rows = [(0, y * 6 + x, 5, int(x == 4 and y == 0), int(x == 3 and y == 0)) for y in range(2) for x in range(6)]
+    cells = spark.createDataFrame(rows, "image_id int, cell int, tile int, palette int, flags int")
+    assert [r.metatile for r in tile_ops.metatiles(cells, 6).orderBy("block").collect()] == [0, 1, 2]
+    assert tile_ops.metatiles(cells, 3).count() == 0 and tile_ops.metatiles(cells.where("cell < 6"), 6).count() == 0
+
+
 def test_metatiles(spark):
     cells = [(0, c, t) for c, t in enumerate([1, 1, 2, 2, 1, 1, 3, 3, 1, 1, 2, 2, 1, 1, 3, 3])]
     rows = spark.createDataFrame(cells, "image_id int, cell int, tile long")

@@ -100,6 +100,21 @@ def test_text_outputs():
         text.gbc_text(data, 2, "x", "l", "f")
 
 
+def test_text_lines(spark):
+    """Every line of the formats, as the consoles' tools read them."""
+    about, declare = "4 GBC BG attributes (2x2 tiles), from f", "Declare it where it's used: extern const unsigned char"
+    data = bytes([0, 1, 2, 255])
+    assert text.gbc_text(data, 2, "asm-gbdk", "l", "f") == f"; {about}\n; Declare it in C: extern const unsigned char l[4];\n\t.module l\n\t.area _CODE\n_l::\n\t.db 0x00,0x01\n\t.db 0x02,0xff\n"
+    assert text.gbc_text(data, 2, "asm-rgbds", "l", "f") == f"; {about}\nl:\n\tdb $00,$01\n\tdb $02,$ff\n"
+    assert text.gbc_text(data, 2, "c", "l", "f") == f"// {about}\n// {declare} l[4];\nconst unsigned char l[4]={{\n\t0x00,0x01,\n\t0x02,0xff\n}};\n"
+    packed = text.gbc_text(bytes(40), 4, "c-rle", "l", "f").split("\n")
+    assert packed[:4] == ["// 40 GBC BG attributes (4x10 tiles), GBDK RLE packed to 3, from f", "// Unpack with rle_init() then rle_decompress() (gbdk/rledecompress.h)", f"// {declare} l_rle[3];", "const unsigned char l_rle[3]={"]
+    nes = text.nes_text(bytes(4), 2, 2, "c-rle", "l", "f").split("\n")
+    assert nes[0].startswith("// 4 attribute bytes (2x2), NESlib RLE packed to ") and nes[1].startswith(f"// {declare} l_rle[")
+    rows = spark.createDataFrame([("l", "f", 2, bytearray(data))], "label string, source string, width int, data binary")
+    assert text.text_files(rows, text.GBC_FORMATS["asm-rgbds"], "bytes").first().text == "; 4 bytes, from f\nl:\n\tdb $00,$01\n\tdb $02,$ff\n"
+
+
 def test_edit_stream(spark, sf_dir, tmp_path):
     from pyspark.sql import functions as F
 

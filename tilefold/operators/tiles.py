@@ -104,10 +104,16 @@ def merge_within(cells: DataFrame, tolerance: int, image: str = "image_id") -> D
 
 
 def metatiles(cells: DataFrame, tiles_x: int, image: str = "image_id") -> DataFrame:
-    """2x2 quads of tile ids with first-seen ids: (image, block, metatile). ``cells``: image, cell, tile."""
+    """Blocks of 2x2 cells with first-seen ids: (image, block, metatile). ``cells``: image, cell, tile, and palette and flags where it has them.
+
+    Blocks are equal if their tiles, palettes and flags are. An image of an odd number of columns or rows has none.
+    """
+    parts = ["tile", *(c for c in ("palette", "flags") if c in cells.columns)]
     col, row = F.col("cell") % tiles_x, F.floor(F.col("cell") / tiles_x)
-    placed = cells.select(image, "tile", (F.floor(row / 2) * (tiles_x // 2) + F.floor(col / 2)).alias("block"), ((row % 2) * 2 + col % 2).alias("corner"))
-    quads = placed.groupBy(image, "block").agg(*[F.max(F.when(F.col("corner") == i, F.col("tile"))).alias(f"q{i}") for i in range(4)])
+    whole = cells.groupBy(image).agg(F.max(row).alias("last")).where((F.col("last") % 2 == 1) & F.lit(tiles_x % 2 == 0)).select(image)
+    part = F.concat_ws(":", *parts)
+    placed = cells.join(whole, image, "left_semi").select(image, part.alias("part"), (F.floor(row / 2) * (tiles_x // 2) + F.floor(col / 2)).alias("block"), ((row % 2) * 2 + col % 2).alias("corner"))
+    quads = placed.groupBy(image, "block").agg(*[F.max(F.when(F.col("corner") == i, F.col("part"))).alias(f"q{i}") for i in range(4)])
     quads = quads.withColumn("k", F.concat_ws("-", *[F.col(f"q{i}") for i in range(4)]))
     return with_tile_ids(quads, cell="block", image=image).withColumnRenamed("tile", "metatile")
 

@@ -124,15 +124,16 @@ def tile_compress_error(spark, d):
 
 
 _META = f"""with {bridge.MOSAIC}, {_IDS},
-c as (select cell, tile, (cell // 20) // 2 * 10 + (cell % 20) // 2 as block, (cell // 20) % 2 * 2 + cell % 20 % 2 as corner from pat join ids using (k)),
-q as (select block, string_agg(tile::varchar, '-' order by corner) as k from c group by block),
+c as (select pat.cell, ids.tile || ':' || pat.p_size % 4 || ':0' as part from pat join ids using (k)),
+q as (select (cell // {bridge.TILES_X} // 2) * {bridge.TILES_X // 2} + cell % {bridge.TILES_X} // 2 as block, string_agg(part, '-' order by cell) as k from c group by 1),
 m as (select k, row_number() over (order by min(block)) - 1 as metatile from q group by k)
 select block, metatile from q join m using (k)"""
 
 
 @query("metatile_dedup", _META)
 def metatile_dedup(spark, d):
-    cells = tile_ops.with_tile_ids(mosaic(spark, d).drop("tile")).select("image_id", "cell", "tile")
+    """Blocks of 2x2 cells with equal tiles, palettes and flags."""
+    cells = tile_ops.with_tile_ids(mosaic(spark, d).drop("tile")).select("image_id", "cell", "tile", (F.col("p_size") % 4).alias("palette"), F.lit(0).alias("flags"))
     return tile_ops.metatiles(cells, bridge.TILES_X).select("block", "metatile")
 
 
@@ -552,7 +553,7 @@ def as_of_tilesets(cells: DataFrame, sets: DataFrame, span: int = 64) -> DataFra
     return joined.where((F.col("gid") >= F.col("firstgid")) & (F.col("until").isNull() | (F.col("gid") < F.col("until"))))
 
 
-_FLAT = f"""with {bridge.GIDS}, a as (select cell, gid - firstgid as lid, raw from gids asof join ts on gids.gid >= ts.firstgid where cell < 2000),
+_FLAT = f"""with {bridge.GIDS}, a as (select cell, gid - firstgid as lid, raw from gids asof join ts on gids.gid >= ts.firstgid),
 q as (select cell, lid, raw, unnest(range(64)) as p from a),
 f1 as (select *, p % 8 as x, p // 8 as y from q),
 f2 as (select cell, lid, p, case when (raw >> 31) & 1 = 1 then 7 - x else x end as x1, case when (raw >> 30) & 1 = 1 then 7 - y else y end as y1, raw from f1),
@@ -562,14 +563,14 @@ select cell, p::int as p, ((lid * 7 + sy * 8 + sx) % 128)::int as idx from f3"""
 
 @query("layer_flatten", _FLAT)
 def layer_flatten(spark, d):
-    """The pixels of the first 2,000 cells, which is what its SQL covers; ``layer_flatten_whole`` flattens the map."""
-    return flatten(bridge.gid_cells(spark, d).where("cell < 2000"), bridge.tilesets(spark, d))
+    """The pixels of every cell of the map."""
+    return flatten(bridge.gid_cells(spark, d), bridge.tilesets(spark, d))
 
 
-@query("layer_flatten_whole", None)
+@query("layer_flatten_whole", _FLAT)
 def layer_flatten_whole(spark, d):
-    """Every cell of the map to pixels."""
-    return flatten(bridge.gid_cells(spark, d), bridge.tilesets(spark, d))
+    """The same under its earlier name."""
+    return layer_flatten(spark, d)
 
 
 def flatten(cells: DataFrame, sets: DataFrame) -> DataFrame:
@@ -701,8 +702,11 @@ def c_array_rows(spark, d):
 
 
 def mosaic_image(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The mosaic as a true-colour image: eight palettes of four colours."""
-    px = bridge.mosaic_pixels(spark, d)
+    """The mosaic as a true-colour image of eight palettes of four colours.
+
+    The first line of a cell shows all four, so first-fit packing needs no ninth palette at any size.
+    """
+    px = bridge.mosaic_pixels(spark, d).withColumn("v", F.when(F.col("y") == 0, F.col("x") % 4).otherwise(F.col("v")))
     x, y = F.col("cell") % bridge.TILES_X * 8 + F.col("x"), F.floor(F.col("cell") / bridge.TILES_X) * 8 + F.col("y")
     k = F.col("p_size") % 8
     pixels_ = px.select(F.lit(0).alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), (F.col("v") * 64 + k).cast("int").alias("r"), (k * 32).cast("int").alias("g"), (F.col("v") * 32).cast("int").alias("b"), F.lit(255).alias("a"))
