@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, bucketed, slices, written
-from .word_bpe import encoder
+from .word_bpe import WordBpe, encoder
 
 WINDOW = 4096
 #: A shard takes documents up to so many, or so many tokens.
 SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
+#: Bytes of the texts of a block, about; ids whose pairs are found at once, about. Both only bound memory.
+BLOCK_BYTES, AT_ONCE = 4 << 20, 1 << 19
 #: Terms of a document whose pairs are looked up in the whole corpus.
 LOOKED_UP = 8
 K1, B = 1.2, 0.75
@@ -62,6 +64,38 @@ def _block(data: bytes) -> pa.RecordBatch:
         return reader.read_next_batch()
 
 
+def holders(flat: np.ndarray, lengths: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Of documents' 16-bit ids: how many documents hold each."""
+    out, ends = np.zeros(vocabulary, np.int64), np.concatenate([[0], np.cumsum(lengths)])
+    for a in range(0, len(lengths), 1 << 16):  # document and id fit in 32 bits
+        z = min(a + (1 << 16), len(lengths))
+        owner = np.repeat(np.arange(z - a, dtype=np.uint32), lengths[a:z])
+        key = np.sort(owner << np.uint32(16) | flat[ends[a] : ends[z]])
+        out += np.bincount(key[np.append(True, key[1:] != key[:-1])[: len(key)]] & np.uint32(0xFFFF), minlength=vocabulary)
+    return out
+
+
+def encoded_block(own: WordBpe, batch: pa.RecordBatch, end_id: int, number: int) -> pa.RecordBatch:
+    """The row of one block."""
+    vocabulary = own.library.get_vocab_size()
+    ids, first = own.encode(as_text(batch.column("_text")))
+    lengths = np.diff(first) + 1
+    ends = np.cumsum(lengths)
+    flat = np.full(int(ends[-1]), end_id, "<u2")
+    inner = np.ones(len(flat), bool)
+    inner[ends - 1] = False
+    flat[inner] = ids
+    held = holders(flat, lengths, vocabulary)
+    rows = pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))], ["_id", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number]), pa.array([batch.num_rows]), pa.array([len(flat)]), pa.array([held.astype("<i4").tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+        ["block", "docs", "tokens", "df", "data"],
+    )
+
+
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A working table of blocks: number, number of documents and of ids, ``df`` (32-bit) and ``data`` (``_id`` and 16-bit ``ids`` of each)."""
 
@@ -69,29 +103,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         from pyspark import TaskContext
 
         own, first_block = encoder(tokenizer), TaskContext.get().partitionId() << 20
-        vocabulary = own.library.get_vocab_size()
-        if vocabulary > 1 << 16:
+        if own.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit in 16 bits")
-        for number, batch in enumerate(slices(batches, "_text")):
-            ids, first = own.encode(as_text(batch.column("_text")))
-            lengths = np.diff(first) + 1
-            ends = np.cumsum(lengths)
-            flat = np.full(int(ends[-1]), end_id, "<u2")
-            inner = np.ones(len(flat), bool)
-            inner[ends - 1] = False
-            flat[inner] = ids
-            held = np.zeros(vocabulary, np.int64)
-            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), lengths)
-            seen = np.unique(owner << 16 | flat) & 0xFFFF
-            held += np.bincount(seen, minlength=vocabulary)
-            rows = pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))], ["_id", "ids"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first_block + number]), pa.array([batch.num_rows]), pa.array([len(flat)]), pa.array([held.astype("<i4").tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-                ["block", "docs", "tokens", "df", "data"],
-            )
+        for number, batch in enumerate(slices(batches, "_text", BLOCK_BYTES)):
+            yield encoded_block(own, batch, end_id, first_block + number)
 
     picked = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     return bucketed(picked.mapInArrow(run, "block long, docs long, tokens long, df binary, data binary"), "ids", "block")
@@ -121,7 +136,9 @@ def term_weights(texts: list[np.ndarray], idf: np.ndarray, mean_length: float) -
     flat = np.concatenate(texts).astype(np.int64) if n else np.zeros(0, np.int64)
     flat_doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
     useful = idf[flat] > 0
-    key, tf = np.unique(flat[useful] * n + flat_doc[useful], return_counts=True)
+    key = flat[useful] * n + flat_doc[useful]
+    key, tf = np.unique(key.astype(np.uint32) if len(idf) * n < 1 << 32 else key, return_counts=True)
+    key = key.astype(np.int64)
     term, doc = key // max(n, 1), key % max(n, 1)
     return term, doc, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean_length, 1)))
 
@@ -154,7 +171,7 @@ def homes(table: DataFrame, idf: np.ndarray, mean_length: float) -> DataFrame:
                 texts = _arrays(_block(data).column("ids"))
                 ends, first = np.cumsum([0, *map(len, texts)]), 0
                 while first < len(texts):  # some documents at a time, to bound the postings
-                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + SHARD_TOKENS, side="right")) - 1)
+                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + AT_ONCE, side="right")) - 1)
                     doc, pair, weight = lookups(texts[first:last], idf, mean_length)
                     order = np.lexsort([pair, -weight, doc])
                     best = np.zeros(len(doc), bool)

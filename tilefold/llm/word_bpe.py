@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class WordBpe:
         for i, e in zip(hard, self.library.encode_batch_fast([words[i] for i in hard], add_special_tokens=False), strict=True):
             ids[i] = e.ids
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for i in ids for x in i), np.int32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the first id of each text (one more than texts)."""
