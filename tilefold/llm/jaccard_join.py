@@ -54,6 +54,8 @@ BLOCK = 192
 HUBS = 8
 #: Bits of the sketch that is compared before the sets.
 SKETCH_BITS = 2048
+#: Bytes of texts that a task handles at once, about.
+SLICE = 2 << 20
 #: A set is taken up to here by its band; no text is near it.
 LARGEST = 1 << 30
 
@@ -158,7 +160,7 @@ def sized(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """``_id``, set size ``n`` and ``node`` (null for empty sets) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             sets = shingle_sets(as_text(batch.column("_text")), rule)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes), pa.array(node_of(sets), mask=sizes == 0)], ["_id", "n", "node"])
@@ -172,7 +174,7 @@ def keyed_parts(docs: DataFrame, rule: Rule, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = rule.bands(), set()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             sets = shingle_sets(as_text(batch.column("_text")), rule)
             new = []
             for s, node in zip(sets, node_of(sets).tolist(), strict=True):
@@ -206,13 +208,13 @@ def node_sets(docs: DataFrame, wanted: DataFrame, rule: Rule, text_col: str) ->
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with their nodes; a task sends a node once."""
         seen: set[int] = set()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             nodes = node_of(shingle_sets(as_text(batch.column("_text")), rule))
             new = [i for i, x in enumerate(nodes.tolist()) if not (x in seen or seen.add(x))]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), batch.column("_text").take(pa.array(new, pa.int64()))], ["node", "_text"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             sets = shingle_sets(as_text(batch.column("_text")), rule)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "n", "elements"])
 
@@ -349,7 +351,7 @@ def representatives(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with their nodes; a task sends an id with a text once, unless its set is empty."""
         seen: set[tuple] = set()
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             texts = as_text(batch.column("_text"))
             sets = shingle_sets(texts, rule)
             nodes, new = node_of(sets), []
