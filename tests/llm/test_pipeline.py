@@ -86,3 +86,43 @@ def test_packing(steps, spark, sf_dir):
     assert used == sizes
     lengths = np.array(list(sequences.values()))
     assert lengths.max() <= packing.WINDOW and not (lengths & (lengths - 1)).any()
+
+
+def odd_rows(spark):
+    """Nulls, empty and repeated rows, an id of two texts, links through a null id, and columns named like results."""
+    words = [f"word{i}" for i in range(120)]
+    one, two, other = " ".join(words), " ".join(["start", *words]), " ".join(f"other{i}" for i in range(60))
+    bridge = [" ".join(words[:100] + [f"new{k}{i}" for i in range(k)]) for k in (0, 9, 18)]  # neighbours are alike, the ends are not
+    rows = [(1, one), (5, one), (5, other), (7, "repeated row of its own words " * 3), (7, "repeated row of its own words " * 3), (8, None), (8, None), (9, ""), (None, two), (10, "password=abcdefgh1 x")]
+    rows += [(20, " ".join(f"b{w}" for w in bridge[0].split())), (None, " ".join(f"b{w}" for w in bridge[1].split())), (22, " ".join(f"b{w}" for w in bridge[2].split()))]
+    names = ["lang", "source", "n_chars", "spans", "kept", "n_bytes", "score", "n_words", "row", "redacted"]
+    schema = "doc_id long, text string, " + ", ".join(f"{n} {'long' if n == 'n_chars' else 'string'}" for n in names)
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), *"abcdefg") for d, t in rows], schema)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    docs = odd_rows(spark).repartition(3)
+    kept = {name: stage(spark, docs, sf_dir) for name, stage in pipeline.STAGES[1:2]}["jaccard_join"].collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept) == [(1, "word0"), (5, "other"), (7, "repea"), (8, ""), (8, ""), (9, ""), (10, "passw"), (20, "bword")]
+    assert all((r.spans, r.kept, r.row) == ("a", "b", "f") for r in kept)
+    for name, stage in pipeline.STAGES[:-1]:
+        if name != "jaccard_join":
+            after = stage(spark, docs, sf_dir)
+            assert after.columns == docs.columns
+            rows = after.collect()
+            assert len(rows) == 13 and sum(r.text is None for r in rows) == 2
+            assert all((r.spans, r.n_bytes, r.score, r.row, r.redacted) == ("a", "c", "d", "f", "g") for r in rows)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_results_outlive_other_runs(spark, sf_dir):
+    """What one operator's lazy result reads is not deleted by another's run."""
+    from tilefold.llm import jaccard_join, queries
+
+    docs = odd_rows(spark)
+    linked, packed = jaccard_join.link_documents(docs, pipeline.NEAR), queries.packed_pieces(docs)
+    assert pipeline.cut_repeats(spark, docs, sf_dir).count() == 13 and pipeline.redact_secrets(spark, docs, sf_dir).count() == 13
+    assert linked.count() == 13 and packed.select("doc_id").count() >= 13
+    ids = {r.doc_id: r.component_id for r in linked.collect() if r.doc_id in (20, 22)}
+    assert ids == {20: 20, 22: 20}  # linked through a row without an id
