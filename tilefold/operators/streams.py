@@ -40,6 +40,23 @@ def rarest_byte(bytes_: DataFrame) -> DataFrame:
     return used.select("stream", F.array_min(every)["v"].alias("tag"))
 
 
+def tagged_tokens(bytes_: DataFrame, cap: int = 255) -> DataFrame:
+    """Tokens of the tagged run codec: (stream, start, bytes in hex).
+
+    The stream opens with its tag (start -1) and ends with the tag and 0. A run is its value, then again for two, or
+    tag and length - 1 for more; a value that is the tag itself is followed by 1.
+    """
+    byte = lambda v: F.lower(F.lpad(F.hex(v), 2, "0"))
+    tags = rarest_byte(bytes_).withColumn("mark", byte(F.col("tag")))
+    runs = capped_runs(bytes_, cap).join(tags, "stream")
+    literal = F.concat(byte(F.col("v")), F.when(F.col("v") == F.col("tag"), "01").otherwise(""))
+    again = F.when(F.col("n") == 2, literal).when(F.col("n") > 2, F.concat("mark", byte(F.col("n") - 1))).otherwise("")
+    body = runs.select("stream", "start", F.concat(literal, again).alias("bytes"))
+    head = tags.select("stream", F.lit(-1).cast("long").alias("start"), F.col("mark").alias("bytes"))
+    end = runs.groupBy("stream").agg(F.max(F.col("start") + F.col("n")).alias("start"), F.concat(F.first("mark"), F.lit("00")).alias("bytes"))
+    return head.unionByName(body).unionByName(end)
+
+
 def packets(bytes_: DataFrame, distance: int) -> DataFrame:
     """Repeat packets of eight bytes: (stream, packet, control, literals in hex).
 

@@ -1 +1,3 @@
 """Queries and their SQL."""
+
+from . import editor, queries  # noqa: F401  (editor adds its queries to those of queries)

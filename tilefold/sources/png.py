@@ -1,4 +1,4 @@
-"""Indexed PNG files: a reader and a writer over binary columns.
+"""PNG files: readers of indexed and true-colour images, and a writer of indexed ones, over binary columns.
 
 Spark's own image reader loses palette indexes, so files come through ``binaryFile`` and are
 decoded in batches; each file is one row, so files are read in parallel.
@@ -28,8 +28,8 @@ class IndexedImage:
     indexes: np.ndarray  # height x width
 
 
-def _unfiltered(raw: bytes, height: int, stride: int) -> np.ndarray:
-    """Scan lines without their filters (one byte a pixel step, as indexed images have)."""
+def _unfiltered(raw: bytes, height: int, stride: int, step: int = 1) -> np.ndarray:
+    """Scan lines without their filters; ``step`` is the bytes of a pixel (1 for indexed images)."""
     out = np.zeros((height, stride), np.uint8)
     above = np.zeros(stride, np.int64)
     for y in range(height):
@@ -37,61 +37,95 @@ def _unfiltered(raw: bytes, height: int, stride: int) -> np.ndarray:
         if kind == 0:
             row = line
         elif kind == 1:
-            row = np.cumsum(line) % 256
+            row = np.cumsum(line.reshape(-1, step), axis=0).reshape(-1) % 256
         elif kind == 2:
             row = (line + above) % 256
         elif kind in (3, 4):
-            row, left, corner = np.zeros(stride, np.int64), 0, 0
+            row = np.zeros(stride, np.int64)
             for x in range(stride):
                 up = int(above[x])
+                left, corner = (int(row[x - step]), int(above[x - step])) if x >= step else (0, 0)
                 if kind == 3:
                     guess = (left + up) // 2
                 else:
                     base = left + up - corner
                     guess = min((left, up, corner), key=lambda v: abs(base - v))  # the first of equals
-                left, corner = (int(line[x]) + guess) % 256, up
-                row[x] = left
+                row[x] = (int(line[x]) + guess) % 256
         else:
             raise ValueError(f"filter {kind} does not exist")
         out[y] = above = row
     return out
 
 
-def decode(data: bytes) -> IndexedImage:
-    """Reads an indexed PNG; checksums are not looked at."""
+def _parts(data: bytes) -> tuple[tuple, dict[bytes, bytes]]:
+    """The header's fields and the other chunks that are read, by kind; checksums are not looked at."""
     if not data.startswith(SIGNATURE):
         raise ValueError("not a PNG")
-    at, parts, head, palette, alpha, ended = len(SIGNATURE), [], None, None, None, False
+    at, found, ended = len(SIGNATURE), {}, False
     while at + 8 <= len(data) and not ended:
         (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
         body = data[at + 8 : at + 8 + size]
         if len(body) < size:
             raise ValueError("the file is cut off")
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = body
-        elif kind == b"tRNS":
-            alpha = body
-        elif kind == b"IDAT":
-            parts.append(body)
+        found.setdefault(kind, []).append(body)
         ended = kind == b"IEND"
         at += 12 + size
-    if head is None:
+    if b"IHDR" not in found:
         raise ValueError("there is no header")
-    width, height, depth, color, _, _, interlace = head
+    return struct.unpack(">IIBBBBB", found[b"IHDR"][-1]), {kind: b"".join(bodies) if kind == b"IDAT" else bodies[-1] for kind, bodies in found.items()}
+
+
+def _lines(parts: dict[bytes, bytes], height: int, stride: int, step: int = 1) -> np.ndarray:
+    raw = zlib.decompress(parts.get(b"IDAT", b""))
+    if len(raw) < height * (stride + 1):
+        raise ValueError("the pixels are cut off")
+    return _unfiltered(raw, height, stride, step)
+
+
+def decode(data: bytes) -> IndexedImage:
+    """Reads an indexed PNG."""
+    (width, height, depth, color, _, _, interlace), parts = _parts(data)
     if color != 3 or depth not in (1, 2, 4, 8) or interlace:
         raise ValueError("only indexed images of 1, 2, 4 or 8 bits without interlace are read")
-    if palette is None:
+    if b"PLTE" not in parts:
         raise ValueError("there is no palette")
-    stride, raw = (width * depth + 7) // 8, zlib.decompress(b"".join(parts))
-    if len(raw) < height * (stride + 1):
-        raise ValueError("the pixels are cut off")
-    rows = _unfiltered(raw, height, stride)
+    rows = _lines(parts, height, (width * depth + 7) // 8)
     if depth < 8:
         bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
         rows = np.packbits(np.concatenate([np.zeros((*bits.shape[:2], 8 - depth), np.uint8), bits], axis=2), axis=2)[..., 0]
-    return IndexedImage(width, height, palette, alpha, rows[:, :width])
+    return IndexedImage(width, height, parts[b"PLTE"], parts.get(b"tRNS"), rows[:, :width])
+
+
+#: Channels of the colour types of true-colour and grey images.
+_CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def decode_rgba(data: bytes) -> np.ndarray:
+    """Raw colours of any PNG without interlace: height x width x (r, g, b, a), no colour management, alpha not multiplied in.
+
+    True-colour and grey images have 8 bits a channel; their transparent colour has alpha 0. An indexed pixel without an entry is black.
+    """
+    (width, height, depth, color, _, _, interlace), parts = _parts(data)
+    if color == 3:
+        image = decode(data)
+        table = np.zeros((256, 4), np.uint8)
+        table[:, 3] = 255
+        entries = np.frombuffer(image.palette, np.uint8)[: len(image.palette) // 3 * 3].reshape(-1, 3)
+        table[: len(entries), :3] = entries
+        table[: len(image.alpha or b""), 3] = np.frombuffer(image.alpha or b"", np.uint8)
+        return table[image.indexes]
+    if color not in _CHANNELS or depth != 8 or interlace:
+        raise ValueError("only images of 8 bits a channel without interlace are read")
+    n = _CHANNELS[color]
+    own = _lines(parts, height, width * n, n).reshape(height, width, n)
+    out = np.full((height, width, 4), 255, np.uint8)
+    out[..., :3] = own[..., :3] if n >= 3 else own[..., :1]
+    if n in (2, 4):
+        out[..., 3] = own[..., -1]
+    elif b"tRNS" in parts:
+        key = np.frombuffer(parts[b"tRNS"], ">u2")
+        out[..., 3][(own == key).all(axis=2)] = 0
+    return out
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -131,6 +165,34 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, IMAGES)
 
 
+COLORS = "path string, width int, height int, rgba binary, error string"
+
+
+def decode_color_files(files: DataFrame) -> DataFrame:
+    """``path`` and ``content`` to raw colours, whatever the colour type; a file that cannot be read has its ``error`` instead."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    image = decode_rgba(bytes(content))
+                    rows.append((path, image.shape[1], image.shape[0], image.tobytes(), None))
+                except (ValueError, zlib.error, struct.error) as e:
+                    rows.append((path, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "rgba", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, COLORS)
+
+
+def color_pixels(images: DataFrame) -> DataFrame:
+    """Images of raw colours to rows (path, x, y, r, g, b, a), as ``plans.convert`` takes them."""
+    at = F.explode(F.sequence(F.lit(0), (F.col("width") * F.col("height") - 1).cast("int"))).alias("p")
+    rows = images.where("error is null and width * height > 0").select("path", "width", "rgba", at)
+    channels = [F.conv(F.hex(F.substring("rgba", F.col("p") * 4 + i + 1, F.lit(1))), 16, 10).cast("int").alias(c) for i, c in enumerate("rgba")]
+    return rows.select("path", (F.col("p") % F.col("width")).alias("x"), F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), *channels)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path))
 
