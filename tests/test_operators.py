@@ -122,3 +122,15 @@ def test_layer_flatten_covers_the_map(spark, tmp_path):
             expected.add((cell, p, (lid * 7 + y * 8 + x) % 128))
     got = [tuple(r) for r in plans.QUERIES["layer_flatten_whole"](spark, str(tmp_path)).select("cell", "p", "idx").collect()]
     assert len(got) == 64 * len(orders) and set(got) == expected
+
+
+def test_ids_do_not_depend_on_stretches(spark, monkeypatch):
+    rows = [(image, cell, str((cell * 7 + image) % 13)) for image in (0, 1) for cell in (0, 2, 3, 9, 10, 11, 25, 26, 40, 1000)]
+    df = spark.createDataFrame(rows, "image_id int, cell long, k string")
+    expected = {}
+    for image, _, k in sorted(rows):
+        seen = [key for i, key in expected if i == image]
+        expected.setdefault((image, k), len(seen))
+    for stretch in (1, 3, 1 << 16):
+        monkeypatch.setattr(tile_ops, "STRETCH", stretch)
+        assert {(r.image_id, r.k): r.tile for r in tile_ops.first_seen_ids(df).collect()} == expected

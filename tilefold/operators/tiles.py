@@ -6,7 +6,6 @@ aggregated ``groupBy``; cells get them back by an equi-join.
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +13,27 @@ from pyspark.sql import functions as F
 from ..functions import let
 from ..functions.tiles import flipped
 
+#: Cell numbers that are ranked in one task.
+STRETCH = 1 << 16
+
 
 def first_seen_ids(cells: DataFrame, key: str = "k", image: str = "image_id", cell: str = "cell") -> DataFrame:
     """(image, key) with ``tile`` (rank of its first cell, from 0), ``first_cell`` and ``uses``."""
     distinct = cells.groupBy(image, key).agg(F.min(cell).alias("first_cell"), F.count("*").alias("uses"))
-    rank = F.row_number().over(Window.partitionBy(image).orderBy("first_cell")) - 1
-    return distinct.withColumn("tile", rank.cast("long"))
+    return numbered(distinct, "first_cell", "tile", image)
+
+
+def numbered(rows: DataFrame, order: str, name: str, image: str = "image_id") -> DataFrame:
+    """``rows`` with their rank in the image (from 0) by ``order``, a whole number that no two rows of an image share.
+
+    Rows are ranked within stretches of ``STRETCH`` numbers, so one large image is many tasks' work; only
+    the sizes of the stretches, one row for each, are summed up image by image.
+    """
+    placed = rows.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(image).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = placed.groupBy(image, "_stretch").agg(F.count("*").alias("_n")).select(image, "_stretch", before.alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(image, "_stretch").orderBy(order)) - 1
+    return placed.withColumn("_rank", rank).join(offsets, [image, "_stretch"]).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_stretch", "_rank", "_before")
 
 
 def with_tile_ids(cells: DataFrame, key: str = "k", image: str = "image_id", cell: str = "cell") -> DataFrame:
@@ -37,7 +51,7 @@ def with_flipped_ids(cells: DataFrame, tile: str = "tile", image: str = "image_i
     the stored tile, the first one seen, into the cell's; of several the least flags."""
     keyed = cells.withColumn("canon", canonical(F.col(tile)))
     distinct = keyed.groupBy(image, "canon").agg(F.min_by(tile, cell).alias("stored"), F.min(cell).alias("first_cell"))
-    ranked = distinct.withColumn("tile_id", (F.row_number().over(Window.partitionBy(image).orderBy("first_cell")) - 1).cast("long")).drop("first_cell")
+    ranked = numbered(distinct, "first_cell", "tile_id", image).drop("first_cell")
     flags = F.when(F.col(tile) == F.col("stored"), 0)
     for value, (h, v) in ((1, (True, False)), (2, (False, True)), (3, (True, True))):
         flags = flags.when(flipped(F.col(tile), h, v) == F.col("stored"), value)
