@@ -740,4 +740,4 @@ def quantize_stochastic(spark, d):
     from .train import train
 
     px = pixels(spark, d).select("image_id", (F.col("cell") * 64 + F.col("p")).alias("p"), "r", "g", "b")
-    return train(px, 4, seed=1, share=0.05)
+    return train(px, 4, seed=1, share=0.1)
