@@ -96,3 +96,27 @@ def test_true_color_files(spark, tmp_path):
     assert images.where("error is not null").count() == 1
     rows = {(r.path[-5], r.x, r.y): (r.r, r.g, r.b, r.a) for r in png.color_pixels(images).collect()}
     assert rows == {("a", 0, 0): (1, 2, 3, 0), ("a", 1, 0): (9, 8, 7, 255), ("b", 0, 0): (5, 6, 7, 0), ("b", 0, 1): (0, 0, 0, 255)}
+
+
+def test_brightness_cuts_are_the_least_error(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    cases = [[(7, 3)], [(1, 2), (9, 1)], [(1, 1), (2, 1), (3, 1)], [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1)]]
+    cases += [[(int(b), int(rng.integers(1, 90))) for b in sorted(rng.choice(256, n, replace=False))] for n in (4, 6, 9)]
+
+    def error(part):
+        w, s = sum(n for _, n in part), sum(b * n for b, n in part)
+        return sum(b * b * n for b, n in part) - s * s / w
+
+    rows = []
+    for k, bins in enumerate(cases):
+        sums = np.cumsum([[0, 0, 0]] + [[n, b * n, b * b * n] for b, n in bins], axis=0).tolist()
+        rows.append((k, [(i, *x) for i, x in enumerate(sums)]))
+    df = spark.createDataFrame(rows, "k int, z array<struct<i:bigint,sw:bigint,s1:bigint,s2:bigint>>")
+    for r in df.select("k", editor.brightness_cuts(F.col("z")).alias("cuts")).collect():
+        bins, n = cases[r.k], len(cases[r.k])
+        inner = [c for c in r.cuts[1:] if c < n]
+        total = lambda cuts: sum(error(bins[a:b]) for a, b in zip([0, *cuts], [*cuts, n]))  # noqa: B023, B905, E731
+        assert len(inner) == min(4, n) - 1 and inner == sorted(set(inner))
+        assert abs(total(inner) - min(total(list(c)) for c in combinations(range(1, n), len(inner)))) < 1e-6

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import bridge, model
-from ..functions import codecs, color, draws
+from ..functions import codecs, color, draws, let
 from ..operators import streams as stream_ops
 from ..operators import tiles as tile_ops
 from . import queries as base
@@ -140,6 +140,67 @@ def shade_group_means(spark, d):
     return rows.groupBy("shade").agg(total.alias("pixels"), *[mean(c).alias(c) for c in "rgb"])
 
 
+_GROUPS = 4
+
+
+def brightness_cuts(bins: Column) -> Column:
+    """Where each of up to four brightness groups begins, by least squared error; ``bins``: array of (i, sw, s1, s2), the prefix
+    sums of at most 256 bins, with a row of zeros first. Of equal errors the earliest beginning; a group that is not there begins at the end."""
+    inf = F.lit(float("inf"))
+
+    def error(a: Column, b: Column) -> Column:
+        s1 = (b["s1"] - a["s1"]).cast("double")
+        return (b["s2"] - a["s2"]).cast("double") - s1 * s1 / (b["sw"] - a["sw"]).cast("double")
+
+    def with_group(best: Column) -> Column:
+        def last(b: Column) -> Column:
+            tried = F.transform(F.filter(bins, lambda a: a["i"] < b["i"]), lambda a: F.struct((F.get(best, a["i"].cast("int"))["total"] + error(a, b)).alias("total"), a["i"].cast("int").alias("start")))
+            return F.coalesce(F.array_min(tried), F.struct(inf.alias("total"), F.lit(0).alias("start")))
+
+        return F.transform(bins, last)
+
+    n = F.size(bins) - 1
+    none = F.transform(bins, lambda b: F.struct(F.when(b["i"] == 0, 0.0).otherwise(inf).alias("total"), F.lit(0).alias("start")))
+
+    def cuts(known: list[Column]) -> Column:
+        if len(known) <= _GROUPS:
+            return let(with_group(known[-1]), lambda b: cuts([*known, b]))
+        starts, at = [], n
+        for g in range(_GROUPS, 1, -1):
+            at = F.when(n >= g, F.get(known[g], at)["start"]).otherwise(n)
+            starts.insert(0, at)
+        return F.array(F.lit(0), *starts)
+
+    return let(none, lambda b: cuts([b]))
+
+
+@query(
+    "gb_shade_groups",
+    f"""with {base._COL}, l as (select ((299 * r + 587 * g + 114 * b + 500) // 1000)::int as bin, sum(n)::bigint as w from col group by 1),
+    x as (select bin, row_number() over (order by bin) as i, sum(w) over (order by bin)::bigint as sw, sum(w * bin) over (order by bin)::bigint as s1, sum(w * bin * bin) over (order by bin)::bigint as s2 from l),
+    z as (select i, sw, s1, s2 from x union all select 0, 0, 0, 0),
+    e as (select a.i as i, b.i as j, (b.s2 - a.s2)::double - (b.s1 - a.s1)::double * (b.s1 - a.s1)::double / (b.sw - a.sw)::double as err from z a join z b on a.i < b.i),
+    g1 as (select j, err as total from e where i = 0),
+    g2 as (select e.j, min(total + err) as total, arg_min(e.i, (total + err, e.i)) as s from g1 join e on g1.j = e.i group by e.j),
+    g3 as (select e.j, min(total + err) as total, arg_min(e.i, (total + err, e.i)) as s from g2 join e on g2.j = e.i group by e.j),
+    g4 as (select e.j, min(total + err) as total, arg_min(e.i, (total + err, e.i)) as s from g3 join e on g3.j = e.i group by e.j),
+    n as (select count(*) as n, least(4, count(*)) as k from l), c4 as (select n, k, case when n >= 4 then (select s from g4 where j = n) else n end as c4 from n),
+    c3 as (select *, case when n >= 3 then (select s from g3 where j = c4) else n end as c3 from c4), c2 as (select *, case when n >= 2 then (select s from g2 where j = c3) else n end as c2 from c3),
+    o as (select bin, k, k - 1 - (case when i > c2 then 1 else 0 end + case when i > c3 then 1 else 0 end + case when i > c4 then 1 else 0 end) as shade_group from x, c2)
+    select bin, shade_group::int as shade_group, (case when k = 1 then 0 else (6 * shade_group + k - 1) // (2 * (k - 1)) end)::int as shade from o""",
+)
+def gb_shade_groups(spark, d):
+    """The brightness group (0 the brightest) and shade of every bin of an image whose colours are too many."""
+    bins = base.luma_bins(spark, d).withColumn("i", F.row_number().over(Window.orderBy("bin")).cast("long"))  # at most 256 bins
+    sums = bins.select("i", "sw", "s1", "s2").unionByName(spark.sql("select 0L as i, 0L as sw, 0L as s1, 0L as s2"))
+    packed = sums.agg(F.array_sort(F.collect_list(F.struct("i", "sw", "s1", "s2"))).alias("z"))
+    found = packed.select(brightness_cuts(F.col("z")).alias("cuts"), F.least(F.lit(_GROUPS), F.size("z") - 1).alias("k"))
+    group = F.col("k") - F.size(F.filter("cuts", lambda c: c < F.col("i")))
+    rows = bins.crossJoin(F.broadcast(found)).select("bin", "k", group.cast("int").alias("shade_group"))  # one row of cuts
+    shade = F.when(F.col("k") == 1, 0).otherwise(F.floor((6 * F.col("shade_group") + F.col("k") - 1) / (2 * (F.col("k") - 1))))
+    return rows.select("bin", "shade_group", shade.cast("int").alias("shade"))
+
+
 # ---- pixels ----
 
 
