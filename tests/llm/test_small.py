@@ -451,6 +451,24 @@ def test_toxicity_counts_every_expression(spark):
             assert r.log_ratio == pytest.approx(ratio(texts[r.doc_id]), abs=1e-9)
 
 
+def test_toxicity_filter_loses_no_labelled_row(spark):
+    ids = spark.range(-2000, 50_000).select(F.col("id").alias("_id")).unionByName(spark.createDataFrame([(None,)], "_id long"))
+    labelled = spark.range(-2000, 50_000, 9).select(F.col("id").alias("_id"))
+    kept = toxicity.maybe_labelled(ids, labelled)
+    assert kept.join(labelled, "_id").count() == labelled.count()
+    assert kept.count() < 2 * labelled.count()
+    assert toxicity.maybe_labelled(ids, labelled.limit(0)).count() == 0
+
+
+def test_toxicity_joins_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(i, "vile words here" if i % 3 == 0 else "kind words there") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id int, toxic int")
+    models = [toxicity.train(docs, labels.select(F.col("doc_id").cast(t), "toxic")) for t in ("long", "int", "string")]
+    for m in models[1:]:
+        assert all((a == b).all() for x, y in ((m.words, models[0].words), (m.pairs, models[0].pairs)) for a, b in zip(x, y, strict=True))
+        assert len(m.words[0])
+
+
 def test_toxicity_on_held_out_rows(spark):
     """Held-out labels of a larger table, far beyond the share of either class."""
     folder = "/root/testdata/sf0.1"
