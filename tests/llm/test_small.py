@@ -180,7 +180,9 @@ def test_sentencepiece(docs, empty):
     assert sentencepiece_codec.encode_decode(empty, path).count() == 0
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("tile", [2048, 2])
+def test_topk(spark, monkeypatch, tile):
+    monkeypatch.setattr(topk_search, "TILE", tile)
     rng = random.Random(8)
     vectors = [(i, [rng.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(4)]) for i in range(300)]
     vectors += [(100, [0.1] * 4), (100, [0.1] * 4), (7, None), (8, [None, 1.0, 1.0, 1.0]), (9, [float("nan")] * 4), (200, [float("inf")] * 4), (301, [0.5, 0.5]), (None, [0.1] * 4), (400, [3e10, 1.0, 0.0, 0.0]), (401, [-3e10, 0.0, 1.0, 0.0])]
@@ -461,7 +463,7 @@ def test_toxicity_filter_loses_no_labelled_row(spark):
 
 
 def test_toxicity_joins_ids_of_other_types(spark):
-    docs = spark.createDataFrame([(i, "vile words here" if i % 3 == 0 else "kind words there") for i in range(60)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "a" * (i + 1) + (" vile words" if i % 3 == 0 else " kind words")) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id int, toxic int")
     models = [toxicity.train(docs, labels.select(F.col("doc_id").cast(t), "toxic")) for t in ("long", "int", "string")]
     for m in models[1:]:

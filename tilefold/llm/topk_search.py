@@ -17,6 +17,7 @@ the smaller id; a query without candidates has no rows; other columns are left o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE, BLOCK = 2048, 512
-SHARDS = 48
+#: Shards for each square root of the number of tiles: copies of the queries and tasks grow alike.
+SPREAD = 8
 #: Shards whose lists one step of the tree merges.
 FAN = 8
 #: Query blocks whose lists a task holds at once.
@@ -88,6 +90,11 @@ def packed(vectors: DataFrame, size: int, id_col: str, vector_col: str) -> DataF
     return rows.where(F.col("_id").isNotNull() & F.col("_v").isNotNull() & ~F.coalesce(bad, F.lit(False))).mapInArrow(pack, "ids binary, cells binary, width long")
 
 
+def shard_count(rows: int) -> int:
+    """Grows with the square root of the number of tiles, so that neither a shard nor the copies of the queries grow as fast as the input."""
+    return max(1, math.ceil(SPREAD * math.sqrt(math.ceil(rows / TILE))))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k best candidates of each query row."""
 
@@ -121,17 +128,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                 held[key] = (x["shard"], names, row, s, i)
         yield from out()
 
-    tiles = packed(vectors, TILE, id_col, vector_col).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(SHARDS)))
+    shards = shard_count(vectors.count())
+    tiles = packed(vectors, TILE, id_col, vector_col).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
     blocks = packed(vectors.where(is_query), BLOCK, id_col, vector_col).select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("width").alias("q_width"))
-    everywhere = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARDS - 1).cast("long"))))
+    everywhere = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     lists = tiles.join(everywhere, "shard").mapInArrow(multiply, "qkey long, shard long, query_id long, vec_id long, score long")
 
     def merged(rows: DataFrame, *keys: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
         return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    branches = merged(lists.withColumn("branch", F.floor(F.col("shard") / FAN)), "qkey", "branch")
-    return merged(branches, "qkey").select("query_id", "rank", "vec_id", "score")
+    while shards > FAN:
+        lists = merged(lists.withColumn("shard", F.floor(F.col("shard") / FAN)), "qkey", "shard").select(*lists.columns)
+        shards = math.ceil(shards / FAN)
+    return merged(lists, "qkey").select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
