@@ -370,3 +370,18 @@ def representatives(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_co
     order = F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.col(f"_kept.`{text_col}`"), F.to_json("_kept")))
     numbered = joined.withColumn("_number", F.when(F.col("_node").isNull(), F.lit(1)).otherwise(order))
     return numbered.where("_number = 1").select("_kept.*")
+
+
+#: DuckDB SQL of the query, for tables whose ids are neither null nor repeated.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+             else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id < b.doc_id and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90
+      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select a, b from p union select b, a from p),
+r(doc_id, node) as (select distinct a, a from e union select r.doc_id, e.b from r join e on r.node = e.a),
+c as (select doc_id, min(node) as component_id from r group by doc_id)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(c.component_id, s.doc_id) as component_id from s left join c using (doc_id)
+"""

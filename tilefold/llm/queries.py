@@ -95,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op5_topk_search": topk_search.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op5_topk_search": topk_search.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}

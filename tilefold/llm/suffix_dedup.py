@@ -449,3 +449,18 @@ def _distinct(gram: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
     gram = gram[order]
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     return gram[starts], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
+
+#: DuckDB SQL of the query, for tables whose ids are neither null nor repeated.
+ORACLE = r"""
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, length(h) // 2 as n from t),
+p as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from n where n >= 50)),
+m as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as run_ from (
+        select distinct doc_id, unnest(range(i, i + 50)) as i from (select doc_id, i, min(doc_id) over (partition by s) as low from p) where low < doc_id)),
+runs as (select doc_id, min(i) as a, max(i) + 1 as z from m group by doc_id, run_),
+o as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) as was from runs),
+k as (select doc_id, count(*) as n_spans, sum(z - a)::bigint as n_removed, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' order by a) || substr(any_value(h), 2 * max(z) + 1) as kept
+      from o join n using (doc_id) group by doc_id)
+select n.doc_id, n.n as n_bytes, coalesce(k.n_removed, 0) as n_removed, coalesce(k.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.kept, n.h))) as kept_sha256 from n left join k using (doc_id)
+"""
