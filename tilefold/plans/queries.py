@@ -233,7 +233,18 @@ def region_overfull(spark, d):
     return color_sets(spark, d).select("block", F.size("colors").alias("n")).where("n > 12").withColumn("code", F.lit("region-colors"))
 
 
-@query("palette_first_fit")
+_FIRST_FIT = f"""with recursive {bridge.MOSAIC}, s as (select (cell // 20) // 2 * 10 + cell % 20 // 2 as block, list(distinct v * 8 + p_size % 8) as colors from mos group by 1),
+n as (select row_number() over (order by block) as k, block, colors from s),
+f as (select 0::bigint as k, 0::bigint as block, -1 as palette, list_resize([(select any_value(colors) from n)], 0) as palettes
+      union all select k, block, c, case when c < 0 then palettes when c = len(palettes) then list_append(palettes, colors)
+        else list_transform(palettes, lambda p, i: case when i = c + 1 then list_distinct(list_concat(p, colors)) else p end) end
+      from (select n.k, n.block, colors, palettes, (case when len(colors) > 16 then -1 else coalesce(nullif(list_position(list_transform(palettes, lambda p: list_has_all(p, colors)), true), 0),
+              nullif(list_position(list_transform(palettes, lambda p: len(list_distinct(list_concat(p, colors))) <= 16), true), 0), len(palettes) + 1) - 1 end)::int as c
+            from f join n on n.k = f.k + 1))
+select block, palette from f where k > 0"""
+
+
+@query("palette_first_fit", _FIRST_FIT)
 def palette_first_fit(spark, d):
     sets = color_sets(spark, d).withColumn("image_id", F.lit(0)).select("image_id", "block", F.transform("colors", lambda c: c.cast("int")).alias("colors"))
     return tile_ops.first_fit(sets, 16).select("block", "palette")
@@ -477,7 +488,18 @@ def quantize(colors_: DataFrame, start: list[tuple[int, int, int]], rounds: int)
     return palette
 
 
-@query("quantize_batch")
+def _rounds_sql(rounds: int) -> str:
+    """Relations p1, p2 and so on: the palette after each round of K-means."""
+    parts = [f"with {_COL}, {_PAL_SQL}, p0 as (select i, pr, pg, pb from pal)"]
+    for k in range(1, rounds + 1):
+        mean = ", ".join(f"coalesce(floor(s{c}::double / n + 0.5), p{c})::bigint as p{c}" for c in "rgb")
+        parts.append(f"j{k} as (select r, g, b, n, i, {_DIST} as d from col, p{k - 1})")
+        parts.append(f"a{k} as (select i, sum(n) as n, sum(n * r) as sr, sum(n * g) as sg, sum(n * b) as sb from (select *, row_number() over (partition by r, g, b order by d, i desc) as rn from j{k}) where rn = 1 group by i)")
+        parts.append(f"p{k} as (select i, {mean} from p{k - 1} left join a{k} using (i))")
+    return ", ".join(parts)
+
+
+@query("quantize_batch", _rounds_sql(3) + f", j as (select r, g, b, i, {_DIST} as d from col, p3) select r, g, b, i::int as i, d::bigint as d from (select *, row_number() over (partition by r, g, b order by d, i desc) as rn from j) where rn = 1")
 def quantize_batch(spark, d):
     base = colors(spark, d).cache()
     palette = quantize(base, PAL, 3)
@@ -485,7 +507,7 @@ def quantize_batch(spark, d):
     return base.select("r", "g", "b", best["i"].cast("int").alias("i"), best["d"].alias("d"))
 
 
-@query("iterative_checkpoint")
+@query("iterative_checkpoint", _rounds_sql(3) + " " + " union all ".join(f"select {k}::int as round, i::int as i, pr::int as r, pg::int as g, pb::int as b from p{k + 1}" for k in range(3)))
 def iterative_checkpoint(spark, d):
     """The palette after each round, as a table: what a cancelled job would finish from."""
     base, palette, rows = colors(spark, d).cache(), PAL, []
@@ -495,7 +517,20 @@ def iterative_checkpoint(spark, d):
     return spark.createDataFrame(rows, "round int, i int, r int, g int, b int")
 
 
-@query("dither_index_plane")
+def _dither_sql(pattern, steps: int, weight: float) -> str:
+    lin = {c: f"{c}::double * {c}" for c in "rgb"}
+    parts = [f"with {_COL}, {_PAL_SQL}, e0 as (select r, g, b, " + ", ".join(f"0::double as e{c}" for c in "rgb") + " from col)"]
+    for k in range(1, steps + 1):
+        aim = ", ".join(f"sqrt(greatest(0::double, least(65025::double, {v} + e{c} * {weight}::double))) as a{c}" for c, v in lin.items())
+        d = "2 * (ar - pr) * (ar - pr) + 4 * (ag - pg) * (ag - pg) + (ab - pb) * (ab - pb)"
+        parts.append(f"w{k} as (select * from (select *, row_number() over (partition by r, g, b order by d, i desc) as rn from (select *, {d} as d from (select *, {aim} from e{k - 1}), pal)) where rn = 1)")
+        parts.append(f"e{k} as (select r, g, b, " + ", ".join(f"e{c} + {v} - p{c}::double * p{c} as e{c}" for c, v in lin.items()) + f" from w{k})")
+    found = " union all ".join(f"select r, g, b, {k} as n, i, 0.299::double * pr * pr + 0.587::double * pg * pg + 0.114::double * pb * pb as bright from w{k}" for k in range(1, steps + 1))
+    pick = f"case when p % 2 = 0 and p // 8 % 2 = 0 then {pattern[0][0]} when p % 2 = 0 then {pattern[0][1]} when p // 8 % 2 = 0 then {pattern[1][0]} else {pattern[1][1]} end"
+    return ", ".join(parts) + f", l as (select r, g, b, row_number() over (partition by r, g, b order by bright, n) - 1 as nth, i from ({found})) select cell, p, i::int as i from px join l using (r, g, b) where nth = {pick}"
+
+
+@query("dither_index_plane", _dither_sql(model.DITHER_PATTERNS[0], 4, 0.5))
 def dither_index_plane(spark, d):
     return dithered(pixels(spark, d), PAL, model.DITHER_PATTERNS[0], 4, 0.5)
 
