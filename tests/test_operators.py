@@ -1,5 +1,7 @@
 """Small images with known results."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tilefold import model
@@ -68,6 +70,35 @@ def test_first_fit(spark):
     assert [r.palette for r in tile_ops.first_fit(rows, 4).orderBy("block").collect()] == [0, 0, 0, 1, 1, -1]
 
 
+def fit_in_order(sets, capacity):
+    """First-fit block by block."""
+    palettes, chosen = [], []
+    for s in map(set, sets):
+        if len(s) > capacity:
+            chosen.append(-1)
+            continue
+        at = next((i for i, p in enumerate(palettes) if s <= p), None)
+        if at is None:
+            at = next((i for i, p in enumerate(palettes) if len(s | p) <= capacity), len(palettes))
+        if at == len(palettes):
+            palettes.append(set())
+        palettes[at] |= s
+        chosen.append(at)
+    return chosen
+
+
+def test_first_fit_by_brute_force(spark):
+    """Repeated, empty and oversized sets; sets that an earlier palette grows to hold; several images."""
+    rng = random.Random(4)
+    images = [[rng.sample(range(9), rng.choice([0, 1, 2, 2, 3, 3, 4, 5])) for _ in range(120)] for _ in range(6)]
+    images += [[[1, 2], [3, 4, 5], [2, 3], [4], [2, 3]], [[]], [[1, 2, 3, 4, 5]]]
+    rows = [(i, b, s) for i, sets in enumerate(images) for b, s in enumerate(sets)]
+    out = tile_ops.first_fit(spark.createDataFrame(rows, "image_id int, block int, colors array<int>"), 4)
+    got = {(r.image_id, r.block): r.palette for r in out.collect()}
+    assert got == {(i, b): c for i, sets in enumerate(images) for b, c in enumerate(fit_in_order(sets, 4))}
+    assert tile_ops.first_fit(out.limit(0).select("image_id", "block", F.array("palette").alias("colors")), 4).count() == 0
+
+
 def test_tolerance(spark):
     flat = [[v] * 64 for v in (0, 2, 5, 0)]
     rows = spark.createDataFrame([(0, i, t, False) for i, t in enumerate(flat)], "image_id int, cell long, tile array<int>, marked boolean")
