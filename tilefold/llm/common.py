@@ -12,6 +12,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_recorders: list[list[str]] = []
+#: Who keeps count of the working tables made just now: of this thread and call alone.
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 #: What marks the name of a catalog table among recorded paths.
 _TABLE = "table "
 
@@ -45,19 +47,27 @@ _TABLE = "table "
 @contextmanager
 def recorded(paths: list[str]) -> Iterator[list[str]]:
     """Inside, ``paths`` lists the working tables that are made, so that their owner can delete them."""
-    _recorders.append(paths)
+    token = _recorders.set((*_recorders.get(), paths))
     try:
         yield paths
     finally:
-        _recorders[:] = [r for r in _recorders if r is not paths]
+        _recorders.reset(token)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Working tables made inside are deleted at its end, but for those that are ``lasting``."""
-    with recorded([]) as paths:
-        yield
-    delete(spark, paths)
+    """Working tables made inside are deleted at its end, also when it fails, but for those that are ``lasting``."""
+    paths: list[str] = []
+    try:
+        with recorded(paths):
+            yield
+    finally:
+        delete(spark, paths)
+
+
+def _folder(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
@@ -67,15 +77,17 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         if name.startswith(_TABLE):
             spark.sql(f"drop table if exists {name.removeprefix(_TABLE)}")
             continue
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _folder(spark, name)
+        files.delete(path, True)
+        files.cancelDeleteOnExit(path)
 
 
 def work_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
     A folder of our own is made only where that is unset, which is the case in local tests. A
-    ``lasting`` table is one that a lazy result reads: the innermost ``scratch`` leaves it alone.
+    ``lasting`` table is one that a lazy result reads: the innermost ``scratch`` leaves it alone,
+    and whoever calls inside a ``scratch`` or ``recorded`` of their own decides when it goes.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -89,10 +101,17 @@ def work_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
 
 
 def _record(path: str, lasting: bool) -> None:
-    for paths in _recorders[: len(_recorders) - lasting] if _recorders else []:
+    owners = _recorders.get()
+    for paths in owners[: len(owners) - lasting] if owners else ():
         paths.append(path)
 
 
+def _until_exit(spark: SparkSession, name: str) -> None:
+    """A working table that nobody deletes goes when the application ends."""
+    files, path = _folder(spark, name)
+    files.deleteOnExit(path)
+
+
 def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` written to a working table and read again: cuts the lineage, survives lost executors.
 
@@ -105,6 +124,7 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(setting, before)
+        _until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -112,8 +132,12 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """``df`` written to a lasting working table in buckets of ``column``, so that joins on it do not move the table."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     buckets = max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    path = work_path(spark, name, lasting=True)
     _record(_TABLE + table, True)
-    df.write.option("path", work_path(spark, name, lasting=True)).bucketBy(min(buckets, 100_000), column).saveAsTable(table)
+    try:
+        df.write.option("path", path).bucketBy(min(buckets, 100_000), column).saveAsTable(table)
+    finally:
+        _until_exit(spark, path)
     return spark.table(table)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_template, jaccard_join, packing, quality_model, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, topk_search, toxicity
+from . import centroids, html_template, jaccard_join, packing, quality_model, quality_rules, ranked_search, secret_scan, sentencepiece_codec, source_mix, suffix_dedup, topk_search, toxicity
 from .common import held_out, table
 
 
@@ -81,6 +81,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"), jaccard_join.Rule(width=3, percent=90))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -92,7 +104,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_template": op9_html_template,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_source_mix": op12_source_mix,
+    "op13_centroids": op13_centroids,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE, "op5_topk_search": topk_search.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op5_topk_search": topk_search.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_source_mix": source_mix.ORACLE,
+    "op13_centroids": centroids.ORACLE,
+}
