@@ -11,6 +11,7 @@ from .. import bridge, model
 from ..functions import color, let, tiles
 from ..operators import streams as stream_ops
 from ..operators import tiles as tile_ops
+from ..working import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,7 +502,7 @@ def _rounds_sql(rounds: int) -> str:
 
 @query("quantize_batch", _rounds_sql(3) + f", j as (select r, g, b, i, {_DIST} as d from col, p3) select r, g, b, i::int as i, d::bigint as d from (select *, row_number() over (partition by r, g, b order by d, i desc) as rn from j) where rn = 1")
 def quantize_batch(spark, d):
-    base = colors(spark, d).cache()
+    base = stored(colors(spark, d))
     palette = quantize(base, PAL, 3)
     best = color.nearest(*_rgb(), color.literal_colors(palette))
     return base.select("r", "g", "b", best["i"].cast("int").alias("i"), best["d"].alias("d"))
@@ -510,7 +511,7 @@ def quantize_batch(spark, d):
 @query("iterative_checkpoint", _rounds_sql(3) + " " + " union all ".join(f"select {k}::int as round, i::int as i, pr::int as r, pg::int as g, pb::int as b from p{k + 1}" for k in range(3)))
 def iterative_checkpoint(spark, d):
     """The palette after each round, as a table: what a cancelled job would finish from."""
-    base, palette, rows = colors(spark, d).cache(), PAL, []
+    base, palette, rows = stored(colors(spark, d)), PAL, []
     for step in range(3):
         palette = quantize(base, palette, 1)
         rows += [(step, i, *c) for i, c in enumerate(palette)]
