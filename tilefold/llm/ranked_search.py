@@ -36,6 +36,8 @@ from .common import _LOWER, as_text, chunk_array, raw_bytes, scratch, slices, wr
 
 #: Impacts are rounded up to multiples of this: at most 245 steps, a byte.
 STEP = 4096
+#: UTF-8 bytes of the documents in one block of the index.
+INDEX_BYTES = 4 << 20
 #: UTF-8 bytes of the items in one block.
 ITEM_BYTES = 1 << 20
 #: Item blocks of this many bytes in all are broadcast; more are copied to shards.
@@ -103,7 +105,7 @@ def index(docs: DataFrame, documents: int, terms: int, id_col: str = "doc_id", t
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", INDEX_BYTES):
             codes, words, first = cut_terms(as_text(batch.column("_text")))
             lengths = np.diff(first)
             pairs, tf = np.unique(codes.astype(np.int64) * max(batch.num_rows, 1) + np.repeat(np.arange(batch.num_rows), lengths), return_counts=True)
