@@ -1,6 +1,6 @@
 """Conversion of small images."""
 
-from tilefold.plans.convert import convert, files, target
+from tilefold.plans.convert import convert, files, metatile_files, target
 
 
 def image(spark, width, height, pixel, image_id=0):
@@ -50,3 +50,85 @@ def test_generic_transparent(spark):
     out = convert(*image(spark, 8, 8, lambda x, y: None if x == 0 else (1, 2, 3)), to)
     assert [(r.idx, r.key) for r in out["palettes"].orderBy("idx").collect()] == [(0, -1), (1, 0x010203)]
     assert files(out, to).count() == 2
+
+
+BLACK, WHITE, RED, GREEN, BLUE, GRAY = (0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (128, 128, 128)
+
+
+def indexed(spark, width, height, palette, entry, image_id=0):
+    rows = [(image_id, x, y, *palette[entry(x, y)], 255, entry(x, y)) for y in range(height) for x in range(width)]
+    pixels = spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int, a int, entry int")
+    return pixels, spark.createDataFrame([(image_id, width, height)], "image_id int, width int, height int"), spark.createDataFrame([(image_id, i, *c) for i, c in enumerate(palette)], "image_id int, entry int, r int, g int, b int")
+
+
+def shown(out):
+    rows = sorted(out["palettes"].collect(), key=lambda r: (r.palette, r.idx))
+    return [r.key for r in rows], [r.shade for r in rows] if "shade" in out["palettes"].columns else None
+
+
+def strip(*draw):
+    return 8 * len(draw), 8, lambda x, y: draw[x // 8](x % 8, y)
+
+
+def test_monochrome(spark):
+    to = target("gb")
+    four = convert(*image(spark, *strip(lambda x, y: [BLACK, GRAY, (192, 192, 192), WHITE][x & 3])), to)
+    assert [r.pattern[:4] for r in four["tiles"].collect()] == [[3, 2, 1, 0]] and four["registers"].first().bgp == 0xE4
+    two = convert(*image(spark, *strip(lambda x, y: [BLACK, WHITE][x & 1])), to)
+    assert shown(two)[1] == [0, 3, 3, 3] and two["registers"].first().bgp == 0xFC
+    assert {r.file: r.data for r in files(two, to).collect()}["pal"] == "fc"
+    # blue is the most used colour; of four equal others white has the highest key and is left over
+    many = convert(*image(spark, *strip(lambda x, y: [BLACK, WHITE, RED, GREEN][x & 3], lambda x, y: BLUE)), to)
+    assert [(r.code, r.n) for r in many["diagnostics"].collect()] == [("image-colors", 1)] and many["cells"].count() == 0
+
+
+def test_auto_shades(spark):
+    to = target("gb")
+    grays = [(v, v, v) for v in (255, 238, 170, 153, 85, 68, 17, 0)]
+    out = convert(*image(spark, *strip(lambda x, y: grays[x])), to, auto_shades=True)
+    assert [r.pattern[:8] for r in out["tiles"].collect()] == [[0, 0, 1, 1, 2, 2, 3, 3]]
+    assert tuple(out["registers"].first())[1:] == (0xE4, 8)
+    assert shown(out) == ([0xF7F7F7, 0xA2A2A2, 0x4D4D4D, 0x090909], [0, 1, 2, 3])
+    exact = convert(*image(spark, *strip(lambda x, y: grays[x % 4 * 2])), to, auto_shades=True)
+    assert exact["registers"].first().auto_shaded == 0
+
+
+def test_indexed(spark):
+    palette = [BLACK, RED, RED, WHITE, BLUE, GREEN, GRAY, WHITE]
+    out = convert(*(x := indexed(spark, 16, 8, palette, lambda x, y: (4 if x < 8 else 0) + (x & 3)))[:2], target("gbc"), x[2])
+    assert [r.palette for r in out["cells"].orderBy("cell").collect()] == [1, 0]
+    assert shown(out)[0] == [0x0000, 0x001F, 0x001F, 0x7FFF, 0x7C00, 0x03E0, 0x4210, 0x7FFF]
+    assert [r.pattern[:8] for r in out["tiles"].collect()] == [[0, 1, 2, 3, 0, 1, 2, 3]]
+    mixed = convert(*(x := indexed(spark, 8, 8, [BLACK, RED, GREEN, BLUE, WHITE, GRAY, RED, RED], lambda x, y: 5 if x == 0 else 1))[:2], target("gbc"), x[2])
+    assert [(r.code, r.n) for r in mixed["diagnostics"].collect()] == [("region-palettes", 1)]
+
+
+def test_indexed_monochrome(spark):
+    six = [BLACK, WHITE, RED, GREEN, BLUE, GRAY]
+    pixels, sizes, palette = indexed(spark, 8, 8, six, lambda x, y: x % 6)
+    both = convert(pixels, sizes, target("gb"), palette)
+    assert sorted(r.code for r in both["diagnostics"].collect()) == ["palette-count", "region-palettes"]
+    fixed = convert(pixels, sizes, target("gb"), palette, auto_shades=True)
+    assert fixed["registers"].first().auto_shaded == 6 and [r.pattern[:2] for r in fixed["tiles"].collect()] == [[3, 0]]
+    pixels, sizes, palette = indexed(spark, 8, 8, [BLACK, WHITE, WHITE, GRAY], lambda x, y: x & 3)
+    out = convert(pixels, sizes, target("gb"), palette)
+    assert shown(out)[1] == [3, 0, 0, 2] and out["registers"].first().bgp == 3 | 2 << 6
+
+
+def test_metatile_files(spark):
+    base = lambda x, y: RED if x == 0 and y == 0 else GREEN if x == 1 else BLACK
+
+    def draw(x, y):
+        block = x // 16
+        return BLACK if block == 3 else base(7 - x % 8, y % 8) if block == 1 and x % 16 >= 8 and y < 8 else base(x % 8, y % 8)
+
+    pixels, sizes = image(spark, 64, 16, draw)
+    data = {r.file: r.data for r in metatile_files(convert(pixels, sizes, target("gbc")), sizes).collect()}
+    assert data["metamap"] == "00010002"
+    assert data["metatiles"] == "00000000" + "00000000" + "00000000" + "00200000" + "01010101" + "00000000"
+
+
+def test_shared_color(spark):
+    art = image(spark, 16, 16, lambda x, y: (31, 158, 255) if y < 4 else BLACK)
+    keys = lambda **o: shown(convert(*art, target("nes"), **o))[0]
+    assert keys() == [0x0F, 0x21] and keys(shared=0x1D)[0] == 0x1D and keys(shared=0x30) == [0x30, 0x21, 0x0F]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tilefold import model
 from tilefold.functions import color, tiles
-from tilefold.operators import streams, tiles as tile_ops
+from tilefold.operators import compression, streams, tiles as tile_ops
+from tilefold.operators.palettes import first_fit
 from tilefold.plans import queries as plans
 
 
@@ -67,7 +68,7 @@ def test_mirrored_tiles(spark):
 def test_first_fit(spark):
     sets = [[1, 2, 3], [2, 3], [1, 4], [5, 6], [5, 7], [1, 2, 3, 4, 5]]
     rows = spark.createDataFrame([(0, i, s) for i, s in enumerate(sets)], "image_id int, block int, colors array<int>")
-    assert [r.palette for r in tile_ops.first_fit(rows, 4).orderBy("block").collect()] == [0, 0, 0, 1, 1, -1]
+    assert [r.palette for r in first_fit(rows, 4).orderBy("block").collect()] == [0, 0, 0, 1, 1, -1]
 
 
 def fit_in_order(sets, capacity):
@@ -93,18 +94,18 @@ def test_first_fit_by_brute_force(spark):
     images = [[rng.sample(range(9), rng.choice([0, 1, 2, 2, 3, 3, 4, 5])) for _ in range(120)] for _ in range(6)]
     images += [[[1, 2], [3, 4, 5], [2, 3], [4], [2, 3]], [[]], [[1, 2, 3, 4, 5]]]
     rows = [(i, b, s) for i, sets in enumerate(images) for b, s in enumerate(sets)]
-    out = tile_ops.first_fit(spark.createDataFrame(rows, "image_id int, block int, colors array<int>"), 4)
+    out = first_fit(spark.createDataFrame(rows, "image_id int, block int, colors array<int>"), 4)
     got = {(r.image_id, r.block): r.palette for r in out.collect()}
     assert got == {(i, b): c for i, sets in enumerate(images) for b, c in enumerate(fit_in_order(sets, 4))}
-    assert tile_ops.first_fit(out.limit(0).select("image_id", "block", F.array("palette").alias("colors")), 4).count() == 0
+    assert first_fit(out.limit(0).select("image_id", "block", F.array("palette").alias("colors")), 4).count() == 0
 
 
 def test_tolerance(spark):
     flat = [[v] * 64 for v in (0, 2, 5, 0)]
-    rows = spark.createDataFrame([(0, i, t, False) for i, t in enumerate(flat)], "image_id int, cell long, tile array<int>, marked boolean")
-    assert [r.tile_id for r in tile_ops.merge_within(rows, 2).orderBy("cell").collect()] == [0, 0, 1, 0]
+    rows = spark.createDataFrame([(0, i, bytes(t), False) for i, t in enumerate(flat)], "image_id int, cell long, pattern binary, marked boolean")
+    assert [r.tile for r in compression.merged(rows, 2, channels=1)[0].orderBy("cell").collect()] == [0, 0, 1, 0]
     kept = rows.withColumn("marked", F.col("cell") == 1)
-    assert [r.tile_id for r in tile_ops.merge_within(kept, 2).orderBy("cell").collect()] == [0, 1, 2, 0]
+    assert [r.tile for r in compression.merged(kept, 2, channels=1)[0].orderBy("cell").collect()] == [0, 1, 2, 0]
 
 
 def test_metatiles_by_palette_and_flags(spark):

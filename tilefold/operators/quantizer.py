@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import color
-from ..working import stored
+from ..working import release, stored
 
 #: Tiles of one block.
 BLOCK_TILES = 256
@@ -252,7 +252,10 @@ def train(packed: DataFrame, palettes: int, colors: int, rounds: int = 10, means
     for step in schedule(palettes, colors, rounds, means, shared is not None):
         stats = measured(with_palettes(packed, state.select("image_id", "palettes", "colors"), full))
         filled = stats.select("image_id", *[F.coalesce(c, F.lit(0)).alias(c) if c != "tile_colors" else F.col(c) for c in sums])
-        state = stored(filled.join(state, "image_id").groupBy("image_id").applyInPandas(advance(step), columns))
+        after = stored(filled.join(state, "image_id").groupBy("image_id").applyInPandas(advance(step), columns))
+        if hasattr(state, "stored_at"):
+            release(state)
+        state = after
     return state.select("image_id", "palettes", "colors", F.col("best_error").alias("error"), "pixels")
 
 

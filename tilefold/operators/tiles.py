@@ -6,7 +6,6 @@ aggregated ``groupBy``; cells get them back by an equi-join.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,79 +85,19 @@ def nearest_kept(tiles: DataFrame, kept: DataFrame, flips: bool = False, image:
     return tiles.join(dictionary, image).withColumn("best", best).select(image, "tile", "best.kept_tile", "best.flags", "best.error")
 
 
-def merge_within(cells: DataFrame, tolerance: int, image: str = "image_id") -> DataFrame:
-    """Leader clustering: in scan order, a cell takes the first tile within ``tolerance`` (mean absolute
-    difference a value), unless it is marked or exactly known, else it starts a tile.
-
-    The order decides, so an image is one task's; images run in parallel. Input: image, cell, tile
-    (array), marked. Output: image, cell, tile_id.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values("cell")
-        known: dict[bytes, int] = {}
-        leaders = np.zeros((0, 64), np.int64)
-        ids = []
-        for pattern, marked in zip(rows["tile"], rows["marked"], strict=True):
-            p = np.asarray(pattern, np.int64)
-            key = p.tobytes()
-            found = known.get(key)
-            if found is None and not marked and tolerance > 0 and len(leaders):
-                near = np.flatnonzero(np.abs(leaders - p).sum(axis=1) <= tolerance * 64)
-                found = int(near[0]) if len(near) else None
-            if found is None:
-                found = known[key] = len(leaders)
-                leaders = np.vstack([leaders, p])
-            ids.append(found)
-        return pd.DataFrame({image: rows[image], "cell": rows["cell"], "tile_id": np.array(ids, np.int64)})
-
-    return cells.select(image, "cell", "tile", "marked").groupBy(image).applyInPandas(run, f"{image} {cells.schema[image].dataType.simpleString()}, cell long, tile_id long")
-
-
-def metatiles(cells: DataFrame, tiles_x: int, image: str = "image_id") -> DataFrame:
+def metatiles(cells: DataFrame, tiles_x: int | Column, image: str = "image_id") -> DataFrame:
     """Blocks of 2x2 cells with first-seen ids: (image, block, metatile). ``cells``: image, cell, tile, and palette and flags where it has them.
 
     Blocks are equal if their tiles, palettes and flags are. An image of an odd number of columns or rows has none.
+    ``tiles_x`` may be a column of the cells.
     """
     parts = ["tile", *(c for c in ("palette", "flags") if c in cells.columns)]
-    col, row = F.col("cell") % tiles_x, F.floor(F.col("cell") / tiles_x)
-    whole = cells.groupBy(image).agg(F.max(row).alias("last")).where((F.col("last") % 2 == 1) & F.lit(tiles_x % 2 == 0)).select(image)
+    across = F.lit(tiles_x) if isinstance(tiles_x, int) else tiles_x
+    cells = cells.withColumn("_x", across.cast("long"))
+    col, row = F.col("cell") % F.col("_x"), F.floor(F.col("cell") / F.col("_x"))
+    whole = cells.groupBy(image).agg(F.max(row).alias("last"), F.max("_x").alias("_x")).where((F.col("last") % 2 == 1) & (F.col("_x") % 2 == 0)).select(image)
     part = F.concat_ws(":", *parts)
-    placed = cells.join(whole, image, "left_semi").select(image, part.alias("part"), (F.floor(row / 2) * (tiles_x // 2) + F.floor(col / 2)).alias("block"), ((row % 2) * 2 + col % 2).alias("corner"))
+    placed = cells.join(whole, image, "left_semi").select(image, part.alias("part"), (F.floor(row / 2) * F.floor(F.col("_x") / 2) + F.floor(col / 2)).alias("block"), ((row % 2) * 2 + col % 2).alias("corner"))
     quads = placed.groupBy(image, "block").agg(*[F.max(F.when(F.col("corner") == i, F.col("part"))).alias(f"q{i}") for i in range(4)])
     quads = quads.withColumn("k", F.concat_ws("-", *[F.col(f"q{i}") for i in range(4)]))
     return with_tile_ids(quads, cell="block", image=image).withColumnRenamed("tile", "metatile")
-
-
-def first_fit(sets: DataFrame, capacity: int, image: str = "image_id") -> DataFrame:
-    """Scan-order first-fit packing of colour sets into palettes: (image, block, palette).
-
-    A set goes to the first palette that covers it, else to the first whose union with it fits, else
-    to a new one; a set over capacity gets -1. Input: image, block, colors (distinct array). The
-    order decides, so an image's blocks are folded in one array.
-    """
-    listed = sets.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("block", "colors"))).alias("blocks"))
-    empty = F.struct(F.expr("cast(array() as array<array<int>>)").alias("palettes"), F.expr("cast(array() as array<int>)").alias("chosen"))
-
-    def step(acc: Column, b: Column) -> Column:
-        colors, palettes = b["colors"], acc["palettes"]
-        covering = F.array_position(F.transform(palettes, lambda p: F.size(F.array_except(colors, p)) == 0), True)
-        fitting = F.array_position(F.transform(palettes, lambda p: F.size(F.array_union(p, colors)) <= capacity), True)
-        chosen = F.when(F.size(colors) > capacity, -1).when(covering > 0, covering - 1).when(fitting > 0, fitting - 1).otherwise(F.size(palettes)).cast("int")
-        return let(
-            chosen,
-            lambda c: F.struct(
-                F.when(c < 0, palettes)
-                .when(c == F.size(palettes), F.concat(palettes, F.array(colors)))
-                .otherwise(F.transform(palettes, lambda p, i: F.when(i == c, F.array_union(p, colors)).otherwise(p)))
-                .alias("palettes"),
-                F.concat(acc["chosen"], F.array(c)).alias("chosen"),
-            ),
-        )
-
-    folded = listed.withColumn("chosen", F.aggregate("blocks", empty, step)["chosen"])
-    return folded.select(image, F.explode(F.arrays_zip("blocks", "chosen")).alias("z")).select(image, F.col("z.blocks.block").alias("block"), F.col("z.chosen").alias("palette"))
-
-

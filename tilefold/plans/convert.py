@@ -1,8 +1,10 @@
-"""Conversion of true-colour images to console graphics: keys, palettes, tiles, attributes, diagnostics.
+"""Conversion of images to console graphics: keys, palettes, tiles, attributes, diagnostics, files.
 
-Many images are converted at once; every relation is keyed by ``image_id``. Pixels reduce to
-distinct colours of a block before anything is collected, and only the packing of a block's
-colour set into palettes depends on scan order (``operators.tiles.first_fit``).
+Many images are converted at once; every relation is keyed by ``image_id``. True-colour art is
+packed into palettes; indexed art keeps its groups of four entries; the monochrome handheld has
+one palette of shades for the whole image. Pixels reduce to distinct colours of a block before
+anything is packed, and only the packing depends on scan order (``operators.palettes``). What several
+later steps read is stored once.
 """
 
 from __future__ import annotations
@@ -15,10 +17,15 @@ from pyspark.sql import functions as F
 from ..functions import color, tiles
 from ..model import CONVERSION_NES, TARGETS, rgb_table
 from ..operators import tiles as tile_ops
+from ..operators.palettes import first_fit
+from ..working import stored
+from .editor import brightness_cuts
 from .queries import hardware_color
 
 TRANSPARENT = -1
 DEFAULT_ZERO = 0x0F
+#: Colours of the monochrome handheld.
+SHADES = 4
 
 
 @dataclass(frozen=True)
@@ -36,9 +43,13 @@ class Target:
     def shared_zero(self) -> bool:
         return self.name == "nes"
 
-    def key(self, r: Column, g: Column, b: Column) -> Column:
+    @property
+    def shades(self) -> bool:
+        return self.name == "gb"
+
+    def key(self, r: Column, g: Column, b: Column, preferred: int | None = None) -> Column:
         if self.name == "nes":
-            return hardware_color(r, g, b)
+            return hardware_color(r, g, b, preferred)
         if self.name == "gbc":
             return color.rgb555(r, g, b)
         return F.shiftleft(r, 16) + F.shiftleft(g, 8) + b
@@ -59,67 +70,227 @@ def target(name: str, **custom) -> Target:
     return Target(name, **(custom or TARGETS[name]))
 
 
-def convert(pixels: DataFrame, sizes: DataFrame, to: Target) -> dict[str, DataFrame]:
-    """``pixels``: image_id, x, y, r, g, b, a; ``sizes``: image_id, width, height.
+def _found(rows: DataFrame, code: str, n: Column | None = None) -> DataFrame:
+    """A diagnostic of each image of ``rows`` (one row for each area)."""
+    return rows.groupBy("image_id").agg(F.lit(code).alias("code"), (F.count("*") if n is None else n).alias("n"))
+
+
+def keyed_pixels(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataFrame | None, shared: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pixels with their hardware colour (image_id, block, cell, p, key, entry), and diagnostics of images that are left out.
 
-    Returns ``diagnostics`` (image_id, code, n), and of images without any: ``palettes`` (image_id,
-    palette, idx, key), ``cells`` (image_id, cell, tile, palette, flags) and ``tiles`` (image_id, tile,
-    pattern). Diagnostics of a later stage are only given for images that passed the earlier ones.
+    Pixels of indexed images (with a ``palette``) have the colour of their entry, black where there is none.
     """
     w, h = F.col("width"), F.col("height")
     bad = sizes.where((w == 0) | (h == 0) | (w % 8 != 0) | (h % 8 != 0)).select("image_id", F.lit("dimensions").alias("code"), F.lit(1).cast("long").alias("n"))
-    px = pixels.join(sizes, "image_id").join(bad, "image_id", "left_anti")
     across = F.ceil(w / to.block).cast("int")
-    px = px.withColumn("block", F.floor(F.col("y") / to.block) * across + F.floor(F.col("x") / to.block))
-    partial = px.where("a between 1 and 254").groupBy("image_id").agg(F.lit("partial-alpha").alias("code"), F.countDistinct("block").alias("n")).select("image_id", "code", "n")
-    px = px.join(partial, "image_id", "left_anti")
-    keyed = px.withColumn("key", F.when(F.col("a") == 0, TRANSPARENT).otherwise(to.key(F.col("r"), F.col("g"), F.col("b"))))
-    counts = keyed.groupBy("image_id", "block", "key").agg(F.count("*").alias("n"))
+    block = F.floor(F.col("y") / to.block) * across + F.floor(F.col("x") / to.block)
+    cell = F.floor(F.col("y") / 8) * F.floor(w / 8) + F.floor(F.col("x") / 8)
+    p = (F.col("y") % 8 * 8 + F.col("x") % 8).cast("int")
+    own = to.key(F.col("r"), F.col("g"), F.col("b"), shared).cast("int")
+    px = pixels.join(sizes, "image_id").join(bad.select("image_id"), "image_id", "left_anti")
+    if palette is not None and to.name != "generic":
+        table = palette.select("image_id", "entry", own.alias("entry_key"))
+        images = table.select("image_id", F.lit(True).alias("indexed")).distinct()
+        px = px.join(images, "image_id", "left").join(table, ["image_id", "entry"], "left")
+        black = to.key(F.lit(0), F.lit(0), F.lit(0), shared).cast("int")
+        key = F.when(F.col("indexed"), F.coalesce("entry_key", black)).when(F.col("a") == 0, TRANSPARENT).otherwise(own)
+        entry = F.when(F.col("indexed"), F.col("entry").cast("int"))
+    else:
+        key, entry = F.when(F.col("a") == 0, TRANSPARENT).otherwise(own), F.lit(None).cast("int")
+    rows = stored(px.select("image_id", block.cast("long").alias("block"), cell.cast("long").alias("cell"), p.alias("p"), key.alias("key"), entry.alias("entry"), F.col("a").between(1, 254).alias("partial")))
+    partial = _found(rows.where("partial").select("image_id", "cell").distinct(), "partial-alpha")
+    return rows.drop("partial").join(partial.select("image_id"), "image_id", "left_anti"), bad.unionByName(partial)
+
+
+def from_groups(px: DataFrame, palette: DataFrame, to: Target, shared: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Indexed art: the groups of four entries are the palettes. (values, palettes, diagnostics)."""
+    group = F.shiftright("entry", 2)
+    own = F.when(~(F.lit(to.shared_zero) & (F.col("entry") % 4 == 0)), group)  # the shared colour ties no block to a palette
+    blocks = stored(px.groupBy("image_id", "block").agg(F.coalesce(F.min(own), F.lit(0)).alias("palette"), F.count_distinct(own).alias("groups"), F.max(own).alias("top"), F.max(group).alias("highest")))
+    found = _found(blocks.where(F.col("top") >= to.palettes), "palette-count").unionByName(_found(blocks.where("groups > 1"), "region-palettes"))
+    blocks = blocks.join(found.select("image_id").distinct(), "image_id", "left_anti")
+    values = px.join(blocks.select("image_id", "block", "palette"), ["image_id", "block"]).select("image_id", "cell", "palette", "p", (F.col("entry") % 4).alias("v"))
+    slots = blocks.groupBy("image_id").agg(F.max("highest").alias("highest")).select("image_id", F.explode(F.sequence(F.lit(0), F.col("highest") * 4 + 3)).alias("entry"))
+    key = to.key(F.col("r"), F.col("g"), F.col("b"), shared).cast("int")
+    table = slots.join(palette.select("image_id", "entry", key.alias("key")), ["image_id", "entry"], "left")
+    table = table.select("image_id", F.floor(F.col("entry") / 4).cast("int").alias("palette"), (F.col("entry") % 4).cast("int").alias("idx"), F.col("key") if to.shades else F.coalesce("key", F.lit(0)).alias("key"))
     if to.shared_zero:
-        totals = counts.where(F.col("key") != TRANSPARENT).groupBy("image_id", "key").agg(F.sum("n").alias("n"))
+        zero = table.where("palette = 0 and idx = 0").select("image_id", (F.lit(shared) if shared is not None else F.col("key")).alias("zero"))
+        table = table.join(zero, "image_id").withColumn("key", F.when(F.col("idx") == 0, F.col("zero")).otherwise(F.col("key"))).drop("zero")
+    return values, table, found
+
+
+def by_light(keys: Column, to: Target) -> Column:
+    """Distinct keys: transparent first, then light to dark, then by key."""
+    ordered = F.array_sort(F.transform(keys, lambda k: F.struct(F.when(k == TRANSPARENT, 0).otherwise(1).alias("t"), (-F.when(k == TRANSPARENT, 0).otherwise(to.luma(F.greatest(k, F.lit(0))))).alias("l"), k.alias("k"))))
+    return F.transform(ordered, lambda s: s["k"])
+
+
+def in_shades(px: DataFrame, to: Target, auto: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The monochrome handheld: one palette for the image. (values, palettes, diagnostics, how many colours were grouped).
+
+    With ``auto``, images of more than four colours are grouped by brightness; a group's entry is the mean of its pixels.
+    """
+    counts = stored(px.where(F.col("key") != TRANSPARENT).groupBy("image_id", "key").agg(F.count("*").alias("n")))
+    sizes = counts.groupBy("image_id").agg(F.count("*").alias("colors"))
+    many = sizes.where(F.col("colors") > SHADES)
+    none = px.select("image_id").limit(0).withColumn("code", F.lit("image-colors")).withColumn("n", F.lit(0).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "key"))
+    if auto:
+        found, grouped = none, many.select("image_id", F.col("colors").alias("auto_shaded"))
+        binned = counts.join(many, "image_id").withColumn("bin", F.floor((to.luma(F.col("key")) + 500) / 1000).cast("int"))
+        bins = stored(binned.groupBy("image_id", "bin").agg(F.sum("n").alias("w")))
+        run = Window.partitionBy("image_id").orderBy("bin")  # at most 256 bins of an image
+        sums = bins.select("image_id", "bin", F.row_number().over(run).cast("long").alias("i"), F.sum("w").over(run).alias("sw"), F.sum(F.col("w") * F.col("bin")).over(run).alias("s1"), F.sum(F.col("w") * F.col("bin") * F.col("bin")).over(run).alias("s2"))
+        first = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("i", "sw", "s1", "s2")])
+        cuts = sums.groupBy("image_id").agg(F.concat(F.array(first), F.array_sort(F.collect_list(F.struct("i", "sw", "s1", "s2")))).alias("z")).select("image_id", brightness_cuts(F.col("z")).alias("cuts"), F.least(F.lit(SHADES), F.size("z") - 1).alias("groups"))
+        placed = sums.join(cuts, "image_id").select("image_id", "bin", "groups", (F.col("groups") - F.size(F.filter("cuts", lambda c: c < F.col("i")))).cast("int").alias("idx"))
+        known = stored(binned.join(placed, ["image_id", "bin"]).select("image_id", "key", "n", "idx", "groups"))
+        total = F.sum("n")
+        mean = lambda s: F.floor((2 * F.sum(F.shiftright("key", s).bitwiseAND(F.lit(255)) * F.col("n")) + total) / (2 * total)).cast("int")
+        rgb = F.shiftleft(mean(16), 16) + F.shiftleft(mean(8), 8) + mean(0)
+        shade = F.when(F.first("groups") == 1, 0).otherwise(F.floor((6 * F.col("idx") + F.first("groups") - 1) / (2 * (F.first("groups") - 1)))).cast("int")
+        means = known.groupBy("image_id", "idx").agg(rgb.alias("key"), shade.alias("shade")).select("image_id", "idx", "key", "shade")
+        keys = known.select("image_id", "key", "idx")
+    else:
+        kept = counts.join(many.select("image_id"), "image_id", "left_semi").withColumn("rank", rank).where(F.col("rank") <= SHADES).select("image_id", "key")
+        beyond = px.where(F.col("key") != TRANSPARENT).join(many.select("image_id"), "image_id", "left_semi").join(kept, ["image_id", "key"], "left_anti")
+        found = _found(beyond.select("image_id", "block").distinct(), "image-colors").unionByName(none)
+        grouped, keys, means = many.limit(0).select("image_id", F.col("colors").alias("auto_shaded")), None, None
+    few = counts.join(many.select("image_id"), "image_id", "left_anti").groupBy("image_id").agg(by_light(F.collect_list("key"), to).alias("keys"))
+    exact = few.select("image_id", F.posexplode("keys").alias("idx", "key"))
+    table = exact.select("image_id", "idx", "key", F.lit(None).cast("int").alias("shade"))
+    table = table.unionByName(means) if means is not None else table
+    keys = exact.select("image_id", "key", "idx").unionByName(keys) if keys is not None else exact.select("image_id", "key", "idx")
+    fine = px.join(found.select("image_id"), "image_id", "left_anti")
+    values = fine.join(keys, ["image_id", "key"], "left").select("image_id", "cell", F.lit(0).alias("palette"), "p", F.coalesce("idx", F.lit(0)).alias("v"))
+    slots = fine.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(SHADES - 1))).alias("idx"))
+    palettes = slots.join(table, ["image_id", "idx"], "left").select("image_id", F.lit(0).alias("palette"), "idx", "key", "shade")
+    return values, palettes, found, grouped
+
+
+def in_palettes(px: DataFrame, to: Target, shared: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """True-colour art: the colour sets of blocks are packed into palettes. (values, palettes, diagnostics)."""
+    capacity = to.colors
+    if to.shared_zero:
+        capacity -= 1
+        totals = px.where(F.col("key") != TRANSPARENT).groupBy("image_id", "key").agg(F.count("*").alias("n"))
         zero = totals.groupBy("image_id").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("zero"))
-        keyed = keyed.join(zero, "image_id", "left").withColumn("zero", F.coalesce("zero", F.lit(DEFAULT_ZERO))).withColumn("key", F.when(F.col("key") == TRANSPARENT, F.col("zero")).otherwise(F.col("key")))
-        used = keyed.groupBy("image_id", "block").agg(F.sort_array(F.collect_set(F.when(F.col("key") != F.col("zero"), F.col("key")))).alias("colors"), F.first("zero").alias("zero"))
-        capacity = to.colors - 1
+        px = px.join(zero, "image_id", "left").withColumn("zero", F.lit(shared) if shared is not None else F.coalesce("zero", F.lit(DEFAULT_ZERO)))
+        px = stored(px.withColumn("key", F.when(F.col("key") == TRANSPARENT, F.col("zero")).otherwise(F.col("key"))))
+        used = px.groupBy("image_id", "block").agg(F.sort_array(F.collect_set(F.when(F.col("key") != F.col("zero"), F.col("key")))).alias("colors"), F.first("zero").alias("zero"))
     else:
-        used = counts.groupBy("image_id", "block").agg(F.sort_array(F.collect_set("key")).alias("colors"))
-        capacity = to.colors
-    over = used.where(F.size("colors") > capacity).groupBy("image_id").agg(F.lit("region-colors").alias("code"), F.count("*").alias("n"))
-    fitting = used.join(over, "image_id", "left_anti")
-    chosen = tile_ops.first_fit(fitting.select("image_id", "block", F.transform("colors", lambda c: c.cast("int")).alias("colors")), capacity)
+        used = px.groupBy("image_id", "block").agg(F.sort_array(F.collect_set("key")).alias("colors"))
+    used = stored(used)  # a block has at most as many colours as pixels
+    over = _found(used.where(F.size("colors") > capacity), "region-colors")
+    fitting = used.join(over.select("image_id"), "image_id", "left_anti")
+    chosen = stored(first_fit(fitting.select("image_id", "block", "colors"), capacity).join(fitting, ["image_id", "block"]))
     many = chosen.groupBy("image_id").agg((F.max("palette") + 1).cast("long").alias("n")).where(F.col("n") > to.palettes).select("image_id", F.lit("palette-count").alias("code"), "n")
-    chosen = chosen.join(many, "image_id", "left_anti")
-    entries = chosen.join(fitting, ["image_id", "block"]).groupBy("image_id", "palette").agg(F.array_distinct(F.flatten(F.collect_list("colors"))).alias("colors"), *([F.first("zero").alias("zero")] if to.shared_zero else []))
-    # transparent first, then light to dark, then by key
-    ordered = F.array_sort(F.transform("colors", lambda k: F.struct(F.when(k == TRANSPARENT, 0).otherwise(1).alias("t"), (-F.when(k == TRANSPARENT, 0).otherwise(to.luma(F.greatest(k, F.lit(0))))).alias("l"), k.cast("int").alias("k"))))
-    keys = F.transform(ordered, lambda s: s["k"])
-    rows = entries.select("image_id", "palette", (F.concat(F.array(F.col("zero").cast("int")), keys) if to.shared_zero else keys).alias("keys"))
-    placed = keyed.join(chosen, ["image_id", "block"]).join(rows, ["image_id", "palette"])
-    cell = F.floor(F.col("y") / 8) * F.floor(w / 8) + F.floor(F.col("x") / 8)
-    p = F.col("y") % 8 * 8 + F.col("x") % 8
-    values = placed.select("image_id", "palette", cell.alias("cell"), p.alias("p"), (F.array_position("keys", F.col("key").cast("int")) - 1).cast("int").alias("v"))
-    cells = values.groupBy("image_id", "cell").agg(F.first("palette").alias("palette"), F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("tile"))
+    chosen = chosen.join(many.select("image_id"), "image_id", "left_anti")
+    entries = chosen.groupBy("image_id", "palette").agg(F.array_distinct(F.flatten(F.collect_set("colors"))).alias("colors"), *([F.first("zero").alias("zero")] if to.shared_zero else []))
+    keys = by_light(F.col("colors"), to)
+    rows = stored(entries.select("image_id", "palette", (F.concat(F.array("zero"), keys) if to.shared_zero else keys).alias("keys")))
+    index = (F.array_position("keys", F.col("key")) - 1).cast("int")
+    values = px.join(chosen.select("image_id", "block", "palette"), ["image_id", "block"]).join(rows, ["image_id", "palette"]).select("image_id", "cell", "palette", "p", index.alias("v"))
+    return values, rows.select("image_id", "palette", F.posexplode("keys").alias("idx", "key")), over.unionByName(many)
+
+
+def convert(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataFrame | None = None, auto_shades: bool = False, shared: int | None = None) -> dict[str, DataFrame]:
+    """``pixels``: image_id, x, y, r, g, b, a; ``sizes``: image_id, width, height.
+
+    Indexed images have rows in ``palette`` (image_id, entry, r, g, b), and their pixels an ``entry``. ``shared``
+    fixes the colour that all palettes share. ``auto_shades``: see ``in_shades``; indexed art beyond entry 3 is then
+    converted from its colours.
+
+    Returns ``diagnostics`` (image_id, code, n), and of images without any: ``palettes`` (image_id, palette, idx, key, and
+    for the monochrome handheld the shade), ``cells`` (image_id, cell, tile, palette, flags), ``tiles`` (image_id, tile,
+    pattern), and ``registers`` (image_id, bgp, auto_shaded) of the monochrome handheld. Diagnostics of a later stage
+    are only given for images that passed the earlier ones.
+    """
+    px, found = keyed_pixels(pixels, sizes, to, palette, shared)
+    by_group = px.where("entry is not null")
+    if to.shades and auto_shades:
+        by_group = by_group.join(px.where("entry > 3").select("image_id").distinct(), "image_id", "left_anti")
+    parts, tables, registers = [], [], None
+    if palette is not None and to.name != "generic":
+        values, table, more = from_groups(by_group, palette, to, shared)
+        parts, tables, found = [values], [table], found.unionByName(more)
+        px = px.join(by_group.select("image_id").distinct(), "image_id", "left_anti")
+    if to.shades:
+        values, table, more, grouped = in_shades(px, to, auto_shades)
+        tables = [t.withColumn("shade", F.lit(None).cast("int")) for t in tables]
+    else:
+        values, table, more = in_palettes(px, to, shared)
+    for one in parts:
+        values = values.unionByName(one)
+    for one in tables:
+        table = table.unionByName(one)
+    found = found.unionByName(more)
+    if to.shades:
+        table = stored(with_shades(table, to))
+        byte = F.sum(F.when(F.col("idx") < SHADES, F.col("shade") * F.element_at(F.array(*[F.lit(1 << 2 * i) for i in range(SHADES)]), F.col("idx") + 1)))
+        registers = table.where("palette = 0").groupBy("image_id").agg(byte.cast("int").alias("bgp")).join(grouped, "image_id", "left").select("image_id", "bgp", F.coalesce("auto_shaded", F.lit(0)).alias("auto_shaded"))
+    cells = stored(values.groupBy("image_id", "cell").agg(F.first("palette").alias("palette"), F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("tile")))
     if to.flips:
-        found = tile_ops.with_flipped_ids(cells)
+        placed = tile_ops.with_flipped_ids(cells)
     else:
-        found = tile_ops.with_tile_ids(cells.withColumnRenamed("tile", "pattern"), key="pattern").withColumnRenamed("tile", "tile_id").withColumnRenamed("pattern", "tile").withColumn("flags", F.lit(0))
-    count = found.groupBy("image_id").agg((F.max("tile_id") + 1).alias("n")).where(F.col("n") > to.tiles).select("image_id", F.lit("tile-count").alias("code"), "n")
-    found = found.join(count, "image_id", "left_anti")
-    stored = found.where("flags = 0").groupBy("image_id", F.col("tile_id").alias("tile")).agg(F.min_by("tile", "cell").alias("pattern"))
-    diagnostics = bad.unionByName(partial).unionByName(over.select("image_id", "code", "n")).unionByName(many).unionByName(count)
+        placed = tile_ops.with_tile_ids(cells.withColumnRenamed("tile", "pattern"), key="pattern").withColumnRenamed("tile", "tile_id").withColumnRenamed("pattern", "tile").withColumn("flags", F.lit(0))
+    placed = stored(placed)
+    count = placed.groupBy("image_id").agg((F.max("tile_id") + 1).alias("n")).where(F.col("n") > to.tiles).select("image_id", F.lit("tile-count").alias("code"), "n")
+    fine = placed.join(count.select("image_id"), "image_id", "left_anti")
+    passed = fine.select("image_id").distinct()
     return {
-        "diagnostics": diagnostics,
-        "palettes": rows.join(count, "image_id", "left_anti").select("image_id", "palette", F.posexplode("keys").alias("idx", "key")),
-        "cells": found.select("image_id", "cell", F.col("tile_id").alias("tile"), "palette", "flags"),
-        "tiles": stored,
+        "diagnostics": found.unionByName(count),
+        "palettes": table.join(passed, "image_id", "left_semi"),
+        "cells": fine.select("image_id", "cell", F.col("tile_id").alias("tile"), "palette", "flags"),
+        "tiles": fine.where("flags = 0").groupBy("image_id", F.col("tile_id").alias("tile")).agg(F.min_by("tile", "cell").alias("pattern")),
+        **({"registers": registers.join(passed, "image_id", "left_semi")} if registers is not None else {}),
     }
 
 
+def with_shades(table: DataFrame, to: Target) -> DataFrame:
+    """Shades of palette entries that have none: spread over the distinct colours of the first palette by brightness, 3 for a missing entry."""
+    distinct = table.where("palette = 0 and key is not null").groupBy("image_id").agg(by_light(F.collect_set("key"), to).alias("known"))
+    place, n = F.array_position("known", F.col("key")) - 1, F.size("known")
+    shade = F.when(F.col("key").isNull(), 3).when(n == 1, 0).otherwise(F.floor((6 * place + n - 1) / (2 * (n - 1)))).cast("int")
+    grouped = F.max(F.col("shade").isNotNull()).over(Window.partitionBy("image_id"))  # four rows of a palette
+    return table.withColumn("_auto", grouped).join(distinct, "image_id", "left").withColumn("shade", F.when(F.col("_auto"), F.coalesce("shade", F.lit(3))).otherwise(shade)).drop("known", "_auto")
+
+
+def attribute_bytes(cells: DataFrame) -> DataFrame:
+    """Cells with the colour handheld's attribute byte."""
+    return cells.withColumn("byte", tiles.attribute_byte(F.col("palette"), (F.col("tile") > 255).cast("int"), F.col("flags").bitwiseAND(F.lit(1)), F.shiftright("flags", 1)).cast("int"))
+
+
+def metatile_files(result: dict[str, DataFrame], sizes: DataFrame) -> DataFrame:
+    """``metatiles`` and ``metamap`` as rows (image_id, file, data in hex) of images of whole 2x2 blocks.
+
+    A metatile is the low bytes of its four tiles and their attribute bytes, as it is first seen; the map has a byte a
+    block, or two, the lower one first, beyond 256 metatiles.
+    """
+    across = (F.col("width") / 8).cast("long")
+    cells = stored(attribute_bytes(result["cells"]).join(sizes.select("image_id", across.alias("tiles_x")), "image_id"))
+    blocks = stored(tile_ops.metatiles(cells.select("image_id", "cell", "tile", "palette", "flags", "tiles_x"), F.col("tiles_x")).select("image_id", "block", "metatile"))
+    first = blocks.groupBy("image_id", "metatile").agg(F.min("block").alias("block"))
+    x, y = F.col("cell") % F.col("tiles_x"), F.floor(F.col("cell") / F.col("tiles_x"))
+    corner = cells.select("image_id", (F.floor(y / 2) * F.floor(F.col("tiles_x") / 2) + F.floor(x / 2)).alias("block"), (y % 2 * 2 + x % 2).alias("corner"), F.lpad(F.hex(F.col("tile") % 256), 2, "0").alias("low"), F.lpad(F.hex("byte"), 2, "0").alias("attribute"))
+    quads = corner.join(first, ["image_id", "block"]).groupBy("image_id", "metatile").agg(F.array_sort(F.collect_list(F.struct("corner", "low", "attribute"))).alias("e"))
+    bytes_ = F.concat(F.array_join(F.transform("e", lambda e: e["low"]), ""), F.array_join(F.transform("e", lambda e: e["attribute"]), ""))
+    joined = lambda rows, order: rows.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "bytes"))), lambda s: s["bytes"]), "").alias("data"))
+    defs = joined(quads.select("image_id", "metatile", bytes_.alias("bytes")), "metatile")
+    wide = blocks.groupBy("image_id").agg((F.max("metatile") > 255).alias("wide"))
+    id_ = F.col("metatile")
+    word = F.concat(F.lpad(F.hex(id_ % 256), 2, "0"), F.when(F.col("wide"), F.lpad(F.hex(F.floor(id_ / 256)), 2, "0")).otherwise(""))
+    map_ = joined(blocks.join(wide, "image_id").select("image_id", "block", word.alias("bytes")), "block")
+    return defs.select("image_id", F.lit("metatiles").alias("file"), F.lower("data").alias("data")).unionByName(map_.select("image_id", F.lit("metamap").alias("file"), F.lower("data").alias("data")))
+
+
 def files(result: dict[str, DataFrame], to: Target) -> DataFrame:
     """Hardware files as rows (image_id, file, data in hex): ``chr`` and ``pal``.
 
     NES tile data fills 4096 bytes and its palette file 16, with colour 0 where there is no entry;
-    the colour handheld's palettes are little-endian 15-bit words, a generic target's RGB triplets.
+    the colour handheld's palettes are little-endian 15-bit words, a generic target's RGB triplets, and
+    the monochrome handheld's the byte of its register.
     """
     packed = tiles.pack_sequential if to.name == "nes" else lambda t: tiles.pack_paired(t, max(1, (to.colors - 1).bit_length()))
     parts = result["tiles"].select("image_id", "tile", tiles.hex_bytes(packed(F.col("pattern"))).alias("bytes"))
@@ -127,6 +298,9 @@ def files(result: dict[str, DataFrame], to: Target) -> DataFrame:
     chr_ = parts.groupBy("image_id").agg(text.alias("data"))
     if to.name == "nes":
         chr_ = chr_.withColumn("data", F.rpad("data", 8192, "0"))
+    if to.shades:
+        pal = result["registers"].select("image_id", F.lit("pal").alias("file"), F.lower(F.lpad(F.hex("bgp"), 2, "0")).alias("data"))
+        return chr_.select("image_id", F.lit("chr").alias("file"), F.lower("data").alias("data")).unionByName(pal)
     zero = F.first("key").over(Window.partitionBy("image_id").orderBy("palette", "idx"))
     entry = result["palettes"].withColumn("zero", zero)
     key = F.col("key")

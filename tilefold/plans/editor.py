@@ -84,19 +84,19 @@ def editor_validation(spark, d):
     "indexed_groups",
     f"""with {_ENTRIES}, g as (select (cell // 20) // 2 * 10 + cell % 20 // 2 as block, entry >> 2 as grp, (entry & 3) = 0 as zero from ent),
     b as (select block, coalesce(min(grp) filter (not zero), 0)::int as palette, count(distinct grp) filter (not zero) as groups, max(grp)::int as highest, coalesce(max(grp) filter (not zero), 0) as top from g group by block)
-    select block, palette, groups, highest, case when groups > 1 then 'region-palettes' when top >= 4 then 'palette-count' end as code from b""",
+    select block, palette, groups, highest, unnest(case when groups > 1 and top >= 4 then ['palette-count', 'region-palettes'] when groups > 1 then ['region-palettes'] when top >= 4 then ['palette-count'] else [null] end) as code from b""",
 )
 def indexed_groups(spark, d):
     """Four-entry groups of indexed art in each block of 2x2 cells, where all groups share colour 0.
 
-    The block's palette is its least group; several groups, or one beyond the fourth, are reported.
+    The block's palette is its least group; several groups, and one beyond the fourth, are reported, a row for each.
     """
     block = F.floor(F.floor(F.col("cell") / 20) / 2) * 10 + F.floor((F.col("cell") % 20) / 2)
     rows = entries(spark, d).select(block.alias("block"), F.shiftright("entry", 2).alias("grp"), (F.col("entry") % 4 == 0).alias("zero")).distinct()
     own = F.when(~F.col("zero"), F.col("grp"))
     found = rows.groupBy("block").agg(F.coalesce(F.min(own), F.lit(0)).alias("palette"), F.count_distinct(own).alias("groups"), F.max("grp").alias("highest"), F.coalesce(F.max(own), F.lit(0)).alias("top"))
-    code = F.when(F.col("groups") > 1, "region-palettes").when(F.col("top") >= 4, "palette-count")
-    return found.select("block", "palette", "groups", "highest", code.alias("code"))
+    codes = F.array_compact(F.array(F.when(F.col("top") >= 4, "palette-count"), F.when(F.col("groups") > 1, "region-palettes")))
+    return found.select("block", "palette", "groups", "highest", F.explode_outer(codes).alias("code"))
 
 
 _LUMA = "299 * r + 587 * g + 114 * b"

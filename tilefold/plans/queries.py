@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import bridge, model
 from ..functions import color, let, tiles
+from ..operators import compression
 from ..operators import streams as stream_ops
 from ..operators import tiles as tile_ops
+from ..operators.palettes import first_fit
 from ..working import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,8 +108,58 @@ def tile_compress_topk_nn(spark, d):
 
 @query("tile_compress_tolerance")
 def tile_compress_tolerance(spark, d):
-    rows = mosaic(spark, d, rich=True).withColumn("marked", F.col("p_size") % 7 == 0)
-    return tile_ops.merge_within(rows, 1).select("cell", "tile_id")
+    """Tiles of which one byte value in 64 may differ by one on average, without mirror images, as one large image."""
+    rows = mosaic(spark, d, rich=True).select("image_id", "cell", compression.value_pattern(F.col("tile")).alias("pattern"), (F.col("p_size") % 7 == 0).alias("marked"))
+    return compression.merged(rows, 1, channels=1)[0].select("cell", F.col("tile").alias("tile_id"))
+
+
+#: Cells of each image of the compression queries.
+_PART = bridge.TILES_X * 20
+
+
+def rgba_cells(spark, d, noise: int = 1) -> DataFrame:
+    """The mosaic cut into images of 20 lines, in RGBA; with ``noise`` above 1 red varies by less than that."""
+    rows = mosaic(spark, d).withColumn("e", F.transform("tile", lambda v, p: F.struct(v.alias("v"), p.alias("p")))).withColumn("marked", F.col("p_size") % 7 == 0)
+    pixels_ = F.transform("e", lambda x: F.struct((x["v"] * 85 - F.when(x["v"] > 0, (x["p"] * 5 + F.col("cell") * 3) % noise).otherwise(0)).cast("int").alias("r"), (255 - x["v"] * 85).alias("g"), (x["v"] * 17).alias("b"), F.lit(255).alias("a")))
+    return rows.select(F.floor(F.col("cell") / _PART).alias("image_id"), (F.col("cell") % _PART).alias("cell"), compression.rgba_pattern(pixels_).alias("pattern"), "marked")
+
+
+_MIRRORED = "string_agg(k[64 - p::bigint], '' order by p) as hv, string_agg(k[p - p % 8 + 8 - p % 8], '' order by p) as h, string_agg(k[56 - p + 2 * (p % 8) + 1], '' order by p) as v"
+_COMPRESSED = f"""with {bridge.MOSAIC},
+im as materialized (select cell // {_PART} as image_id, cell % {_PART} as cell, any_value(p_size) % 7 = 0 as marked, k, {_MIRRORED} from pat, (select unnest(range(64)) as p) group by pat.cell, k),
+ca as (select *, least(k, h, v, hv) as canon from im),
+st as materialized (select image_id, canon, arg_min(k, cell) as k, row_number() over (partition by image_id order by min(cell)) - 1 as tile, count(*) as uses, max(marked::int) as marked from ca group by image_id, canon),
+pl as materialized (select image_id, cell, tile, case when ca.k = st.k then 0 when h = st.k then 1 when v = st.k then 2 else 3 end as flags from ca join st using (image_id, canon)),
+ra as (select *, row_number() over (partition by image_id order by marked desc, uses desc, tile) as rank, count(*) over (partition by image_id) as n from st),
+ke as materialized (select image_id, tile, k, case when n > 16 then rank - 1 else tile end as i from ra where rank <= 16 or n <= 16),
+kf as materialized (select image_id, i, k as own, {_MIRRORED} from ke, (select unnest(range(64)) as p) group by image_id, i, k),
+kk as (select image_id, i, unnest([0, 1, 2, 3]) as f, unnest([own, h, v, hv]) as kp from kf),
+dr as (select st.* from st where (image_id, tile) not in (select (image_id, tile) from ke)),
+er as (select dr.image_id, dr.tile, i, f, (select sum((substr(dr.k, x::bigint, 1)::int - substr(kp, x::bigint, 1)::int) * (substr(dr.k, x::bigint, 1)::int - substr(kp, x::bigint, 1)::int)) from range(1, 65) q(x))::bigint * 14739 as error from dr join kk using (image_id)),
+be as (select image_id, tile, min((error, i, f)) as b from er group by image_id, tile),
+ma as (select image_id, tile, i, 0 as f, 0::bigint as error from ke union all select image_id, tile, b[2], b[3], b[1] from be),
+ou as (select image_id, cell, i::bigint as tile, xor(flags, f)::int as flags, error from pl join ma using (image_id, tile))"""
+
+
+@query("tile_compress_flips", _COMPRESSED + " select * from ou")
+def tile_compress_flips(spark, d):
+    """Sixteen tiles for each image, drawn mirrored where that is nearest."""
+    return compression.compress(rgba_cells(spark, d), 16, flips=True)["cells"]
+
+
+@query(
+    "tile_compress_summary",
+    _COMPRESSED + """ select image_id, any_value(n)::bigint as original_tiles, any_value(m)::bigint as marked_tiles, least(any_value(n), 16)::bigint as tiles, sum((error > 0)::int)::bigint as substitutions, sum(error)::bigint as squared_error,
+    sum(error)::double / (count(*) * 256) as mse from ou join (select image_id, count(*) as n, sum(marked) as m from st group by image_id) using (image_id) group by image_id""",
+)
+def tile_compress_summary(spark, d):
+    return compression.compress(rgba_cells(spark, d), 16, flips=True)["summary"]
+
+
+@query("tile_compress_near")
+def tile_compress_near(spark, d):
+    """Tiles merged within a mean difference of one level, mirrored or not, before sixteen are kept."""
+    return compression.compress(rgba_cells(spark, d, 5), 16, 1, flips=True)["cells"]
 
 
 @query(
@@ -248,7 +300,7 @@ select block, palette from f where k > 0"""
 @query("palette_first_fit", _FIRST_FIT)
 def palette_first_fit(spark, d):
     sets = color_sets(spark, d).withColumn("image_id", F.lit(0)).select("image_id", "block", F.transform("colors", lambda c: c.cast("int")).alias("colors"))
-    return tile_ops.first_fit(sets, 16).select("block", "palette")
+    return first_fit(sets, 16).select("block", "palette")
 
 
 # ---- colours ----
@@ -348,11 +400,18 @@ def nes_hw_color(spark, d):
     return colors(spark, d).select("r", "g", "b", hardware_color(*_rgb()).alias("ppu"))
 
 
-def hardware_color(r: Column, g: Column, b: Column) -> Column:
-    """The PPU colour of least squared RGB distance; the first candidate wins a tie."""
-    table = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("k", "ppu", "r", "g", "b"), (k, i, *_CONV[i]), strict=True)]) for k, i in enumerate(_CAND)])
-    best = F.array_min(F.transform(table, lambda c: F.struct(((r - c["r"]) * (r - c["r"]) + (g - c["g"]) * (g - c["g"]) + (b - c["b"]) * (b - c["b"])).alias("d"), c["k"].alias("k"), c["ppu"].alias("ppu"))))
-    return best["ppu"]
+def hardware_color(r: Column, g: Column, b: Column, preferred: int | None = None) -> Column:
+    """The PPU colour of least squared RGB distance; the first candidate wins a tie, ``preferred`` before all.
+
+    Distance and place are one number, so the search is a ``least`` that compiles.
+    """
+    order = model.nes_candidates(preferred)
+
+    def square(x: Column, v: int) -> Column:
+        return (x.cast("int") - v) * (x.cast("int") - v)
+
+    ranked = [(square(r, _CONV[i][0]) + square(g, _CONV[i][1]) + square(b, _CONV[i][2])) * 128 + k for k, i in enumerate(order)]
+    return F.element_at(F.array(*map(F.lit, order)), F.least(*ranked) % 128 + 1)
 
 
 _QNES = model.rgb_table(model.QUANTIZER_NES)
