@@ -126,3 +126,27 @@ def test_results_outlive_other_runs(spark, sf_dir):
     assert linked.count() == 13 and packed.select("doc_id").count() >= 13
     ids = {r.doc_id: r.component_id for r in linked.collect() if r.doc_id in (20, 22)}
     assert ids == {20: 20, 22: 20}  # linked through a row without an id
+
+
+def test_stages_leave_each_other_alone(spark, sf_dir):
+    """A held stage result survives later stages, runs and threads; an owner can delete what it reads."""
+    import os
+    from threading import Thread
+
+    from tilefold.llm.common import delete, recorded
+
+    docs = odd_rows(spark)
+    a = pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    pipeline.redact_secrets(spark, docs, sf_dir)
+    other = Thread(target=lambda: pipeline.cut_repeats(spark, docs, sf_dir).count())
+    mine: list[str] = []
+    with recorded(mine):
+        b = pipeline.cut_repeats(spark, docs, sf_dir)
+        other.start()
+        other.join()
+    held = [p for p in mine if not p.startswith("table ")]
+    assert a.count() == 8 and b.count() == 13
+    alive = [p for p in held if os.path.exists(p)]
+    assert len(alive) == 2 and not any("lists" in p for p in alive)  # blocks and what goes, of this call alone
+    delete(spark, mine)
+    assert not any(os.path.exists(p) for p in held) and a.count() == 8

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, bucketed, slices, written
+from .common import as_text, bucketed, scratch, slices, written
 from .word_bpe import WordBpe, encoder
 
 WINDOW = 4096
@@ -184,7 +184,7 @@ def homes(table: DataFrame, idf: np.ndarray, mean_length: float) -> DataFrame:
     same = Window.partitionBy("pair")
     found = pairs.withColumn("shared", F.min("row").over(same) != F.max("row").over(same)).where("shared or best")
     best = F.max(F.struct("shared", "weight", "pair"))
-    return written(found.groupBy("row").agg(best.alias("best")).select("row", F.col("best.pair").alias("home")), "homes")
+    return written(found.groupBy("row").agg(best.alias("best")).select("row", F.col("best.pair").alias("home")), "homes", lasting=True)
 
 
 def splitters(found: DataFrame, rows: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +276,8 @@ def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float, tex
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: ``id_col``, ``start``, ``length``, ``ids`` (little-endian 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``."""
-    table = encoded(docs, tokenizer, end_id, id_col, text_col)
+    with scratch(docs.sparkSession):
+        table = encoded(docs, tokenizer, end_id, id_col, text_col)
     df = document_frequencies(table)
     n_docs, n_tokens = table.agg(F.sum("docs"), F.sum("tokens")).first()
     n_docs = n_docs or 0
@@ -327,7 +328,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
             yield from flush()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = homes(table, idf, mean_length)
+    with scratch(docs.sparkSession):
+        found = homes(table, idf, mean_length)
     cuts = splitters(found, n_docs, parts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

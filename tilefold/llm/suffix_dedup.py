@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, as_text, bucketed, mix, raw_bytes, slices, written
+from .common import MIX_A, MIX_B, as_text, bucketed, mix, raw_bytes, scratch, slices, written
 
 LENGTH, K = 50, 20
 LEFT = LENGTH - K
@@ -298,7 +298,8 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([number]), pa.array([lead_of(raw, some).tolist()], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pid", "block", "sample", "data"])
 
     # 1. Blocks, bucketed by the task that wrote them.
-    table = bucketed(picked.mapInArrow(write, "pid long, block long, sample array<long>, data binary"), "suffix_blocks", "pid")
+    with scratch(spark):
+        table = bucketed(picked.mapInArrow(write, "pid long, block long, sample array<long>, data binary"), "suffix_blocks", "pid")
     cuts = table.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)] or [0.5], 1000)).first()[0] or []
     splitters = np.unique(np.array(cuts, np.int64))
 
@@ -342,7 +343,6 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
 
     sent = table.select("pid", "data").mapInArrow(send, "bucket long, pid long, grams binary, several binary")
     shared = sent.repartition(buckets, "bucket").mapInArrow(find, "pid long, payload binary")
-    lists = written(shared.groupBy("pid").agg(F.collect_list("payload").alias("payloads")), "lists")
 
     # 3. Suffixes at shared anchors, range-partitioned.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,9 +399,11 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
             for pid, a, z in _runs(owner):
                 yield pa.RecordBatch.from_arrays([pa.array([int(pid)], pa.int64()), pa.array([spans[a:z].tobytes()], pa.binary())], ["pid", "payload"])
 
-    suffixes = table.select("pid", "block", "data").join(lists, "pid").mapInArrow(cut, "bucket long, pid long, data binary")
-    gone = suffixes.repartition(buckets, "bucket").mapInArrow(sort, "pid long, payload binary").groupBy("pid").agg(F.collect_list("payload").alias("payloads"))
-    gone = written(gone, "gone")
+    with scratch(spark):
+        lists = written(shared.groupBy("pid").agg(F.collect_list("payload").alias("payloads")), "lists")
+        suffixes = table.select("pid", "block", "data").join(lists, "pid").mapInArrow(cut, "bucket long, pid long, data binary")
+        gone = suffixes.repartition(buckets, "bucket").mapInArrow(sort, "pid long, payload binary").groupBy("pid").agg(F.collect_list("payload").alias("payloads"))
+        gone = written(gone, "gone", lasting=True)
 
     # 5. Back to the blocks.
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
