@@ -3,13 +3,12 @@
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame that is
 written and read again as the next one's ``docs``. All but the last return the columns of
 ``documents``. Stages judge their own input as a whole: models are trained and counts are made
-over the rows that reach them. As each stage's rows are stored before the next begins, a stage
-begins by deleting the working tables of those before it.
+over the rows that reach them. A stage's result may read working tables; whoever calls the stage owns
+them (``common.recorded``), else they go when the application ends. ``run`` deletes them as it goes.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,23 +23,9 @@ TOXIC = 0.3
 NEAR = jaccard_join.Rule(width=5, percent=80)
 
 
-_left: list[str] = []
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def stage(function: Stage) -> Stage:
-    """A stage whose working tables go when the next one begins, as its rows are stored by then."""
-
-    @functools.wraps(function)
-    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, _left)
-        with recorded(_left):
-            return function(spark, docs, sf_dir)
-
-    return begin
-
-
 def _with(docs: DataFrame, out: DataFrame, changed: F.Column, text: F.Column) -> DataFrame:
     """The columns of ``docs``, held in ``out`` as the struct ``row``, with another text and its length where it is changed."""
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -52,7 +37,6 @@ def _as_row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is ``TOXIC`` or more go; all others stay as they are.
 
@@ -64,7 +48,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(_as_row(docs), model, keep=("row",)).where(F.col("score") < TOXIC).select("row.*")
 
 
-@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays: that of the smallest id (nulls last).
 
@@ -75,7 +58,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return jaccard_join.representatives(docs, NEAR)
 
 
-@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has too are cut out; untouched rows stay as they are.
 
@@ -87,7 +69,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with(docs, out, F.size("spans") > 0, F.decode(F.col("kept"), "UTF-8"))
 
 
-@stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by ``[kind]``; rows without one stay as they are.
 
@@ -98,7 +79,6 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _with(docs, out, F.size("spans") > 0, F.col("redacted"))
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences that hold every id of every row once.
 
@@ -118,12 +98,15 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; the working tables of each go as soon as its rows are stored."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages; the working tables of each go as soon as its rows are stored, and those rows once the next ones are."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, step in STAGES[:-1]:
-        with scratch(spark):
-            docs = written(step.__wrapped__(spark, docs, sf_dir), name, lasting=True)
-    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)
+        now: list[str] = []
+        with recorded(now), scratch(spark):
+            docs = written(step(spark, docs, sf_dir), name, lasting=True)
+        delete(spark, before)
+        before = now
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Trained models and tokenizers are beyond SQL; tests compare the stages with brute-force versions.
