@@ -1,3 +1,3 @@
 """Queries and their SQL."""
 
-from . import editor, queries, training  # noqa: F401  (editor and training add their queries to those of queries)
+from . import editor, maps, queries, training  # noqa: F401  (the others add their queries to those of queries)
