@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import bridge, model
-from ..operators import quantizer
+from ..functions import draws
+from ..operators import palette_order, quantizer
+from ..operators import tiles as tile_ops
 from .queries import _COL, _PAL_SQL, QUERIES, _dither_sql, _rounds_sql, query
 
 
@@ -48,3 +50,22 @@ def finish_partial(spark, d):
     table = packed.select("image_id").distinct().join(F.broadcast(saved))  # one palette for each image
     rows = quantizer.finish_partial(packed, table, quantizer.Dither(0, 0.5))
     return rows.select("cell", F.posexplode("indexes").alias("p", "i"))
+
+
+_EPOCH_BITS = 20
+
+
+@query("epoch_order", f"with p as ({draws.permuted_sql('(select vec_id as id from embeddings)', 7, _EPOCH_BITS)}) select id as cell, place, row_number() over (order by place) - 1 as nth from p")
+def epoch_order(spark, d):
+    """The order in which a training's epoch visits the tiles: a seeded permutation, ranked without gathering it."""
+    place = draws.permuted(F.col("vec_id"), 7, _EPOCH_BITS)
+    rows = bridge.read(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), place.alias("place"), F.lit(0).alias("image_id"))
+    return tile_ops.numbered(rows, "place", "nth").select("cell", "place", "nth")
+
+
+@query("sorted_palettes")
+def sorted_palettes(spark, d):
+    """For each image four palettes, the corner colours of its first tiles, in an order in which neighbours are alike."""
+    px = bridge.tile_pixels(spark, d).where("p % 16 = 0")
+    first = px.select("image_id", "cell").distinct().withColumn("palette", F.row_number().over(Window.partitionBy("image_id").orderBy("cell")) - 1).where("palette < 4")
+    return palette_order.sorted_palettes(px.join(first, ["image_id", "cell"]).select("image_id", "palette", F.floor(F.col("p") / 16).cast("int").alias("i"), "r", "g", "b"))
