@@ -47,6 +47,8 @@ from .common import MIX_A, MIX_B, Words, as_text, mix, scratch, slices, split_wo
 DISCOUNT = 0.75
 #: Documents or continuations that an expression needs so that its own counts are used.
 RARE = 3
+#: Texts are looked at in slices of about so many UTF-8 bytes, to bound a worker's arrays.
+SLICE = 2 << 20
 #: Words of the stretches that are looked at besides the whole text.
 STRETCHES = (1, 4, 16)
 #: Bits of the filter that keeps unlabelled texts out of the shuffle (8 MB, whatever the input).
@@ -204,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             before, code, n = count_texts(as_text(batch.column("_text")), np.asarray(batch.column("_y")))
             yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(code.view(np.int64)), pa.array(n)], ["before", "code", "n"])
 
@@ -217,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             x, _, _ = shared.value.features(as_text(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("_y")], ["x", "y"])
 
@@ -232,7 +234,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             x, ratio, n = shared.value.features(as_text(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([batch.column("_kept"), pa.array(ratio), pa.array(n.astype(np.int64)), pa.array(apply_curve(shared.value.curve, x))], ["_kept", "_ratio", "_n", "_score"])
 
