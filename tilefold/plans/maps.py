@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bridge
-from ..sources import maps
+from ..sources import maps, sinks
 from .queries import mosaic, query
 
 #: Maps that the orders are dealt to, and tiles of a tileset at most.
@@ -34,3 +34,17 @@ def map_cells(spark, d):
     tiles = ids.withColumn("cell", (F.col("sid") * _TILES + F.col("id")) % 199 + 1).join(images, "cell").select("path", "firstgid", "id", "pixels")
     rows = maps.drawn(maps.tiles_as_of(cells, sets.select("path", "firstgid")), tiles, F.lit(8), F.lit(8))
     return rows.select("path", "cell", "state", F.array_join(F.col("pixels").cast("array<string>"), "").alias("pixels"))
+
+
+@query("png_file_parts")
+def png_file_parts(spark, d):
+    """The mosaic cut into images of 20 lines of 32 entries, as the parts of their PNG files: how long each is, and its checksum."""
+    lines = 20
+    rows = mosaic(spark, d).withColumn("image", F.floor(F.col("cell") / (bridge.TILES_X * lines)))
+    name = F.concat(F.col("image").cast("string"), F.lit(".png")).alias("file")
+    cells = rows.select(name, (F.col("cell") % (bridge.TILES_X * lines)).alias("cell"), F.transform("tile", lambda v: v + F.col("p_size") % 8 * 4).alias("pixels"))
+    images = cells.groupBy("file").agg(F.ceil((F.max("cell") + 1) / bridge.TILES_X).cast("int").alias("tiles_y"))
+    entries = images.select("file", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("entry"))
+    palettes = entries.select("file", "entry", (F.col("entry") * 8).alias("r"), (255 - F.col("entry") * 8).alias("g"), (F.col("entry") % 4 * 64).alias("b"))
+    parts = sinks.indexed_images(cells, palettes, images.select("file", F.lit(bridge.TILES_X).alias("tiles_x"), "tiles_y"), transparent_zero=True)
+    return parts.select("file", "nth", F.length("data").alias("bytes"), F.crc32("data").alias("crc32"))
