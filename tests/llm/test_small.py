@@ -491,3 +491,30 @@ def test_classifiers_on_odd_rows(spark):
     for module, label in ((toxicity, "toxic"), (quality_model, "quality")):
         got = module.score(rows, module.train(texts, labels, label_col=label), keep=("doc_id",)).collect()
         assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+def test_html_probes(spark):
+    """What is in the article's own header stays, what recurs on each page goes, and what is not shown ends no block."""
+    words = [f"word{i}" for i in range(400)]
+
+    def page(k, body):
+        return (k, f"http://one.example/{k}", f"<html><body><nav><a>Home</a></nav>{body}<div class='site-footer'>About us</div></body></html>")
+
+    def text(k):
+        return " ".join(words[k * 20 : k * 20 + 20])
+
+    rows = [page(k, f"<article><header class='entry-header'><h1>Title {k}</h1></header><p>{text(k)}</p><div class=q1>Subscribe now, same on each page</div></article>") for k in range(12)]
+    same = f"<article><p>{text(15)}</p><p>{text(16)}</p></article>"  # copies of one article do not make its text a template
+    rows += [(100 + k, "http://two.example/x", f"<body>{same}<i>{k}</i></body>") for k in range(9)]
+    single = [
+        ("<article><div class='post-header'>Kept one</div><div class='form-factor'>Kept two</div><section id='search-algorithms'>Kept three</section></article>", "Kept one\nKept two\nKept three"),
+        ("<article><p>See <svg><path/></svg>here and <script>x</script>there</p><p>Next<style>p{}</style></p></article>", "See here and there\nNext"),
+        ("<article><p>a<noscript><div>hidden<p>more</p></div></noscript>b</p></article>", "ab"),
+        ("<article><div class='comment-list'>No</div><div class='cookie-notice'>No</div><div class='ad slot'>No</div><div id='related_posts'>No</div><p>Yes</p></article>", "Yes"),
+        ("<div class='page-header'>No</div><article><div class='header'>Own head</div><p>Yes</p></article>", "Own head\nYes"),
+    ]
+    rows += [(200 + i, f"http://single{i}.example/", html) for i, (html, _) in enumerate(single)]
+    got = {r.page_id: r.text for r in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[k] for k in range(12)] == [f"Title {k}\n{text(k)}" for k in range(12)]
+    assert {got[100 + k] for k in range(9)} == {f"{text(15)}\n{text(16)}"}
+    assert [got[200 + i] for i in range(len(single))] == [t for _, t in single]

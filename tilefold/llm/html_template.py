@@ -1,16 +1,17 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page's tokens are its elements, named by their path of tags and classes (as a hash of the path
-above and the label, so nesting costs nothing), and, on pages without an article or main element,
-its blocks of text, named by path and text. Over the pages of a host, tokens with the same
+above and the label, so nesting costs nothing), and its blocks of text, named by path and text. Over the pages of a host, tokens with the same
 occurrence vector (as often on each page as one another) form an equivalence class. Classes that
 most pages hold are valid; the class whose tokens stand once on each page is the frame of the
 template, the others nest in its gaps as repeated parts. What the frame's tokens enclose are
 slots. The main slot is the article or main element around the slot of nearly all text outside
 elements of other roles (menus, page headers, footers, sidebars, notices, adverts, forms, reader
-comments); on a host without one it is the innermost slot that holds all of that text, and texts
-that are tokens of the template themselves (on at least half of the host's different pages, and
-on ``REPEATED`` of them) are no article's. The other blocks of the slot are the page's text.
+comments); on a host without one it is the innermost slot that holds all of that text. Texts that
+are tokens of the template themselves are no article's, also inside the slot: those on at least
+``SHARE`` of the host's different pages, and on ``REPEATED`` of them. The other blocks of the slot are
+the page's text. Pages with the same text in their article or main elements are one page here.
+Elements that show nothing (scripts, pictures) end no block.
 
 Occurrence vectors are never gathered: each is summed up as (pages, sum of a hash of page and
 count), which tasks and Spark add up partially, so a host with a third of all pages is no
@@ -51,22 +52,38 @@ BLOCK = frozenset(
 #: Start tags that end an open paragraph, and items that end their own kind.
 ENDS_P = BLOCK - frozenset("br body html".split())
 ITEM = {"li": "li", "dt": "dt|dd", "dd": "dt|dd", "tr": "tr", "td": "td|th", "th": "td|th", "option": "option"}
-#: Words in a class, id or role that name another role than the article's.
-ROLE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|complementary|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|"
-    r"notice|alert|cookie|cookies|consent|gdpr|comment|comments|reply|replies|disqus|form|search|login|signup|subscribe|newsletter|popup|modal|share|social|related|breadcrumb|breadcrumbs|pagination|contentinfo)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words that name another role than the article's, and words that only say where or what shape. A class, id or role
+#: names such a role if all of its words (between hyphens and underscores) are of these and at least one is of the first.
+ROLES = frozenset(
+    "nav navbar navigation menu header masthead footer sidebar aside complementary ad ads advert adverts advertisement sponsor sponsored promo banner notice alert cookie cookies "
+    "consent gdpr comment comments reply replies disqus form search login signup subscribe newsletter popup modal share social related breadcrumb breadcrumbs pagination contentinfo".split()
 )
+SHAPES = frozenset(
+    "site page main global top bottom left right primary secondary area bar box block body button buttons container group icons inner item items label links list panel "
+    "posts row section slot thread title toggle unit widget widgets wrap wrapper".split()
+)
+#: Roles of a page that an article can have too: inside one they are its own.
+HEADERS = frozenset(("header", "masthead"))
 #: An article or main element is the main slot if it is around the slot of so much of the text.
 MAIN_SHARE = 0.9
 
 
-#: Different pages that a text must stand on to be the template's.
-REPEATED = 3
+#: Different pages that a text must stand on to be the template's, and their share of a host's: of pages without an article or main element, and with one.
+REPEATED, SHARE = (3, 5), (0.5, 0.9)
 #: The path of the page itself.
 ROOT = 0
 
 
+def other_role(names: str, inside: bool) -> bool:
+    """Whether a class, id or role names another role; ``inside`` an article or main element headers are its own."""
+    for name in names.lower().split():
+        words = set(re.split(r"[-_]+", name)) - {""}
+        roles = words & ROLES
+        if roles and words <= ROLES | SHAPES and not (inside and roles <= HEADERS):
+            return True
+    return False
+
+
 def hashed(text: str, seed: int = 0) -> int:
     """A signed 64-bit hash."""
     h = xxhash.xxh3_64_intdigest(text, seed=seed)
@@ -96,6 +113,7 @@ class Page(HTMLParser):
         self.open_tags: dict[str, int] = defaultdict(int)
         self.paths: dict[int, list[int]] = {ROOT: [ROOT, 0, 0, 1]}
         self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.in_main: list[bool] = []  # of each block, whether an article or main element holds it
         self.parts: list[str] = []
         self.feed(html)
         self.close()
@@ -106,12 +124,12 @@ class Page(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                at = next((e for e in reversed(self.stack) if e.tag in BLOCK or e.silent), self.stack[0])
-                if not at.silent:
-                    self.blocks.append((at.path, text, at.other, at.inside))
+                at = next((e for e in reversed(self.stack) if e.tag in BLOCK and not e.silent), self.stack[0])
+                self.blocks.append((at.path, text, at.other, at.inside))
+                self.in_main.append(self.mains > 0)
 
     def pop_to(self, depth: int) -> None:
-        if any(e.tag in BLOCK for e in self.stack[depth:]):
+        if any(e.tag in BLOCK and not e.silent for e in self.stack[depth:]):
             self.flush()
         for e in self.stack[depth:]:
             self.open_tags[e.tag] -= 1
@@ -119,13 +137,13 @@ class Page(HTMLParser):
         del self.stack[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK and not self.stack[-1].silent:  # what is not shown ends no block
             self.flush()
         if tag in VOID:
             return
         ended = {"p"} & self.open_tags.keys() if tag in ENDS_P else set()
         ended |= set(ITEM.get(tag, "").split("|"))
-        if any(self.open_tags[t] for t in ended if t):
+        if not self.stack[-1].silent and any(self.open_tags[t] for t in ended if t):
             for i in range(len(self.stack) - 1, 0, -1):
                 open_tag = self.stack[i].tag
                 if open_tag in ended:
@@ -141,10 +159,8 @@ class Page(HTMLParser):
         header = tag == "header" and not self.mains
         main = tag in ("article", "main")
         frame = main or tag in ("html", "body")
-        other = above.other or tag in OTHER_ROLE or header or (not frame and bool(names) and ROLE_WORDS.search(names) is not None) or "hidden" in named
+        other = above.other or tag in OTHER_ROLE or header or (not frame and bool(names) and other_role(names, self.mains > 0)) or "hidden" in named
         path = hashed(label, seed=above.path & (1 << 64) - 1)
-        if tag in SILENT:
-            self.flush()
         self.stack.append(Element(tag, path, above.silent or tag in SILENT, other, above.inside or path == self.slot))
         self.open_tags[tag] += 1
         self.mains += main
@@ -156,14 +172,12 @@ class Page(HTMLParser):
         # "/" at the end of a tag that is not void is ignored, as browsers do
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK and not self.stack[-1].silent:
             self.flush()
         if not self.open_tags[tag]:
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                if tag in SILENT:
-                    self.parts = []
                 self.pop_to(i)
                 break
 
@@ -243,7 +257,7 @@ def text_of(html: str, slot: int | None, main: bool, repeated: frozenset[int]) -
         chars = page.chars()
         slot, main = main_slot([(p, up, depth, is_main, 1, 1 if n == 1 else n + 1, n, chars[p]) for p, (up, depth, is_main, n) in page.paths.items()])
         page = Page(html, slot)
-    return "\n".join(t for path, t, other, inside in page.blocks if inside and not other and (main or not repeated or hashed(t, path & (1 << 64) - 1) not in repeated))
+    return "\n".join(t for path, t, other, inside in page.blocks if inside and not other and (not repeated or hashed(t, path & (1 << 64) - 1) not in repeated))
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -262,9 +276,11 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                     x[1] += xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), seed=key) >> 24  # sums of 40 bits stay in a long
                     x[2] += n
                     x[3] += chars[path]
-                if not any(main for _, _, main, _ in page.paths.values()):
-                    for text in {hashed(t, path & (1 << 64) - 1) for path, t, other, _ in page.blocks if not other} | {ROOT}:
-                        sums[host, text, own, 0, 0, 1] = [1, 0, 0, 0]
+                main = int(any(m for _, _, m, _ in page.paths.values()))
+                texts = [hashed(t, path & (1 << 64) - 1) for (path, t, other, _), held in zip(page.blocks, page.in_main, strict=True) if not other and (held or not main)]
+                own = hashed(repr(texts)) if main else own  # pages of one text are one page
+                for text in {*texts, ROOT}:
+                    sums[host, text, own, 0, main, 1] = [1, 0, 0, 0]
             keys, values = list(sums), np.array(list(sums.values()), np.int64).reshape(-1, 4)
             types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             names = ["host", "path", "parent", "depth", "main", "text", "pages", "vector", "times", "chars"]
@@ -285,9 +301,10 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     grouped = common.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "parent", "depth", "main", "pages", "vector", "times", "chars"))).alias("tokens"))
     slots = grouped.mapInArrow(deduce, "host string, slot long, main boolean")
     # a text's pages are counted once for each different page: its row names the page as parent
-    texts = sums.where("text = 1").groupBy("host", "path").agg(F.count("*").alias("pages"))
-    most = texts.where(F.col("path") == ROOT).select("host", F.col("pages").alias("total"))
-    repeated = texts.where(F.col("path") != ROOT).join(most, "host").where((2 * F.col("pages") >= F.col("total")) & (F.col("pages") >= REPEATED))
+    texts = sums.where("text = 1").groupBy("host", "main", "path").agg(F.count("*").alias("pages"))
+    most = texts.where(F.col("path") == ROOT).select("host", "main", F.col("pages").alias("total"))
+    enough = [(F.col("main") == m) & (F.col("pages") >= REPEATED[m]) & (F.col("pages") >= F.lit(SHARE[m]) * F.col("total")) for m in (0, 1)]
+    repeated = texts.where(F.col("path") != ROOT).join(most, ["host", "main"]).where(enough[0] | enough[1])
     return slots.join(repeated.groupBy("host").agg(F.collect_list("path").alias("texts")), "host", "left")
 
 
