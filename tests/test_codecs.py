@@ -44,3 +44,47 @@ def test_zx0_is_short():
 def test_column(spark):
     df = spark.createDataFrame([(bytearray(SMALL),), (None,)], "x binary")
     assert [r[0] and r[0].hex() for r in df.select(codecs.encode_column(df.x, "rle")).collect()] == ["050404000102fd03fc06010100", None]
+
+
+def least_bits(data, window):
+    """Every parse by states (done, last offset, literals last), without any shortcut."""
+    n, gamma = len(data), lambda v: 2 * v.bit_length() - 1
+    best = {(0, 1, False): 0}
+    for i in range(n):
+        for (at, offset, literal), cost in sorted(best.items(), key=lambda s: s[0]):
+            if at != i:
+                continue
+            moves = []
+            if not literal:
+                moves += [((i + k, offset, True), (1 if i else 0) + gamma(k) + 8 * k) for k in range(1, n - i + 1)]
+            for o in range(1, min(i, window) + 1):
+                k = 0
+                while i + k < n and data[i + k] == data[i + k - o]:
+                    k += 1
+                    if literal and o == offset:
+                        moves.append(((i + k, o, False), 1 + gamma(k)))
+                    if k > 1:
+                        moves.append(((i + k, o, False), 8 + gamma((o - 1) // 128 + 1) + gamma(k - 1)))
+            for state, price in moves:
+                best[state] = min(best.get(state, cost + price), cost + price)
+    return min(c for (at, *_), c in best.items() if at == n)
+
+
+def test_zx0_is_the_shortest():
+    rng = random.Random(2)
+    shapes = [bytes(rng.randrange(k) for _ in range(rng.randrange(1, 34))) for k in (1, 2, 2, 3, 4, 9) for _ in range(12)]
+    # a lone byte that repeats inside long literals: passing over it is cheaper than using it
+    shapes += [bytes([1, 2]) + bytes(range(10, 10 + k)) + bytes([1]) + bytes(range(40, 40 + k)) + bytes([1, 2, 9, 9]) for k in (3, 8, 17)]
+    for data in shapes:
+        bits, steps = codecs.zx0_steps(data)
+        assert bits == least_bits(data, codecs.ZX0_WINDOW) and sum(s[3] for s in steps) == len(data)
+        assert codecs.un_zx0(codecs.zx0(data)) == data
+    far = bytes(rng.randrange(3) for _ in range(40))
+    assert codecs.zx0_steps(far, 5)[0] == least_bits(far, 5)
+
+
+def test_zx0_of_long_streams():
+    rng = random.Random(3)
+    for data in (bytes(5000), bytes(rng.randrange(2) for _ in range(1500)), b"".join(rng.choice([b"tile", b"map", b"\x00" * 9]) for _ in range(700)), bytes(rng.randrange(256) for _ in range(700))):
+        packed = codecs.zx0(data)
+        assert codecs.un_zx0(packed) == data and len(packed) <= len(data) * 1.01 + 8

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WINDOW, LONGEST = 0xFFFF, 64
 ZX0_WINDOW = 32640
-BEAM = 8
 
 
 def rle_gbdk(data: bytes) -> bytes:
@@ -186,69 +186,106 @@ class _Bits:
         self.bit(1)
 
 
-def zx0(data: bytes) -> bytes:
-    """A ZX0 (v2) stream by a shortest path over (bytes done, last offset, whether literals came last).
+def _gamma_table(n: int) -> np.ndarray:
+    """Bits of the numbers up to n (0 has none)."""
+    value = np.arange(n + 2)
+    return np.where(value > 0, 2 * np.floor(np.log2(np.maximum(value, 1))).astype(np.int64) + 1, 0)
+
+
+#: A step of a parse: kind, where it ends, its offset, its length, and the step before it.
+_Step = tuple
+
+
+def zx0_steps(data: bytes, window: int = ZX0_WINDOW) -> tuple[int, list[tuple[str, int, int, int]]]:
+    """The fewest bits of a ZX0 stream without its end mark, and its steps (kind, start, offset, length).
+
+    A shortest path over bytes done, last offset, and whether literals came last. What follows an end
+    matters in three ways only, which bounds the states that are kept:
 
-    From each reachable state the moves are a block of literals, a copy from the last offset (only
-    behind literals) and a copy from a new offset; costs are the format's bits. The search is a beam:
-    it goes on from the ``BEAM`` cheapest states of a place, and of new offsets that cost alike it
-    takes the one that reaches farthest.
+    - A copy from a new offset goes on from the cheapest state of a place.
+    - Literals go on from the cheapest copy that ends at a place, unless their last offset is used again.
+    - It is used again only where a stretch that repeats at this offset begins, and after literals that began
+      where an earlier such stretch ended: else the copy could be one byte longer, which costs less than a
+      literal. So for each offset the ends of its stretches are kept, without those that another one beats for good.
+
+    Time grows with the square of the bytes; memory with the bytes and the offsets in use.
     """
     n = len(data)
-    if not n:
+    gamma, values = _gamma_table(n), np.frombuffer(data, np.uint8)
+    reach = min(max(n - 1, 1), window)
+    price = 8 + _gamma_table(window // 128 + 1)[(np.arange(reach + 1) - 1) // 128 + 1]
+    far = np.int64(1 << 60)
+    cheapest, copied = np.full(n + 1, far), np.full(n + 1, far)  # any state, and copies alone
+    any_step: list[_Step | None] = [None] * (n + 1)
+    copy_step: list[_Step | None] = [None] * (n + 1)
+    copied[0], copy_step[0] = -1, ("start", 0, 1, 0, None)  # the first literals have no mark
+    since, again, now = np.zeros(reach + 1, np.int64), np.full(reach + 1, far), np.full(reach + 1, far)
+    running = np.zeros(reach + 1, bool)
+    again_step: dict[int, _Step] = {}
+    ends: dict[int, list[tuple[int, int, _Step]]] = {1: [(0, -1, copy_step[0])]}
+    places = [np.zeros(0, np.int64)] * 256
+    filled = [0] * 256
+
+    def copy_of(offset: int, end: int) -> _Step:
+        """The step of the cheapest copy at ``offset`` that ends there (its cost is ``now[offset]``)."""
+        if again[offset] + 1 + gamma[end - since[offset]] == now[offset]:
+            return ("again", end, offset, end - int(since[offset]), again_step[offset])
+        starts = np.arange(since[offset], end - 1)
+        at = int(starts[np.argmin(cheapest[starts] + gamma[end - starts - 1])])
+        return ("copy", end, offset, end - at, any_step[at])
+
+    for end in range(1, n + 1):
+        k, byte = end - 1, data[end - 1]
+        active = k - places[byte][: filled[byte]]
+        active = active[active <= reach]
+        on = np.zeros(reach + 1, bool)
+        on[active] = True
+        for offset in np.flatnonzero(running & ~on):
+            if now[offset] < far:
+                cost, kept = int(now[offset]), ends.setdefault(int(offset), [])
+                kept[:] = [e for e in kept if e[1] + 8 * (k - e[0]) < cost]
+                kept.append((k, cost, copy_of(int(offset), k)))
+        for offset in np.flatnonzero(on & ~running):
+            since[offset], again[offset] = k, far
+            for start, cost, step in ends.get(int(offset), ()):
+                value = cost + 1 + gamma[k - start] + 8 * (k - start)
+                if start < k and value < again[offset]:
+                    again[offset], again_step[int(offset)] = value, ("literal", k, 0, k - start, step)
+        running = on
+        if len(active):
+            lowest = int(since[active].min())
+            fresh = np.full(end - lowest + 1, far)
+            if end - 1 > lowest:
+                starts = np.arange(lowest, end - 1)
+                fresh[: len(starts)] = np.minimum.accumulate((cheapest[starts] + gamma[end - starts - 1])[::-1])[::-1]
+            now[active] = np.minimum(again[active] + 1 + gamma[end - since[active]], fresh[since[active] - lowest] + price[active])
+            best = int(active[np.argmin(now[active])])
+            if now[best] < far:
+                copied[end], copy_step[end] = now[best], copy_of(best, end)
+        starts = np.arange(end)
+        literal = copied[starts] + 1 + gamma[end - starts] + 8 * (end - starts)
+        at = int(np.argmin(literal))
+        if literal[at] < copied[end]:
+            cheapest[end], any_step[end] = literal[at], ("literal", end, 0, end - at, copy_step[at])
+        else:
+            cheapest[end], any_step[end] = copied[end], copy_step[end]
+        if filled[byte] == len(places[byte]):
+            places[byte] = np.concatenate([places[byte], np.zeros(max(8, filled[byte]), np.int64)])
+        places[byte][filled[byte]] = k
+        filled[byte] += 1
+    steps, step = [], any_step[n]
+    while step is not None and step[0] != "start":
+        kind, end, offset, length, step = step
+        steps.append((kind, end - length, offset, length))
+    return int(cheapest[n]), steps[::-1]
+
+
+def zx0(data: bytes) -> bytes:
+    """The shortest ZX0 (v2) stream."""
+    if not data:
         raise ValueError("there is nothing to compress")
-    # reach[i]: how far data[i:] agrees with what stands ``offset`` before it
-    same: dict[int, list[int]] = {}
-    for offset in range(1, min(n, ZX0_WINDOW + 1)):
-        row, length = [0] * (n + 1), 0
-        for i in range(n - 1, offset - 1, -1):
-            length = length + 1 if data[i] == data[i - offset] else 0
-            row[i] = length
-        if any(row):
-            same[offset] = row
-    inf = float("inf")
-    # best cost and step of states (done, offset) after literals or after a copy
-    literal: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-    copied: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
-    copied[0][1] = (0, None)
-
-    def put(table: list[dict[int, tuple]], at: int, offset: int, cost: float, step: tuple) -> None:
-        if cost < table[at].get(offset, (inf,))[0]:
-            table[at][offset] = (cost, step)
-
-    def cheapest(states: dict[int, tuple]) -> list[tuple]:
-        return sorted(states.items(), key=lambda s: (s[1][0], s[0]))[:BEAM]
-
-    for i in range(n):
-        for offset, (cost, _) in cheapest(literal[i]):
-            if offset in same:
-                for length in range(1, same[offset][i] + 1):
-                    put(copied, i + length, offset, cost + 1 + _gamma_bits(length), ("again", i, offset, length, literal))
-        states = [(cost, o, t) for t in (literal, copied) for o, (cost, _) in t[i].items() if i or t is copied]
-        if i and states:
-            cost, old, came = min(states, key=lambda s: s[0])
-            farthest: dict[int, tuple[int, int]] = {}
-            for offset, row in same.items():
-                group = (offset - 1) // 128
-                if row[i] > farthest.get(group, (1, 0))[0]:
-                    farthest[group] = (row[i], offset)
-            for reach, offset in farthest.values():
-                price = cost + 8 + _gamma_bits((offset - 1) // 128 + 1)
-                for length in range(2, reach + 1):
-                    put(copied, i + length, offset, price + _gamma_bits(length - 1), ("copy", i, old, length, came))
-        for offset, (cost, _) in cheapest(copied[i])[:1]:
-            for length in range(1, n - i + 1):
-                price = cost + (1 if i else 0) + _gamma_bits(length) + 8 * length
-                put(literal, i + length, offset, price, ("literal", i, offset, length, copied))
-    ends = [(cost, o, t) for t in (literal, copied) for o, (cost, _) in t[n].items()]
-    _, offset, came = min(ends, key=lambda s: s[0])
-    steps, at = [], n
-    while at:
-        kind, before, old, length, source = came[at][offset][1]
-        steps.append((kind, before, offset, length))
-        at, offset, came = before, old, source
     bits = _Bits()
-    for kind, before, offset, length in reversed(steps):
+    for kind, before, offset, length in zx0_steps(data)[1]:
         if kind == "literal":
             bits.bit(0)
             bits.gamma(length)
