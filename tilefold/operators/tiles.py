@@ -1,4 +1,4 @@
-"""Tile dictionaries: first-seen ids, mirrored tiles, top-k retention, nearest kept tile, metatiles.
+"""Tile dictionaries: first-seen ids, mirrored tiles, top-k retention, metatiles.
 
 Ids are given to distinct patterns, which are few beside the cells, after a partially
 aggregated ``groupBy``; cells get them back by an equi-join.
@@ -63,28 +63,6 @@ def retained(tiles: DataFrame, k: int, image: str = "image_id") -> DataFrame:
     return tiles.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def squared_error(a: Column, b: Column) -> Column:
-    """Sum of squared differences of two arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0), lambda s, d: s + d)
-
-
-def nearest_kept(tiles: DataFrame, kept: DataFrame, flips: bool = False, image: str = "image_id") -> DataFrame:
-    """Each tile's nearest kept tile by squared error: (image, tile, kept_tile, flags, error).
-
-    The kept tiles of an image are a bounded dictionary (a target's tile limit), so they travel as
-    one array and the argmin is a fold; ties go to the kept order, then the lesser flags.
-    """
-    order = ((False, False), (True, False), (False, True), (True, True)) if flips else ((False, False),)
-    stored = F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("tile").alias("kept_tile"), F.col("pattern").alias("kp"))))
-    dictionary = kept.groupBy(image).agg(stored.alias("kept"))
-
-    def candidates(k: Column) -> Column:
-        return F.array(*[F.struct(squared_error(F.col("pattern"), flipped(k["kp"], h, v)).alias("error"), k["rank"].alias("rank"), F.lit(f).alias("flags"), k["kept_tile"].alias("kept_tile")) for f, (h, v) in enumerate(order)])
-
-    best = F.array_min(F.flatten(F.transform("kept", candidates)))
-    return tiles.join(dictionary, image).withColumn("best", best).select(image, "tile", "best.kept_tile", "best.flags", "best.error")
-
-
 def metatiles(cells: DataFrame, tiles_x: int | Column, image: str = "image_id") -> DataFrame:
     """Blocks of 2x2 cells with first-seen ids: (image, block, metatile). ``cells``: image, cell, tile, and palette and flags where it has them.
 

@@ -102,8 +102,15 @@ def tile_compress_exact(spark, d):
 )
 def tile_compress_topk_nn(spark, d):
     rows = mosaic(spark, d)
-    every = used_tiles(rows)
-    return tile_ops.nearest_kept(every, tile_ops.retained(every, 16)).select("tile", "kept_tile", "error")
+    return nearest_of_kept(used_tiles(rows), 16).select("tile", "kept_tile", "error")
+
+
+def nearest_of_kept(tiles_: DataFrame, k: int) -> DataFrame:
+    """Each tile's nearest of the k kept ones: tile, kept_tile, error."""
+    every = stored(tiles_.select("image_id", "tile", "uses", "marked", compression.value_pattern(F.col("pattern")).alias("pattern")))
+    kept = stored(tile_ops.retained(every, k).select("image_id", F.col("tile").alias("kept_tile"), (F.col("rank") - 1).alias("index"), "pattern"))
+    near = compression.nearest_kept(every.select("image_id", "tile", "pattern"), kept.select("image_id", "index", "pattern"), False, 1)
+    return near.join(kept.select("image_id", "index", "kept_tile"), ["image_id", "index"])
 
 
 @query("tile_compress_tolerance")
@@ -172,7 +179,7 @@ def tile_compress_near(spark, d):
 )
 def tile_compress_error(spark, d):
     every = used_tiles(mosaic(spark, d))
-    near = tile_ops.nearest_kept(every, tile_ops.retained(every, 16)).join(every.select("tile", "uses"), "tile")
+    near = nearest_of_kept(every, 16).join(every.select("tile", "uses"), "tile")
     return near.agg(F.sum(F.when(F.col("error") > 0, F.col("uses")).otherwise(0)).alias("substitutions"), F.sum(F.col("uses") * F.col("error")).alias("squared_error"))
 
 
