@@ -118,3 +118,13 @@ def test_many_bundles(spark):
     assert m.flatten(loaded)[0].count() == 8
     none = m.load(files.limit(0))
     assert all(x.count() == 0 for x in none.values()) and all(x.count() == 0 for x in m.flatten(none))
+
+
+def test_main_files_and_chosen_layers(spark):
+    rows = [("a", "a/x.png"), ("a", "a/Z.TMJ"), ("a", "a/q.tmx"), ("b", "b/z.png"), ("b", "b/a.png"), ("b", "b/0.txt"), ("c", "c/n.txt")]
+    files = spark.createDataFrame([(b, p, b"") for b, p in rows], "bundle string, path string, content binary")
+    assert sorted(map(tuple, m.main_files(files).collect())) == [("a", "a/Z.TMJ", "map"), ("b", "b/a.png", "image"), ("c", "c/n.txt", "other")]
+    layers = spark.createDataFrame([("one", 0, "L", [1]), ("two", 0, "A", [2]), ("two", 1, "B", [3]), ("two", 2, "B", [4])], "path string, nth int, layer string, gids array<bigint>")
+    names = spark.createDataFrame([("two", "B"), ("one", "other")], "path string, layer string")
+    assert sorted((r.path, r.nth) for r in m.chosen_layers(layers, names).collect()) == [("one", 0), ("two", 1)]
+    assert [(r.path, r.nth) for r in m.chosen_layers(layers).collect()] == [("one", 0)]

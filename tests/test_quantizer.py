@@ -185,3 +185,29 @@ def test_not_worse_than_batch_means(spark, sf_dir):
     error = qz.train(qz.blocks(tiles), 1, len(plans.PAL)).first().error
     batch = plans.quantize_batch(spark, sf_dir).join(plans.colors(spark, sf_dir), ["r", "g", "b"]).agg(F.sum(F.col("d") * F.col("n"))).first()[0]
     assert error <= batch
+
+
+def test_whole_job(spark):
+    rng = random.Random(12)
+    colors = [(250, 10, 10), (20, 200, 30), (9, 9, 240), (120, 120, 120), (255, 255, 255)]
+    px = [(i, x, y, *colors[min(4, int(rng.expovariate(0.9)))], 255 if (x + y) % 5 else 80) for i in (1, 2) for x in range(16) for y in range(16)]
+    pixels = spark.createDataFrame(px, "image_id long, x int, y int, r int, g int, b int, a int")
+    sizes = spark.createDataFrame([(1, 16, 16), (2, 16, 16)], "image_id long, width int, height int")
+    modes = {r.image_id: r.zero for r in qz.opaque_mode(pixels).collect()}
+    for i, zero in modes.items():
+        opaque = [r << 16 | g << 8 | b for k, _, _, r, g, b, a in px if k == i and a == 255]
+        assert opaque.count(zero) == max(map(opaque.count, set(opaque)))
+    assert qz.opaque_mode(pixels.withColumn("a", F.lit(0))).select("zero").distinct().collect()[0][0] == 0
+    out = qz.quantize(pixels, sizes, 2, 3, bits=4, shared=True, rounds=1)
+    palettes = defaultdict(dict)
+    for r in out["palettes"].collect():
+        palettes[r.image_id][r.palette, r.i] = r.r << 16 | r.g << 8 | r.b
+    reduced = lambda c: sum(int(v / 17 + 0.5) * 17 << s for v, s in zip(levels(c), (16, 8, 0), strict=True))
+    assert all(palettes[i][p, 0] == reduced(modes[i]) for i in (1, 2) for p in (0, 1))
+    source = {(i, x, y): reduced(r << 16 | g << 8 | b) for i, x, y, r, g, b, _ in px}
+    for r in out["cells"].collect():
+        table = [[palettes[r.image_id][p, k] for k in range(3)] for p in (0, 1)]
+        seen = [source[r.image_id, r.cell % 2 * 8 + p % 8, r.cell // 2 * 8 + p // 8] for p in range(64)]
+        errors = [sum(nearest(t, c)[0] for c in seen) for t in table]
+        assert r.palette == errors.index(min(errors)) and r.colors == [table[r.palette][-nearest(table[r.palette], c)[1]] for c in seen]
+    assert qz.quantize(pixels, sizes, 1, 3, bits=3, megadrive=True, dither=qz.Dither(4, 0.5), rounds=0)["cells"].count() == 8

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import color
 from ..working import release, stored
+from .palette_order import sorted_palettes
 
 #: Tiles of one block.
 BLOCK_TILES = 256
@@ -55,6 +56,25 @@ def cut_tiles(pixels: DataFrame, sizes: DataFrame, tile_width: int = 8, tile_hei
     return found.select("image_id", "cell", "tiles_x", full.alias("pixels"))
 
 
+def opaque_mode(pixels: DataFrame) -> DataFrame:
+    """(image_id, zero): the commonest colour of an image's opaque pixels (image_id, x, y, r, g, b, a), of equals the first to be complete; black without any."""
+    rgb = (F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")).cast("int")
+    counts = pixels.where("a = 255").groupBy("image_id", rgb.alias("rgb")).agg(F.count("*").alias("n"), F.max(F.struct("y", "x")).alias("last"))
+    best = counts.groupBy("image_id").agg(F.max_by("rgb", F.struct("n", (-F.col("last.y")).alias("y"), (-F.col("last.x")).alias("x"))).alias("zero"))
+    return pixels.select("image_id").distinct().join(best, "image_id", "left").select("image_id", F.coalesce("zero", F.lit(0)).alias("zero"))
+
+
+def reduced_rgb(rgb: Column, bits: int, megadrive: bool = False) -> Column:
+    """A packed colour in ``bits`` a channel; -1 stays."""
+    parts = [color.reduce_channel(F.shiftright(rgb, s).bitwiseAND(F.lit(255)).cast("double"), bits, megadrive).cast("int") for s in (16, 8, 0)]
+    return F.when(rgb < 0, rgb).otherwise(F.shiftleft(parts[0], 16) + F.shiftleft(parts[1], 8) + parts[2])
+
+
+def reduced_tiles(tiles: DataFrame, bits: int, megadrive: bool = False) -> DataFrame:
+    """Tiles whose pixels are reduced before training, as it is done where nothing is dithered."""
+    return tiles.withColumn("pixels", F.transform("pixels", lambda c: reduced_rgb(c, bits, megadrive)))
+
+
 def blocks(tiles: DataFrame) -> DataFrame:
     """Tiles (image_id, cell, tiles_x, pixels) in blocks, stored: the passes read them again and again."""
     grouped = tiles.groupBy("image_id", "tiles_x", F.floor(F.col("cell") / BLOCK_TILES).alias("block"))
@@ -218,16 +238,20 @@ def schedule(palettes: int, colors: int, rounds: int, means: int, shared: bool =
     return ["mean", *["palette"] * (palettes - 1), *["color"] * (colors - 1 - shared), *["replace"] * rounds, "best", *["mean"] * means, "best"]
 
 
-def train(packed: DataFrame, palettes: int, colors: int, rounds: int = 10, means: int = 3, shared: int | None = None) -> DataFrame:
+def train(packed: DataFrame, palettes: int, colors: int, rounds: int = 10, means: int = 3, shared: int | DataFrame | None = None) -> DataFrame:
     """(image_id, palettes, colors, error, pixels) of each image's best palettes.
 
-    ``packed``: blocks. ``shared``: a colour that is the first of every palette and never moves.
+    ``packed``: blocks. ``shared``: a colour that is the first of every palette and never moves, or one for each image (image_id, zero).
     Images without a visible pixel have no row.
     """
     kind = packed.schema["image_id"].dataType.simpleString()
     columns = f"image_id {kind}, palettes array<int>, colors int, best array<int>, best_error long, pixels long"
-    start = ([] if shared is None else [shared]) + [0]
-    state = packed.select("image_id").distinct().select("image_id", F.array(*map(F.lit, start)).alias("palettes"), F.lit(len(start)).alias("colors"), F.expr("cast(null as array<int>)").alias("best"), F.expr("cast(null as bigint)").alias("best_error"), F.lit(0).cast("long").alias("pixels"))
+    images, fixed = packed.select("image_id").distinct(), shared is not None
+    if isinstance(shared, DataFrame):
+        images, first = images.join(shared, "image_id", "left"), [F.coalesce("zero", F.lit(0)).cast("int")]
+    else:
+        first = [] if shared is None else [F.lit(shared)]
+    state = images.select("image_id", F.array(*first, F.lit(0)).alias("palettes"), F.lit(len(first) + 1).alias("colors"), F.expr("cast(null as array<int>)").alias("best"), F.expr("cast(null as bigint)").alias("best_error"), F.lit(0).cast("long").alias("pixels"))
     full = palettes * colors
 
     def advance(step: str):
@@ -242,14 +266,14 @@ def train(packed: DataFrame, palettes: int, colors: int, rounds: int = 10, means
                 best, best_error = [c for x in now for c in x], error
             for s in stats.values():
                 s["tile_colors"] = [] if s["tile_colors"] is None else [int(c) for c in s["tile_colors"]]
-            after = [list(map(int, x)) for x in np.asarray(best).reshape(-1, colors)] if step == "best" else next_palettes(step, now, stats, shared is not None)
+            after = [list(map(int, x)) for x in np.asarray(best).reshape(-1, colors)] if step == "best" else next_palettes(step, now, stats, fixed)
             row = {"image_id": first["image_id"], "palettes": [int(c) for x in after for c in x], "colors": len(after[0]), "best": None if best is None else [int(c) for c in best], "best_error": best_error, "pixels": pixels}
             return pd.DataFrame([row])
 
         return run
 
     sums = ["p", "c", "n", "sr", "sg", "sb", "error", "removed", "far_rgb", "tile_colors"]
-    for step in schedule(palettes, colors, rounds, means, shared is not None):
+    for step in schedule(palettes, colors, rounds, means, fixed):
         stats = measured(with_palettes(packed, state.select("image_id", "palettes", "colors"), full))
         filled = stats.select("image_id", *[F.coalesce(c, F.lit(0)).alias(c) if c != "tile_colors" else F.col(c) for c in sums])
         after = stored(filled.join(state, "image_id").groupBy("image_id").applyInPandas(advance(step), columns))
@@ -266,13 +290,13 @@ def listed(trained: DataFrame) -> DataFrame:
     return rows.select("image_id", F.floor(F.col("k") / F.col("colors")).cast("int").alias("palette"), (F.col("k") % F.col("colors")).cast("int").alias("i"), *parts)
 
 
-def table_of(palettes: DataFrame, bits: int = 8) -> DataFrame:
+def table_of(palettes: DataFrame, bits: int = 8, megadrive: bool = False) -> DataFrame:
     """Stored palette rows (image_id, palette, i, r, g, b) as one row for each image, in the colours of ``bits`` a channel.
 
     All palettes of an image must have the same number of colours; it is at most 16 palettes of 256.
     """
-    part = lambda c: color.reduce_channel(F.col(c).cast("double"), bits).cast("int") if bits < 8 else F.col(c).cast("int")
-    rgb = F.shiftleft(part("r"), 16) + F.shiftleft(part("g"), 8) + part("b")
+    rgb = (F.shiftleft("r", 16) + F.shiftleft("g", 8) + F.col("b")).cast("int")
+    rgb = reduced_rgb(rgb, bits, megadrive) if bits < 8 or megadrive else rgb
     rows = palettes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("palette", "i", rgb.alias("rgb")))).alias("e"), (F.max("i") + 1).cast("int").alias("colors"))
     return rows.select("image_id", F.transform("e", lambda x: x["rgb"]).alias("palettes"), "colors")
 
@@ -308,13 +332,13 @@ class Dither:
         return np.choose(nth, [f[1] for f in found]), np.choose(nth, [f[2] for f in found])
 
 
-def render(packed: DataFrame, palettes: DataFrame, dither: Dither | None = None, bits: int = 8, tile_width: int = 8) -> DataFrame:
+def render(packed: DataFrame, palettes: DataFrame, dither: Dither | None = None, bits: int = 8, tile_width: int = 8, megadrive: bool = False) -> DataFrame:
     """Each tile drawn with its best palette: image_id, cell, palette, indexes (-1 where transparent), error, colors (packed, as shown).
 
     ``palettes``: stored rows (image_id, palette, i, r, g, b), of a finished or a stopped training.
     With ``dither`` a tile's palette is that of the least *dithered* error. A tile without a visible pixel has palette 0.
     """
-    table = table_of(palettes, bits)
+    table = table_of(palettes, bits, megadrive)
     most = palettes.groupBy("image_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     kind = packed.schema["image_id"].dataType.simpleString()
 
@@ -355,6 +379,23 @@ def finish_partial(packed: DataFrame, checkpoint: DataFrame, dither: Dither, bit
     return render(packed, checkpoint, dither, bits)
 
 
+def quantize(pixels: DataFrame, sizes: DataFrame, palettes: int, colors: int, bits: int = 8, megadrive: bool = False, dither: Dither | None = None, shared: bool = False, rounds: int = 10, tile: int = 8) -> dict[str, DataFrame]:
+    """The whole job on images (image_id, x, y, r, g, b, a; image_id, width, height): reduce, train, sort, render.
+
+    Pixels are reduced first unless they are dithered. With ``shared``, the commonest opaque colour is the first of every
+    palette. Returns ``palettes`` (image_id, palette, i, r, g, b, as shown, sorted) and ``cells`` as ``render`` gives them.
+    """
+    tiles = cut_tiles(pixels, sizes, tile, tile)
+    reduce = bits < 8 or megadrive
+    packed = blocks(reduced_tiles(tiles, bits, megadrive) if reduce and dither is None else tiles)
+    trained = train(packed, palettes, colors, rounds, shared=opaque_mode(pixels) if shared else None)
+    shown = reduced_rgb(F.col("rgb"), bits, megadrive) if reduce else F.col("rgb")
+    rows = trained.select("image_id", "colors", F.posexplode("palettes").alias("k", "rgb")).withColumn("rgb", shown)
+    rows = rows.select("image_id", F.floor(F.col("k") / F.col("colors")).cast("int").alias("palette"), (F.col("k") % F.col("colors")).cast("int").alias("i"), *[F.shiftright("rgb", s).bitwiseAND(F.lit(255)).alias(c) for c, s in (("r", 16), ("g", 8), ("b", 0))])
+    ordered = stored(sorted_palettes(rows, 1 if shared else 0))
+    return {"palettes": ordered, "cells": render(packed, ordered, dither, bits, tile, megadrive)}
+
+
 def tile_pixels(rows: DataFrame, r: Column, g: Column, b: Column, tiles_x: int) -> DataFrame:
     """Tiles of rows (image_id, cell) with arrays of 64 channel levels."""
     rgb = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.shiftleft(F.get(r, p), 16) + F.shiftleft(F.get(g, p), 8) + F.get(b, p))

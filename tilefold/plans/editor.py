@@ -255,6 +255,29 @@ def clamped_option(text: Column, low: int, high: int, default: int) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)).cast("long")
 
 
+def clamped_decimal(text: Column, low: float, high: float, default: float) -> Column:
+    """The decimal number at the start of a text, or ``default`` without one, within [low, high], with two places."""
+    number = F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
+    value = F.when(number == "", float(default)).otherwise(number.cast("double"))
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)).cast("decimal(12,2)")
+
+
+def at_least_one(text: Column, default: int) -> Column:
+    """A whole text's number without its fraction, ``default`` where it is none or zero, and one where it is below."""
+    number = F.floor(text.try_cast("double"))
+    return F.greatest(F.lit(1).cast("long"), F.coalesce(F.nullif(number, F.lit(0).cast("long")), F.lit(default).cast("long")))
+
+
+_DECIMAL = "case p_partkey % 4 when 0 then 'x1' when 1 then ' ' || (p_size / 16.0)::decimal(9,4) || 'px' when 2 then '-' || p_size || '.7' else '.' || (p_size % 100) end"
+
+
+@query("option_decimals", f"select p_partkey as id, greatest(0.0, least(1.5, coalesce(try_cast(regexp_extract({_DECIMAL}, '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+))', 1) as double), 0.5)))::decimal(12,2) as value, greatest(1, coalesce(nullif(floor(try_cast({_DECIMAL} as double))::bigint, 0), 8))::bigint as rule from part")
+def option_decimals(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.when(k % 4 == 0, "x1").when(k % 4 == 1, F.concat(F.lit(" "), (size / 16.0).cast("decimal(9,4)").cast("string"), F.lit("px"))).when(k % 4 == 2, F.concat(F.lit("-"), size.cast("string"), F.lit(".7"))).otherwise(F.concat(F.lit("."), (size % 100).cast("string")))
+    return bridge.read(spark, d, "part").select(k.alias("id"), clamped_decimal(text, 0, 1.5, 0.5).alias("value"), at_least_one(text, 8).alias("rule"))
+
+
 _OPTION = "case p_partkey % 4 when 0 then 'none' when 1 then ' ' || p_size || 'px' when 2 then '-' || p_size || '.7' else p_partkey::varchar end"
 
 
@@ -339,6 +362,21 @@ def status_counts(spark, d):
     return counts.crossJoin(entries(spark, d).agg(F.max("entry").alias("top_entry")))  # one row each
 
 
+@query(
+    "status_marks",
+    f"""with {_ENTRIES}, b as (select (cell // 20) // 2 * 10 + cell % 20 // 2 as block, count(distinct entry >> 2) as groups from ent group by 1),
+    m as (select cell, any_value(p_size) as p_size from ent group by cell)
+    select (select count(*) from m where p_size % 7 = 0)::bigint as kept, (select count(*) from m where p_size % 5 = 0)::bigint as priority, (select count(*) from b where groups > 1)::bigint as mixed""",
+)
+def status_marks(spark, d):
+    """Marks that a status line counts: cells kept, cells with priority, and blocks that mix palettes."""
+    ent = entries(spark, d)
+    cells = ent.where("p = 0").agg(F.count_if(F.col("p_size") % 7 == 0).alias("kept"), F.count_if(F.col("p_size") % 5 == 0).alias("priority"))
+    block = F.floor(F.floor(F.col("cell") / 20) / 2) * 10 + F.floor((F.col("cell") % 20) / 2)
+    groups = ent.groupBy(block.alias("block")).agg(F.count_distinct(F.shiftright("entry", 2)).alias("groups"))
+    return cells.crossJoin(groups.agg(F.count_if(F.col("groups") > 1).alias("mixed")))  # one row each
+
+
 # ---- byte streams ----
 
 

@@ -69,3 +69,14 @@ def sorted_palettes(spark, d):
     px = bridge.tile_pixels(spark, d).where("p % 16 = 0")
     first = px.select("image_id", "cell").distinct().withColumn("palette", F.row_number().over(Window.partitionBy("image_id").orderBy("cell")) - 1).where("palette < 4")
     return palette_order.sorted_palettes(px.join(first, ["image_id", "cell"]).select("image_id", "palette", F.floor(F.col("p") / 16).cast("int").alias("i"), "r", "g", "b"))
+
+
+@query("quantize_job")
+def quantize_job(spark, d):
+    """Reduced, trained, sorted and rendered: each image's tiles in two palettes of four colours whose first is the commonest opaque one."""
+    px = bridge.tile_pixels(spark, d)
+    x, y = F.col("cell") % bridge.TILES_X * 8 + F.col("p") % 8, F.floor(F.col("cell") / bridge.TILES_X) * 8 + F.floor(F.col("p") / 8)
+    pixels_ = px.select("image_id", x.alias("x"), y.alias("y"), "r", "g", "b", F.when((F.col("r") + F.col("g")) % 4 == 0, 254).otherwise(255).alias("a"))
+    sizes = px.groupBy("image_id").agg(F.lit(bridge.TILES_X * 8).alias("width"), ((F.floor(F.max("cell") / bridge.TILES_X) + 1) * 8).alias("height"))
+    cells = quantizer.quantize(pixels_, sizes, 2, 4, bits=5, shared=True, rounds=2)["cells"]
+    return cells.select("image_id", "cell", "palette", F.array_join(F.col("indexes").cast("array<string>"), "").alias("indexes"))

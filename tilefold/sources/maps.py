@@ -63,6 +63,25 @@ def maps(files: DataFrame) -> DataFrame:
     return files.where(F.col("name").rlike(r"\.(tmx|tmj)$")).select("bundle", "path", "content").mapInArrow(run, _MAPS)
 
 
+def main_files(files: DataFrame) -> DataFrame:
+    """The file that each bundle is opened by: bundle, path, kind. A map wins over an image, an image over any other; of several the first by path."""
+    rows = in_bundles(files)
+    kind = F.when(F.col("name").rlike(r"\.(tmx|tmj)$"), 0).when(F.col("name").rlike(r"\.png$"), 1).otherwise(2)
+    best = rows.groupBy("bundle").agg(F.min(F.struct(kind.alias("kind"), "path")).alias("f"))
+    return best.select("bundle", "f.path", F.element_at(F.array(*map(F.lit, ("map", "image", "other"))), F.col("f.kind") + 1).alias("kind"))
+
+
+def chosen_layers(layers: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The layer to draw of each map: its only one, or that of the name given (path, layer), the first of equals. Maps without a choice have no row."""
+    count = layers.groupBy("path").agg(F.count("*").alias("n"))
+    only = layers.join(count.where("n = 1"), "path").drop("n")
+    if names is None:
+        return only
+    named = layers.join(count.where("n > 1").select("path"), "path", "left_semi").join(names.distinct(), ["path", "layer"], "left_semi")
+    first = named.groupBy("path").agg(F.min("nth").alias("nth"))
+    return only.unionByName(named.join(first, ["path", "nth"], "left_semi").select(*only.columns))
+
+
 def parse_tileset(content: bytes) -> dict:
     """A tileset file (.tsx, .tsj) as ``parse`` gives inline ones."""
     text = content.decode("utf-8")
