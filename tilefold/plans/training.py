@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import bridge, model
 from ..functions import draws
 from ..operators import palette_order, quantizer
-from ..operators import tiles as tile_ops
 from .queries import _COL, _PAL_SQL, QUERIES, _dither_sql, _rounds_sql, query
 
 
@@ -52,15 +51,13 @@ def finish_partial(spark, d):
     return rows.select("cell", F.posexplode("indexes").alias("p", "i"))
 
 
-_EPOCH_BITS = 20
+_EPOCH_BITS = 40
 
 
-@query("epoch_order", f"with p as ({draws.permuted_sql('(select vec_id as id from embeddings)', 7, _EPOCH_BITS)}) select id as cell, place, row_number() over (order by place) - 1 as nth from p")
+@query("epoch_order", f"with p as ({draws.permuted_sql('(select vec_id as id from embeddings)', 7, _EPOCH_BITS)}) select id as cell, place from p")
 def epoch_order(spark, d):
-    """The order in which a training's epoch visits the tiles: a seeded permutation, ranked without gathering it."""
-    place = draws.permuted(F.col("vec_id"), 7, _EPOCH_BITS)
-    rows = bridge.read(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), place.alias("place"), F.lit(0).alias("image_id"))
-    return tile_ops.numbered(rows, "place", "nth").select("cell", "place", "nth")
+    """The key by which a training's epoch visits the tiles: a seeded permutation of their numbers, so no list is shuffled."""
+    return bridge.read(spark, d, "embeddings").select(F.col("vec_id").alias("cell"), draws.permuted(F.col("vec_id"), 7, _EPOCH_BITS).alias("place"))
 
 
 @query("sorted_palettes")
