@@ -1,6 +1,6 @@
 """Operators on small tables, against brute force: nulls, empty and long texts, ties, repeated rows."""
 
-import hashlib
+import functools
 import random
 import re
 import zlib
@@ -397,40 +397,47 @@ def test_grid(spark, monkeypatch):
     assert all((max(p), min(p)) in set(every) for p in links)
 
 
-def test_digest_helpers():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
-
-
-def brute_kneser_ney(rows):
-    """Log ratio of a text by exact counts of (text, toxic) rows, each expression with a count of its own."""
-    d, counts = 0.75, defaultdict(lambda: [0, 0])
-    for text, y in rows:
-        w = text.split()
-        for pair in set(zip(["", *w], w)):
-            counts[pair][y] += 1
-    kinds, docs = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    for (_, w), n in counts.items():
-        for c in (0, 1):
-            kinds[w][c] += n[c] > 0
-            docs[w][c] += n[c]
-    total = [sum(k[c] for k in kinds.values()) for c in (0, 1)]
-    words = [sum(k[c] > 0 for k in kinds.values()) for c in (0, 1)]
-    top = [sum(n[c] for n in counts.values()) for c in (0, 1)]
-
-    def one(w, c):
-        return (max(kinds[w][c] - d, 0) + d * words[c] * sum(kinds[w]) / sum(total)) / total[c]
-
-    def two(u, w, c):
-        return (max(counts[u, w][c] - d, 0) + d * total[c] * one(w, c) * sum(counts[u, w]) / sum(docs[w])) / top[c]
-
-    def ratio(u, w):
-        if w not in kinds or sum(kinds[w]) < 3:
-            return 0.0
-        if (u, w) in counts and counts[u, w][1] >= 3:
-            return np.log(two(u, w, 1) / two(u, w, 0))
-        return np.log(one(w, 1) / one(w, 0))
-
-    return lambda text: sum(ratio(u, w) for u, w in zip(["", *text.split()], text.split()))
+class KneserNey:
+    """Interpolated Kneser-Ney of two classes by exact counts of (text, class) rows, with pruned pairs and a shared lowest order."""
+
+    def __init__(self, rows, d=0.75, rare=3):
+        self.d, self.rare, self.counts = d, rare, defaultdict(lambda: [0, 0])
+        for text, y in rows:
+            w = text.split()
+            for pair in set(zip(["", *w], w)):
+                self.counts[pair][y] += 1
+        self.kinds = defaultdict(lambda: [0, 0])
+        for (_, w), n in self.counts.items():
+            for c in (0, 1):
+                self.kinds[w][c] += n[c] > 0
+        self.all = sum(map(sum, self.kinds.values()))
+        self.common = {w for w, k in self.kinds.items() if sum(k) >= rare}
+        self.of_common = sum(sum(self.kinds[w]) for w in self.common) / self.all
+        self.listed = defaultdict(list)
+        self.seen = defaultdict(lambda: [0, 0])
+        for (u, w), n in self.counts.items():
+            self.seen[u] = [a + b for a, b in zip(self.seen[u], n)]
+            if n[1] >= rare:
+                self.listed[u].append(w)
+
+    def one(self, w, c):
+        shared = sum(self.kinds[w]) / self.all
+        if w not in self.common:
+            return shared
+        total, types = (sum(f(self.kinds[x][c]) for x in self.common) for f in (int, bool))
+        return self.of_common * max(self.kinds[w][c] - self.d, 0) / total + self.d * types / total * shared
+
+    def own(self, u, w, c):
+        return max(self.counts[u, w][c] - self.d, 0) / self.seen[u][c] if w in self.listed[u] and self.seen[u][c] else 0.0
+
+    def two(self, u, w, c):
+        return self.own(u, w, c) + (1 - sum(self.own(u, x, c) for x in self.listed[u])) * self.one(w, c)
+
+    def ratio(self, u, w):
+        if w not in self.kinds:  # no class has seen it: only what is left behind u tells
+            left = [1 - sum(self.own(u, x, c) for x in self.listed[u]) for c in (0, 1)]
+            return np.log(left[1] / left[0])
+        return np.log(self.two(u, w, 1) / self.two(u, w, 0))
 
 
 def test_toxicity_counts_every_expression(spark):
@@ -442,7 +449,11 @@ def test_toxicity_counts_every_expression(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    ratio = brute_kneser_ney([r[1:] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 < 2])
+    brute = KneserNey([r[1:] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 < 2])
+    vocabulary, ratio = sorted(brute.kinds), functools.cache(brute.ratio)
+    brute.one = functools.cache(brute.one)
+    for u in ["", *words[:2], next(w for w in words if not brute.listed[w])]:
+        assert [sum(brute.two(u, w, c) for w in vocabulary) for c in (0, 1)] == pytest.approx([1, 1])
     unseen = [w[::-1] for w in words[:30]]
     texts = [r[1] for r in rows] + words + unseen
     marked = spark.createDataFrame([(i, t.upper().replace(" ", ", ") + "...") for i, t in enumerate(texts)], "doc_id long, text string")
@@ -450,7 +461,7 @@ def test_toxicity_counts_every_expression(spark):
     assert len(model.pairs[0]) and len(got) == len(texts) and max(abs(r.log_ratio) for r in got) > 1
     for r in got:
         if "ß" not in texts[r.doc_id]:  # its capital letters are two
-            assert r.log_ratio == pytest.approx(ratio(texts[r.doc_id]), abs=1e-9)
+            assert r.log_ratio == pytest.approx(sum(map(ratio, ["", *texts[r.doc_id].split()], texts[r.doc_id].split())), abs=1e-9)
 
 
 def test_toxicity_filter_loses_no_labelled_row(spark):
@@ -467,7 +478,7 @@ def test_toxicity_joins_ids_of_other_types(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id int, toxic int")
     models = [toxicity.train(docs, labels.select(F.col("doc_id").cast(t), "toxic")) for t in ("long", "int", "string")]
     for m in models[1:]:
-        assert all((a == b).all() for x, y in ((m.words, models[0].words), (m.pairs, models[0].pairs)) for a, b in zip(x, y, strict=True))
+        assert all((a == b).all() for x, y in ((m.words, models[0].words), (m.behind, models[0].behind), (m.pairs, models[0].pairs)) for a, b in zip(x, y, strict=True))
         assert len(m.words[0])
 
 

@@ -5,18 +5,17 @@ an expression (a word, or a word behind another) by the log of the ratio of its
 are compared in lower case and without ASCII punctuation and digits at their ends.
 
 - A word's count in a class is the number of distinct words before it there (continuation count).
-  Its probability is the discounted count, and the mass that discounting frees is spread by the
-  continuation counts of both classes together. So a rare word has nearly one probability in both.
-- Two words' probability is their discounted number of documents, and the mass freed there is
-  spread by the last word's probability in the class and by how often both classes together have
-  it behind the first word.
-
-An expression that too few documents hold backs off in both models: two words that fewer than
-``RARE`` toxic documents hold to the last one, and a word of fewer continuations than that to the
-shared counts, which is a ratio of 0. A text's log-likelihoods are normalised by length over the
-whole text and over its best stretches of ``STRETCHES`` words, so that a short expression is not
-drowned in a long text; a logistic curve, fitted on documents that the counts have not seen, turns
-them into a probability.
+  Its probability is the discounted count's share, and the mass that discounting frees is spread by
+  the continuation counts of both classes together. A word of fewer than ``RARE`` continuations has
+  the probability of the shared counts in both classes, so that alone it tells nothing.
+- A word's probability behind another is the discounted number of documents that hold both in this
+  order, as a share of that number for all words behind the first, and the mass that is left goes
+  to all words by their probability above. Pairs that fewer than ``RARE`` toxic documents hold are
+  pruned: their mass is left too, so the probabilities behind every word still sum to 1.
+
+A text's log-likelihoods are normalised by length over the whole text and over its best stretches
+of ``STRETCHES`` words, so that a short expression is not drowned in a long text; a logistic curve,
+fitted on documents that the counts have not seen, turns them into a probability.
 
 Every labelled training row is counted: tasks emit their distinct pairs of words, and Spark adds
 them up and derives the words from them; no two expressions share a count (they are known by
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import MIX_A, MIX_B, Words, as_text, mix, scratch, slices, split_words, written
 
 DISCOUNT = 0.75
-#: Documents or continuations that an expression needs so that its own counts are used.
+#: Continuations that a word, and toxic documents that a pair needs to have counts of its own.
 RARE = 3
 #: Texts are looked at in slices of about so many UTF-8 bytes, to bound a worker's arrays.
 SLICE = 2 << 20
@@ -89,22 +88,28 @@ def count_texts(texts: pa.StringArray, toxic: np.ndarray) -> tuple[np.ndarray, n
     return before[at], code[at], counts[0] | counts[1] << 32
 
 
+def _found(table: tuple[np.ndarray, np.ndarray], own: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
+    """The values of ``own`` in a table of sorted codes and values, and ``otherwise`` for those that it does not list."""
+    codes, value = table
+    if not len(codes):
+        return np.zeros(len(own)) + otherwise
+    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+    return np.where(codes[at] == own, value[at], otherwise)
+
+
 @dataclass
 class Model:
-    """Sorted codes of the listed words and pairs with their ``ratio``: log of toxic over ordinary probability."""
+    """Logs of toxic over ordinary values by sorted codes: the probability of words, the mass left behind a word, and the probability of pairs' last words."""
 
     words: tuple[np.ndarray, np.ndarray]
+    behind: tuple[np.ndarray, np.ndarray]
     pairs: tuple[np.ndarray, np.ndarray]
     curve: np.ndarray | None = None
 
     def ratios(self, code: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Of each word in its place; what is not listed backs off."""
-        out = np.zeros(len(code))
-        for (codes, ratio), own in ((self.words, code), (self.pairs, pair_codes(before, code))):
-            if len(codes):
-                at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                out = np.where(codes[at] == own, ratio[at], out)
-        return out
+        """Of each word in its place; a pair that is not listed has the mass left behind its first word and the last one's probability."""
+        backed_off = _found(self.behind, before, 0.0) + _found(self.words, code, 0.0)
+        return _found(self.pairs, pair_codes(before, code), backed_off)
 
     def features(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the curve sees of each text, and its log-likelihood ratio and number of words.
@@ -130,34 +135,51 @@ class Model:
 
 
 def fit(pairs: DataFrame) -> Model:
-    """The listed expressions of the counts of pairs (``before``, ``code``, and ``n`` as ``count_texts`` packs it)."""
+    """The model of the counts of pairs (``before``, ``code``, and ``n`` as ``count_texts`` packs it)."""
     n = [F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("n", 32)]
     summed = pairs.groupBy("before", "code").agg(F.sum(n[0]).alias("n0"), F.sum(n[1]).alias("n1"))
-    # One exchange of the pairs serves both: the words, and the pairs that are listed.
-    words = summed.groupBy("code").agg(*[f(c).alias(f"{name}{c}") for name, f in (("k", lambda c: F.sum((F.col(f"n{c}") > 0).cast("long"))), ("s", lambda c: F.sum(f"n{c}"))) for c in (0, 1)])
-    words = words.select(F.lit(None).cast("long").alias("before"), "code", "k0", "k1", "s0", "s1")
-    listed = summed.where(F.col("n1") >= RARE).select("before", "code", *[F.lit(None).cast("long").alias(f"k{c}") for c in (0, 1)], F.col("n0").alias("s0"), F.col("n1").alias("s1"))
-    table = written(words.unionByName(listed), "expressions")
-    words, listed = table.where("before is null").drop("before"), table.where("before is not null").select("before", "code", F.col("s0").alias("n0"), F.col("s1").alias("n1"))
-    total = words.agg(*[F.sum(f"{x}{c}").alias(f"{x}{c}") for x in "ks" for c in (0, 1)], *[F.sum((F.col(f"k{c}") > 0).cast("long")).alias(f"v{c}") for c in (0, 1)]).first()
-    k, s, v = ([getattr(total, f"{x}{c}") or 0 for c in (0, 1)] for x in "ksv")
-    if not all(k):  # a class without words: no evidence
-        return Model(*[(np.zeros(0, np.uint64), np.zeros(0))] * 2)
-    shared = (F.col("k0") + F.col("k1")) / F.lit(float(sum(k)))
-    own = [(F.greatest(F.col(f"k{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * v[c] * shared) / F.lit(float(k[c])) for c in (0, 1)]
-    words = words.where(F.col("k0") + F.col("k1") >= RARE).select("code", own[0].alias("p0"), own[1].alias("p1"), (F.col("s0") + F.col("s1")).alias("s"))
-    behind = (F.col("n0") + F.col("n1")) / F.col("s")
-    both = [(F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * k[c] * F.col(f"p{c}") * behind) / F.lit(float(s[c])) for c in (0, 1)]
-    joined = listed.hint("merge").join(words, "code").select("before", "code", F.log(both[1] / both[0]).alias("ratio"))
-
-    def in_order(found: pa.Table, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    # One exchange of the pairs serves all three: words, words that others stand behind, and the pairs that are listed.
+    none = F.lit(None).cast("long")
+    words = summed.groupBy("code").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"n{c}") for c in (0, 1)])
+    firsts = summed.groupBy("before").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)])
+    parts = words.select(none.alias("before"), "code", "n0", "n1"), firsts.select("before", none.alias("code"), "n0", "n1"), summed.select("before", "code", "n0", "n1")
+    table = written(parts[0].unionByName(parts[1].where(F.col("n1") >= RARE)).unionByName(parts[2].where(F.col("n1") >= RARE)), "expressions")
+    words = table.where("before is null").select("code", F.col("n0").alias("k0"), F.col("n1").alias("k1"))
+    firsts = table.where("code is null").select("before", F.col("n0").alias("s0"), F.col("n1").alias("s1"))
+    listed = table.where("before is not null and code is not null")
+
+    common = F.col("k0") + F.col("k1") >= RARE
+    total = words.agg(
+        F.sum(F.col("k0") + F.col("k1")).alias("all"),
+        *[F.sum(F.when(common, F.col(f"k{c}"))).alias(f"k{c}") for c in (0, 1)],
+        *[F.sum((common & (F.col(f"k{c}") > 0)).cast("long")).alias(f"v{c}") for c in (0, 1)],
+    ).first()
+    k, v = ([getattr(total, f"{x}{c}") or 0 for c in (0, 1)] for x in "kv")
+    if not all(k):  # a class without common words: no evidence
+        return Model(*[(np.zeros(0, np.uint64), np.zeros(0))] * 3)
+    shared = (F.col("k0") + F.col("k1")) / F.lit(float(total["all"]))
+    kept = [F.greatest(F.col(f"k{c}") - DISCOUNT, F.lit(0.0)) / k[c] * (sum(k) / total["all"]) for c in (0, 1)]
+    words = words.select("code", common.alias("common"), *[F.when(common, kept[c] + DISCOUNT * v[c] / k[c] * shared).otherwise(shared).alias(f"p{c}") for c in (0, 1)])
+
+    own = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) for c in (0, 1)]
+    used = listed.groupBy("before").agg(*[F.sum(own[c]).alias(f"u{c}") for c in (0, 1)])
+    left = [F.when(F.col(f"s{c}") > 0, 1 - F.col(f"u{c}") / F.col(f"s{c}")).otherwise(1.0).alias(f"left{c}") for c in (0, 1)]
+    behind = used.hint("merge").join(firsts, "before").select("before", "s0", "s1", *left)
+    likely = [F.when(F.col(f"s{c}") > 0, own[c] / F.col(f"s{c}")).otherwise(0.0) + F.col(f"left{c}") * F.col(f"p{c}") for c in (0, 1)]
+    joined = listed.hint("merge").join(words, "code").hint("merge").join(behind, "before")
+
+    def in_order(rows: DataFrame, *names: str) -> tuple[np.ndarray, np.ndarray]:
+        found = rows.toArrow()
+        codes = [np.asarray(found.column(name)).view(np.uint64) for name in names]
+        code = pair_codes(*codes) if len(codes) > 1 else codes[0]
         order = np.argsort(code)
         return code[order], np.asarray(found.column("ratio"))[order]
 
-    one = words.select("code", F.log(F.col("p1") / F.col("p0")).alias("ratio")).toArrow()
-    two = joined.toArrow()
-    code = [np.asarray(x.column("code")).view(np.uint64) for x in (one, two)]
-    return Model(in_order(one, code[0]), in_order(two, pair_codes(np.asarray(two.column("before")).view(np.uint64), code[1])))
+    return Model(
+        in_order(words.where("common").select("code", F.log(F.col("p1") / F.col("p0")).alias("ratio")), "code"),
+        in_order(behind.select("before", F.log(F.col("left1") / F.col("left0")).alias("ratio")), "before"),
+        in_order(joined.select("before", "code", F.log(likely[1] / likely[0]).alias("ratio")), "before", "code"),
+    )
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
