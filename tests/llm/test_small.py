@@ -430,8 +430,12 @@ class KneserNey:
     def own(self, u, w, c):
         return max(self.counts[u, w][c] - self.d, 0) / self.seen[u][c] if w in self.listed[u] and self.seen[u][c] else 0.0
 
+    def both(self, u, w):
+        return (sum(self.counts[u, w]) - self.d) / sum(self.seen[u]) if w in self.listed[u] else 0.0
+
     def two(self, u, w, c):
-        return self.own(u, w, c) + (1 - sum(self.own(u, x, c) for x in self.listed[u])) * self.one(w, c)
+        shared = self.both(u, w) + (1 - sum(self.both(u, x) for x in self.listed[u])) * self.one(w, c)
+        return self.own(u, w, c) + (1 - sum(self.own(u, x, c) for x in self.listed[u])) * shared
 
     def ratio(self, u, w):
         if w not in self.kinds:  # no class has seen it: only what is left behind u tells

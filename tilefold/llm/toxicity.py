@@ -9,9 +9,10 @@ are compared in lower case and without ASCII punctuation and digits at their end
   the continuation counts of both classes together. A word of fewer than ``RARE`` continuations has
   the probability of the shared counts in both classes, so that alone it tells nothing.
 - A word's probability behind another is the discounted number of documents that hold both in this
-  order, as a share of that number for all words behind the first, and the mass that is left goes
-  to all words by their probability above. Pairs that fewer than ``RARE`` toxic documents hold are
-  pruned: their mass is left too, so the probabilities behind every word still sum to 1.
+  order, as a share of that number for all words behind the first. The mass that is left goes first
+  to the same discounted share in both classes together, and what is left there to all words by
+  their probability above. Pairs that fewer than ``RARE`` toxic documents hold are pruned: their
+  mass is left too, so the probabilities behind every word still sum to 1.
 
 A text's log-likelihoods are normalised by length over the whole text and over its best stretches
 of ``STRETCHES`` words, so that a short expression is not drowned in a long text; a logistic curve,
@@ -162,10 +163,11 @@ def fit(pairs: DataFrame) -> Model:
     words = words.select("code", common.alias("common"), *[F.when(common, kept[c] + DISCOUNT * v[c] / k[c] * shared).otherwise(shared).alias(f"p{c}") for c in (0, 1)])
 
     own = [F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) for c in (0, 1)]
-    used = listed.groupBy("before").agg(*[F.sum(own[c]).alias(f"u{c}") for c in (0, 1)])
+    either = F.col("n0") + F.col("n1") - DISCOUNT
+    used = listed.groupBy("before").agg(*[F.sum(own[c]).alias(f"u{c}") for c in (0, 1)], F.sum(either).alias("u"))
     left = [F.when(F.col(f"s{c}") > 0, 1 - F.col(f"u{c}") / F.col(f"s{c}")).otherwise(1.0).alias(f"left{c}") for c in (0, 1)]
-    behind = used.hint("merge").join(firsts, "before").select("before", "s0", "s1", *left)
-    likely = [F.when(F.col(f"s{c}") > 0, own[c] / F.col(f"s{c}")).otherwise(0.0) + F.col(f"left{c}") * F.col(f"p{c}") for c in (0, 1)]
+    behind = used.hint("merge").join(firsts, "before").select("before", "s0", "s1", *left, (1 - F.col("u") / (F.col("s0") + F.col("s1"))).alias("left"))
+    likely = [F.when(F.col(f"s{c}") > 0, own[c] / F.col(f"s{c}")).otherwise(0.0) + F.col(f"left{c}") * (either / (F.col("s0") + F.col("s1")) + F.col("left") * F.col(f"p{c}")) for c in (0, 1)]
     joined = listed.hint("merge").join(words, "code").hint("merge").join(behind, "before")
 
     def in_order(rows: DataFrame, *names: str) -> tuple[np.ndarray, np.ndarray]:
