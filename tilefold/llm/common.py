@@ -202,6 +202,11 @@ def chunk_array(data: np.ndarray, starts: np.ndarray) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def string_list(strings: pa.StringArray) -> list[str]:
+    """The strings as a list, by one pass of Arrow (``to_pylist`` makes an object of each first)."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def split_words(texts: pa.StringArray, lower: bool = False) -> Words:
     """All words of the texts; ``lower`` turns A-Z into a-z first."""
     raw, offsets = raw_bytes(texts)

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_text, bucketed, scratch, slices, written
@@ -180,9 +180,10 @@ def homes(table: DataFrame, idf: np.ndarray, mean_length: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pair), pa.array(weight.astype(np.float32)), pa.array(best)], ["row", "pair", "weight", "best"])
                     first = last
 
-    pairs = table.select("block", "data").mapInArrow(run, "row long, pair long, weight float, best boolean")
-    same = Window.partitionBy("pair")
-    found = pairs.withColumn("shared", F.min("row").over(same) != F.max("row").over(same)).where("shared or best")
+    pairs = written(table.select("block", "data").mapInArrow(run, "row long, pair long, weight float, best boolean"), "pairs")
+    # A pair that very many rows look up is counted before it is shuffled, and Spark can split the join's side that holds it.
+    several = pairs.groupBy("pair").agg(F.min("row").alias("_least"), F.max("row").alias("_most")).where("_least < _most").select("pair", F.lit(True).alias("_several"))
+    found = pairs.join(several.hint("merge"), "pair", "left").withColumn("shared", F.col("_several").isNotNull()).where("shared or best")
     best = F.max(F.struct("shared", "weight", "pair"))
     return written(found.groupBy("row").agg(best.alias("best")).select("row", F.col("best.pair").alias("home")), "homes", lasting=True)
 

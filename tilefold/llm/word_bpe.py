@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 
-from .common import chunk_array, raw_bytes
+from .common import chunk_array, raw_bytes, string_list
 from .sentencepiece_codec import ChunkTable
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -83,7 +83,7 @@ class WordBpe:
         before[offsets[:-1][offsets[:-1] < len(raw)]] = False
         starts = np.flatnonzero(inside & ~before)
         coded = chunk_array(raw[inside], (np.cumsum(inside, dtype=np.int32) - 1)[starts]).dictionary_encode()
-        rows = self.table.rows(coded.dictionary.to_pylist())
+        rows = self.table.rows(string_list(coded.dictionary))
         ids, lengths = self.table.gather(rows[np.asarray(coded.indices)])
         return ids, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.searchsorted(starts, offsets)]
 
