@@ -248,20 +248,33 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("_y")], ["x", "y"])
 
     judged = texts.join(F.broadcast(sample), "_id").select("_y", "_text").mapInArrow(judge, "x array<double>, y int").toArrow().to_pylist()
+    shared.unpersist()
     judged.sort(key=lambda r: (r["x"], r["y"]))
     model.curve = fit_curve(np.array([r["x"] for r in judged]).reshape(len(judged), len(STRETCHES) + 3), np.array([r["y"] for r in judged], float))
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row with its ``log_ratio``, ``n_words`` and ``score``. No shuffle."""
+    """The ``keep`` columns of every row with its ``log_ratio``, ``n_words`` and ``score``. No shuffle.
+
+    ``text_col`` may be a field of a kept struct (``row.text``); the texts then go to the workers once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    path = text_col.split(".") if text_col not in docs.columns else [text_col]
+    inside = path[0] in keep
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("_kept") if inside else batch.column("_text")
+            for name in path if inside else ():
+                text = text.field(name)
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), text], ["_kept", "_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", SLICE):
+        for batch in slices(with_text(batches), "_text", SLICE):
             x, ratio, n = shared.value.features(as_text(batch.column("_text")))
             yield pa.RecordBatch.from_arrays([batch.column("_kept"), pa.array(ratio), pa.array(n.astype(np.int64)), pa.array(apply_curve(shared.value.curve, x))], ["_kept", "_ratio", "_n", "_score"])
 
-    picked = docs.select(F.struct(*[docs[c] for c in keep]).alias("_kept"), docs[text_col].alias("_text"))
+    picked = docs.select(F.struct(*[docs[c] for c in keep]).alias("_kept"), *([] if inside else [docs[text_col].alias("_text")]))
     out = picked.mapInArrow(run, f"_kept {picked.schema['_kept'].dataType.simpleString()}, _ratio double, _n long, _score double")
     return out.select("_kept.*", F.col("_ratio").alias("log_ratio"), F.col("_n").alias("n_words"), F.col("_score").alias("score"))
