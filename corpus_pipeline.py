@@ -45,7 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other documents are not used.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(_as_row(docs), model, keep=("row",)).where(F.col("score") < TOXIC).select("row.*")
+    return toxicity.score(_as_row(docs), model, keep=("row",), text_col="row.text").where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
