@@ -258,6 +258,25 @@ def test_suffix_dedup(spark, docs, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_units(spark, docs, monkeypatch):
+    """The rows of one task are several units, and buckets become more with the bytes: same result, bounded state."""
+    for name, value in (("UNIT_BYTES", 2000), ("BUCKET_BYTES", 1500)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    units = []
+    bucketed = suffix_dedup.bucketed
+    monkeypatch.setattr(suffix_dedup, "bucketed", lambda *a: units.append(bucketed(*a)) or units[-1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = docs.select("doc_id", "text").coalesce(1)
+        got = suffix_dedup.dedup(rows).collect()
+        sizes = {r[0]: (r[1], r[2]) for r in units[0].groupBy("pid").agg({"size": "sum", "*": "count"}).select("pid", "sum(size)", "count(1)").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert keyed((r.doc_id, r.n_bytes, tuple(tuple(s) for s in r.spans), bytes(r.kept)) for r in got) == keyed(brute_dedup([(r.doc_id, r.text or "") for r in rows.collect()]))
+    assert len(sizes) > 3 and all(total <= 2000 or blocks == 1 for total, blocks in sizes.values())
+
+
 def test_sorting_and_anchors():
     rng = np.random.default_rng(5)
     keys = rng.integers(0, 3, (500, 4)).astype(np.uint64)

@@ -29,6 +29,9 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Rows of a file of a table whose rows hold whole blocks (some megabytes each): writers and readers hold a file's rows at once.
+BLOCKS_OF_A_FILE = 4
+
 #: Multipliers of the 64-bit mixers (odd constants of splitmix64 and xxHash).
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -112,16 +115,17 @@ def _until_exit(spark: SparkSession, name: str) -> None:
     files.deleteOnExit(path)
 
 
-def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, lasting: bool = False, rows_of_a_file: int = 0) -> DataFrame:
     """``df`` written to a working table and read again: cuts the lineage, survives lost executors.
 
-    What was shuffled to write it is of no use later, so it is removed at once.
+    What was shuffled to write it is of no use later, so it is removed at once. ``rows_of_a_file``: at most so many rows
+    in a file (0: any number).
     """
     spark, path, setting = df.sparkSession, work_path(df.sparkSession, name, lasting), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_of_a_file).parquet(path)
     finally:
         spark.conf.set(setting, before)
         _until_exit(spark, path)
@@ -129,13 +133,13 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """``df`` written to a lasting working table in buckets of ``column``, so that joins on it do not move the table."""
+    """``df``, whose rows hold whole blocks, written to a lasting working table in buckets of ``column``, so that joins on it do not move the table."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     buckets = max(df.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     path = work_path(spark, name, lasting=True)
     _record(_TABLE + table, True)
     try:
-        df.write.option("path", path).bucketBy(min(buckets, 100_000), column).saveAsTable(table)
+        df.write.option("path", path).option("maxRecordsPerFile", BLOCKS_OF_A_FILE).bucketBy(min(buckets, 100_000), column).saveAsTable(table)
     finally:
         _until_exit(spark, path)
     return spark.table(table)

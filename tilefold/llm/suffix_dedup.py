@@ -5,13 +5,15 @@ leftmost k-gram of the least hash. Equal strings have equal anchors at equal pla
 is missed, and there is one anchor for about (length - k) / 2 bytes. The stretch of text whose
 strings share an anchor is its *reach*.
 
-1. Documents are packed into blocks and written to a table that is bucketed by the task that
-   wrote them, so lists for a task meet its blocks without moving the texts again.
-2. Each task sends the distinct hashes of its anchors' k-grams; those that occur in two
+1. Documents are packed into blocks, and these into units of bounded size (a unit is part of a task's
+   rows, however many these are). Blocks are written to a table that is bucketed by their unit, so
+   lists for a unit meet its blocks without moving the texts again.
+2. Each unit sends the distinct hashes of its anchors' k-grams; those that occur in two
    documents or more come back to it. No other suffix is looked at again.
 3. The suffixes at the anchors left, each with its reach, are range-partitioned by their leading
-   bytes at sampled splitters. A task keeps only the smallest document of equal reaches: the
-   others lose theirs at once, so the suffixes of a hot passage are at most one for each task.
+   bytes at sampled splitters, into buckets whose number grows with the bytes of all texts. A unit
+   keeps only the smallest document of equal reaches: the others lose theirs at once, so the
+   suffixes of a hot passage are at most one for each unit.
 4. Buckets are sorted locally by multikey quicksort over 8-byte words. Splitters compare fewer
    bytes than a k-gram has, so no group of suffixes crosses a boundary. Equal reaches are
    resolved as a whole; where suffixes share a k-gram and differ in reach, their strings are
@@ -45,6 +47,12 @@ LEAD = 7
 NO_ID = np.iinfo(np.int64).max
 #: Sampled suffixes of a block.
 SAMPLED = 64
+#: Bytes of text after which a unit ends (it ends with a block).
+UNIT_BYTES = 8 << 20
+#: Bytes of text for each bucket of hashes and of suffixes.
+BUCKET_BYTES = 8 << 20
+#: Units of a task at most: the lower bits of a unit's number.
+UNIT_BITS = 14
 
 RECORD = np.dtype([("right", "V56"), ("left", "V32"), ("nr", "u1"), ("nl", "u1"), ("block", "<u2"), ("pid", "<u4"), ("at", "<u4"), ("doc", "<i8")])
 SPAN = np.dtype([("block", "<u2"), ("start", "<u4"), ("end", "<u4")])
@@ -282,54 +290,71 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
     spark = docs.sparkSession
     picked = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), F.struct(*[docs[c] for c in keep]).alias("_kept"))
     kept_type = picked.schema["_kept"].dataType.simpleString()
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid = TaskContext.get().partitionId()
-        for number, batch in enumerate(slices(batches, "_text")):
+        unit = TaskContext.get().partitionId() << UNIT_BITS
+        last = unit | (1 << UNIT_BITS) - 1
+        number = held = 0
+        for batch in slices(batches, "_text"):
             raw, offsets = raw_bytes(as_text(batch.column("_text")))
+            if held and held + len(raw) > UNIT_BYTES and unit < last:
+                unit, number, held = unit + 1, 0, 0
             place, gram, _, _ = anchors(raw, offsets)
             some = place[np.argsort(gram, kind="stable")[:SAMPLED]]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([number]), pa.array([lead_of(raw, some).tolist()], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pid", "block", "sample", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([number]), pa.array([len(raw)]), pa.array([lead_of(raw, some).tolist()], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pid", "block", "size", "sample", "data"])
+            number, held = number + 1, held + len(raw)
 
-    # 1. Blocks, bucketed by the task that wrote them.
+    # 1. Blocks, bucketed by their unit (``pid``).
     with scratch(spark):
-        table = bucketed(picked.mapInArrow(write, "pid long, block long, sample array<long>, data binary"), "suffix_blocks", "pid")
-    cuts = table.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)] or [0.5], 1000)).first()[0] or []
+        table = bucketed(picked.mapInArrow(write, "pid long, block long, size long, sample array<long>, data binary"), "suffix_blocks", "pid")
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(table.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+    cuts = table.select(F.explode("sample").alias("x")).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)] or [0.5], max(1000, 10 * buckets))).first()[0] or []
     splitters = np.unique(np.array(cuts, np.int64))
 
     # 2. Hashes of k-grams that two documents hold.
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for pid, data in zip(batch.column("pid").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                block = _block(data)
-                raw, offsets = raw_bytes(as_text(block.column("_text")))
-                place, gram, _, _ = anchors(raw, offsets)
-                doc = _ids(block)[np.searchsorted(offsets, place, side="right") - 1]
-                held.setdefault(pid, []).append(_distinct(gram, doc, doc))
-        for pid, parts in held.items():
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        unit = None
+
+        def out() -> Iterator[pa.RecordBatch]:
             gram, low, high = _distinct(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+            parts.clear()
             part = (gram % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             gram, several = gram[order], (low != high)[order]
-            for b, a, z in _runs(part[order]):
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([pid]), pa.array([gram[a:z].tobytes()], pa.binary()), pa.array([np.packbits(several[a:z]).tobytes()], pa.binary())], ["bucket", "pid", "grams", "several"])
+            runs = _runs(part[order])
+            if runs:
+                columns = [pa.array([b for b, _, _ in runs]), pa.array([unit] * len(runs)), pa.array([gram[a:z].tobytes() for _, a, z in runs], pa.binary()), pa.array([np.packbits(several[a:z]).tobytes() for _, a, z in runs], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "pid", "grams", "several"])
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                pid, block = batch.column("pid")[n].as_py(), _block(batch.column("data")[n].as_py())
+                if parts and pid != unit:
+                    yield from out()
+                unit = pid
+                raw, offsets = raw_bytes(as_text(block.column("_text")))
+                place, gram, _, _ = anchors(raw, offsets)
+                doc = _ids(block)[np.searchsorted(offsets, place, side="right") - 1]
+                parts.append(_distinct(gram, doc, doc))
+        if parts:
+            yield from out()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _of_buckets(batches, ("pid", "grams", "several")):
+            yield from _shared(rows)
+
+    def _shared(rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         grams, owners, flags = [], [], []
-        for batch in batches:
-            for pid, g, s in zip(*(batch.column(c).to_pylist() for c in ("pid", "grams", "several")), strict=True):
-                grams.append(np.frombuffer(g, np.uint64))
-                owners.append(np.full(len(grams[-1]), pid, np.int64))
-                flags.append(np.unpackbits(np.frombuffer(s, np.uint8))[: len(grams[-1])].astype(bool))
-        if not grams:
-            return
+        for pid, g, s in rows:
+            grams.append(np.frombuffer(g, np.uint64))
+            owners.append(np.full(len(grams[-1]), pid, np.int64))
+            flags.append(np.unpackbits(np.frombuffer(s, np.uint8))[: len(grams[-1])].astype(bool))
         gram, owner, several = np.concatenate(grams), np.concatenate(owners), np.concatenate(flags)
         order = np.argsort(gram, kind="stable")
         gram, owner, several = gram[order], owner[order], several[order]
@@ -342,7 +367,7 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([gram[a:z].tobytes()], pa.binary())], ["pid", "payload"])
 
     sent = table.select("pid", "data").mapInArrow(send, "bucket long, pid long, grams binary, several binary")
-    shared = sent.repartition(buckets, "bucket").mapInArrow(find, "pid long, payload binary")
+    shared = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "pid long, payload binary")
 
     # 3. Suffixes at shared anchors, range-partitioned.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,14 +410,15 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
 
     # 4. Sorted buckets; what goes, for each task.
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        for batch in batches:
-            for pid, data in zip(batch.column("pid").to_pylist(), batch.column("data").to_pylist(), strict=True):
+        for rows in _of_buckets(batches, ("pid", "data")):
+            parts: list[np.ndarray] = []
+            for pid, data in rows:
                 if pid is None:
                     parts.append(unpacked(data))
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([data], pa.binary())], ["pid", "payload"])
-        if parts:
+            if not parts:
+                continue
             owner, spans = resolve(np.concatenate(parts))
             order = np.argsort(owner, kind="stable")
             owner, spans = owner[order], spans[order]
@@ -402,7 +428,7 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
     with scratch(spark):
         lists = written(shared.groupBy("pid").agg(F.collect_list("payload").alias("payloads")), "lists")
         suffixes = table.select("pid", "block", "data").join(lists, "pid").mapInArrow(cut, "bucket long, pid long, data binary")
-        gone = suffixes.repartition(buckets, "bucket").mapInArrow(sort, "pid long, payload binary").groupBy("pid").agg(F.collect_list("payload").alias("payloads"))
+        gone = suffixes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "pid long, payload binary").groupBy("pid").agg(F.collect_list("payload").alias("payloads"))
         gone = written(gone, "gone", lasting=True)
 
     # 5. Back to the blocks.
@@ -435,6 +461,20 @@ def dedup(docs: DataFrame, keep: Sequence[str] = ("doc_id",), id_col: str = "doc
     return out.select("_kept.*", F.col("_n").alias("n_bytes"), F.col("_spans").alias("spans"), F.col("_bytes").alias("kept"))
 
 
+def _of_buckets(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[list[tuple]]:
+    """The rows of each bucket; they come sorted by bucket, so one is held at a time."""
+    held, now = [], None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns)), strict=True):
+            if held and bucket != now:
+                yield held
+                held = []
+            now = bucket
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
 def _runs(values: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, first, end) of each run of equal values."""
     if not len(values):
