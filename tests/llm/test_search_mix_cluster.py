@@ -69,6 +69,23 @@ def test_ranked_search(docs, items, k, parts, monkeypatch):
     assert Counter(map(tuple, rows)) == expected
 
 
+def test_index_files_are_small(spark, docs, items, monkeypatch):
+    """A file of the index holds a few blocks, however many a task wrote, so readers hold no more at once."""
+    monkeypatch.setattr(ranked_search, "INDEX_BYTES", 20)
+    files = []
+    written = ranked_search.written
+
+    def kept(df, name, **more):
+        out = written(df, name, **more)
+        if name == "index":
+            files.extend(r["count"] for r in out.groupBy("_metadata.file_path").count().collect())
+        return out
+
+    monkeypatch.setattr(ranked_search, "written", kept)
+    ranked_search.search(docs.coalesce(1), items).count()
+    assert len(files) > 1 and max(files) <= ranked_search.BLOCKS_OF_A_FILE
+
+
 def test_ranked_search_bounds():
     """Bytes bound impacts from above by less than a step, also where products exceed a long."""
     tf, n = np.array([1, 2, 7, 300, 1]), np.array([1, 50, 7, 100000, 10**9])

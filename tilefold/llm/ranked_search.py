@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, as_text, chunk_array, raw_bytes, scratch, slices, written
+from .common import _LOWER, BLOCKS_OF_A_FILE, as_text, chunk_array, raw_bytes, scratch, slices, written
 
 #: Impacts are rounded up to multiples of this: at most 245 steps, a byte.
 STEP = 4096
@@ -286,7 +286,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     spark = docs.sparkSession
     with scratch(spark):
         documents, terms = totals(docs, text_col)
-        stored = written(index(docs, documents, terms, id_col, text_col), "index")
+        stored = written(index(docs, documents, terms, id_col, text_col), "index", rows_of_a_file=BLOCKS_OF_A_FILE)
         blocks = written(item_blocks(items, item_col, item_text_col), "items")
         size, count = blocks.agg(F.sum(F.length("terms") + F.length("sizes") + F.aggregate("item_words", F.lit(0), lambda a, w: a + F.octet_length(w) + 4)), F.count("*")).first()
         small = (size or 0) <= BROADCAST_BYTES
