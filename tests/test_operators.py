@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tilefold import model
+from tilefold import bridge, model
 from tilefold.functions import color, tiles
 from tilefold.operators import compression, streams, tiles as tile_ops
 from tilefold.operators.palettes import first_fit
@@ -166,3 +166,35 @@ def test_ids_do_not_depend_on_stretches(spark, monkeypatch):
     for stretch in (1, 3, 1 << 16):
         monkeypatch.setattr(tile_ops, "STRETCH", stretch)
         assert {(r.image_id, r.k): r.tile for r in tile_ops.first_seen_ids(df).collect()} == expected
+
+
+def test_mosaic_of_any_cell(spark, tmp_path):
+    """Tiles by remainders are those of the formula, and a small file is many tasks' work."""
+    parts = [(c, s) for c in [*range(0, 400, 7), 97 * 61 * 4 + 3] for s in (0, 1, 17, 30, 50)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for rich in (False, True):
+        rows = bridge.mosaic_tiles(spark, str(tmp_path), rich, k=bridge.pattern_key)
+        for r in rows.collect():
+            s = r.p_size + 50 * (r.cell % 97) if rich else r.p_size
+            want = []
+            for p in range(64):
+                x, y = 7 - p % 8 if r.cell % 4 in (1, 3) else p % 8, 7 - p // 8 if r.cell % 4 >= 2 else p // 8
+                v = (s % 3 + x * (s % 2 + 1) + y * (s % 5)) % 4
+                want.append((v + 1) % 4 if rich and p == r.cell % 61 else v)
+            assert r.tile == want and r.k == "".join(map(str, want))
+        assert rows.count() == len(parts) and rows.rdd.getNumPartitions() >= 4
+
+
+def test_cells_are_never_broadcast(spark, sf_dir):
+    """The planner takes cells with tiles for small; only tables that are stored, and known to be small, may be broadcast."""
+    cells = bridge.mosaic_tiles(spark, sf_dir).withColumn("image_id", F.lit(0))
+    plan = tile_ops.with_flipped_ids(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "rightHint" in plan
+    before = tile_ops.BROADCAST_BYTES
+    try:
+        tile_ops.BROADCAST_BYTES = 0
+        joined = tile_ops.with_flipped_ids(cells)
+        assert "strategy=merge" in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count() == cells.count()
+    finally:
+        tile_ops.BROADCAST_BYTES = before

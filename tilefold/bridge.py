@@ -5,6 +5,8 @@ Everything is integer or exactly rounded, so both engines agree bit for bit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,23 +35,38 @@ lv as (select label::bigint as image_id, vec_id as cell, list_transform(embeddin
 px as (select image_id, cell, p::int as p, lv[p + 1] as r, lv[(p + 21) % 64 + 1] as g, lv[(p + 42) % 64 + 1] as b from (select *, unnest(range(64)) as p from lv))"""
 
 
-def mosaic_tiles(spark: SparkSession, sf_dir: str, rich: bool = False) -> DataFrame:
+def mosaic_tiles(spark: SparkSession, sf_dir: str, rich: bool = False, **derived: Callable[[Column], Column]) -> DataFrame:
     """One image of 20 cells a row: cell, size, and the 64 two-bit values of its tile.
 
-    ``rich`` gives many more distinct tiles.
+    ``rich`` gives many more distinct tiles. ``derived``: further columns by name, made of the tile.
+
+    A tile depends on s % 30, cell % 4 and, if rich, cell % 61 alone, so the tiles of all these remainders (signs included)
+    are made once and cells take theirs by a broadcast join. The narrow rows are dealt out first: a part file of a few
+    megabytes, which would be two or three tasks, is gigabytes of tiles.
     """
     size = F.col("p_size") + 50 * (F.col("p_partkey") % 97) if rich else F.col("p_size").cast("long")
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), "p_size", size.alias("s"))
-    k = F.col("cell")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(n, spark.sparkContext.defaultParallelism), "cell")
+    k, odd = F.col("_k"), F.col("_odd")
 
     def value(p: Column) -> Column:
         x, y = p % 8, F.floor(p / 8)
-        fx = F.when((k % 4).isin(1, 3), 7 - x).otherwise(x)
-        fy = F.when(k % 4 >= 2, 7 - y).otherwise(y)
-        v = (F.col("s") % 3 + fx * (F.col("s") % 2 + 1) + fy * (F.col("s") % 5)) % 4
-        return (F.when(p == k % 61, (v + 1) % 4).otherwise(v) if rich else v).cast("int")
-
-    return rows.select("cell", "p_size", F.transform(F.sequence(F.lit(0), F.lit(63)), value).alias("tile"))
+        fx = F.when(k.isin(1, 3), 7 - x).otherwise(x)
+        fy = F.when(k >= 2, 7 - y).otherwise(y)
+        v = (F.col("_s") % 3 + fx * (F.col("_s") % 2 + 1) + fy * (F.col("_s") % 5)) % 4
+        return (F.when(p == odd, (v + 1) % 4).otherwise(v) if rich else v).cast("int")
+
+    every = spark.range(-29, 30, 1, 4).withColumnRenamed("id", "_s").crossJoin(spark.range(-3, 4, 1, 1).withColumnRenamed("id", "_k"))
+    every = every.crossJoin(spark.range(-60 if rich else 0, 61 if rich else 1, 1, 1).withColumnRenamed("id", "_odd"))
+    if rich:  # the remainders of one cell have its sign
+        every = every.where("_k * _odd >= 0")
+    table = every.select("_s", "_k", "_odd", F.transform(F.sequence(F.lit(0), F.lit(63)), value).alias("tile"))
+    table = table.select("*", *[f(F.col("tile")).alias(name) for name, f in derived.items()])
+    keyed = rows.select("cell", "p_size", (F.col("s") % 30).alias("_s"), F.coalesce(F.col("cell") % 4, F.lit(0)).alias("_k"), (F.coalesce(F.col("cell") % 61, F.lit(0)) if rich else F.lit(0)).cast("long").alias("_odd"))
+    unknown = F.array_repeat(F.lit(None).cast("int"), 64)  # of a cell without a size
+    filled = {"tile": F.coalesce("tile", unknown), **{name: F.coalesce(name, f(unknown)) for name, f in derived.items()}}
+    return keyed.join(F.broadcast(table), ["_s", "_k", "_odd"], "left").select("cell", "p_size", *[c.alias(name) for name, c in filled.items()])
 
 
 def mosaic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import let
 from ..functions.tiles import flipped
+from ..working import stored, stored_bytes
 
 #: Cell numbers that are ranked in one task.
 STRETCH = 1 << 16
+#: Files of a stored table up to this many bytes are broadcast; tiles compress well, so this is far below what a driver holds.
+BROADCAST_BYTES = 1 << 18
 
 
 def first_seen_ids(cells: DataFrame, key: str = "k", image: str = "image_id", cell: str = "cell") -> DataFrame:
@@ -47,14 +50,28 @@ def canonical(tile: Column) -> Column:
 
 def with_flipped_ids(cells: DataFrame, tile: str = "tile", image: str = "image_id", cell: str = "cell") -> DataFrame:
     """Cells with ``tile_id`` shared by mirror images, and ``flags`` (1 horizontal, 2 vertical) that turn
-    the stored tile, the first one seen, into the cell's; of several the least flags."""
-    keyed = cells.withColumn("canon", canonical(F.col(tile)))
-    distinct = keyed.groupBy(image, "canon").agg(F.min_by(tile, cell).alias("stored"), F.min(cell).alias("first_cell"))
-    ranked = numbered(distinct, "first_cell", "tile_id", image).drop("first_cell")
-    flags = F.when(F.col(tile) == F.col("stored"), 0)
+    the stored tile, the first one seen, into the cell's; of several the least flags.
+
+    Mirror images are made of distinct tiles only, and cells meet these by a merge join: the size that the planner
+    assumes for tiles made of narrow rows is far too small for a broadcast of cells.
+    """
+    patterns = cells.groupBy(image, F.col(tile).alias("_tile")).agg(F.min(cell).alias("_first")).withColumn("canon", canonical(F.col("_tile")))
+    patterns = stored(patterns)
+    distinct = patterns.groupBy(image, "canon").agg(F.min_by("_tile", "_first").alias("stored"), F.min("_first").alias("first_cell"))
+    ranked = stored(numbered(distinct, "first_cell", "tile_id", image).drop("first_cell"))
+    flags = F.when(F.col("_tile") == F.col("stored"), 0)
     for value, (h, v) in ((1, (True, False)), (2, (False, True)), (3, (True, True))):
-        flags = flags.when(flipped(F.col(tile), h, v) == F.col("stored"), value)
-    return keyed.join(ranked, [image, "canon"]).withColumn("flags", flags).drop("canon", "stored")
+        flags = flags.when(flipped(F.col("_tile"), h, v) == F.col("stored"), value)
+    placed = stored(patterns.join(ranked, [image, "canon"]).select(image, F.col("_tile").alias(tile), "tile_id", flags.alias("flags")))
+    return looked_up(cells, placed, [image, tile])
+
+
+def looked_up(cells: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells`` with the columns of ``found`` (a stored table, one row for each key).
+
+    Only ``found`` is ever broadcast, and only if its files are small; else the join merges, and may split hot keys.
+    """
+    return cells.join(F.broadcast(found) if stored_bytes(found) <= BROADCAST_BYTES else found.hint("merge"), keys)
 
 
 def retained(tiles: DataFrame, k: int, image: str = "image_id") -> DataFrame:

@@ -38,6 +38,13 @@ def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a stored table."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def release(df: DataFrame) -> None:
     """Deletes a stored table."""
     spark = df.sparkSession
