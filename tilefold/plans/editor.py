@@ -359,7 +359,8 @@ def status_counts(spark, d):
     found = tile_ops.with_flipped_ids(mosaic(spark, d))
     flag = lambda bit: F.count_if(F.col("flags").bitwiseAND(F.lit(bit)) == bit)
     counts = found.agg(F.count("*").alias("cells"), (F.max("tile_id") + 1).alias("tiles"), flag(1).alias("flipped_h"), flag(2).alias("flipped_v"))
-    return counts.crossJoin(entries(spark, d).agg(F.max("entry").alias("top_entry")))  # one row each
+    top = mosaic(spark, d).agg(F.max(F.array_max("tile") + F.col("p_size") % 8 * 4).cast("int").alias("top_entry"))
+    return counts.crossJoin(top)  # one row each
 
 
 @query(
