@@ -1,5 +1,7 @@
 """Conversion of small images."""
 
+from pyspark.sql import functions as F
+
 from tilefold.plans.convert import convert, files, metatile_files, target
 
 
@@ -132,3 +134,19 @@ def test_shared_color(spark):
     art = image(spark, 16, 16, lambda x, y: (31, 158, 255) if y < 4 else BLACK)
     keys = lambda **o: shown(convert(*art, target("nes"), **o))[0]
     assert keys() == [0x0F, 0x21] and keys(shared=0x1D)[0] == 0x1D and keys(shared=0x30) == [0x30, 0x21, 0x0F]
+
+
+def test_pixels_of_one_image_are_many_tasks(spark, monkeypatch):
+    """What is known of an image reaches its rows without gathering them, small or large."""
+    from tilefold.operators import tiles as tile_ops
+    from tilefold.plans import convert as c
+
+    rows = spark.range(0, 2000, 1, 4).select(F.lit(0).alias("image_id"), F.col("id").alias("block"))
+    found = spark.createDataFrame([(0, 7), (1, 8)], "image_id int, n int")
+    for limit in (tile_ops.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(tile_ops, "BROADCAST_BYTES", limit)
+        joined = c.by_image(rows, found, "inner", "block")
+        assert joined.count() == 2000 and joined.where("n <> 7").isEmpty()
+        assert c.by_image(rows, found, "left_anti", "block").isEmpty()
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 1

@@ -18,7 +18,7 @@ from ..functions import color, tiles
 from ..model import CONVERSION_NES, TARGETS, rgb_table
 from ..operators import tiles as tile_ops
 from ..operators.palettes import first_fit
-from ..working import stored
+from ..working import stored, stored_bytes
 from .editor import brightness_cuts
 from .queries import hardware_color
 
@@ -70,6 +70,22 @@ def target(name: str, **custom) -> Target:
     return Target(name, **(custom or TARGETS[name]))
 
 
+#: Parts that the rows of an image are dealt to where what is known of the image is not broadcast.
+PARTS = 64
+
+
+def by_image(rows: DataFrame, found: DataFrame, how: str, spread: str) -> DataFrame:
+    """``rows`` joined with ``found`` (few rows an image) on the image, whose rows never gather in one task.
+
+    A small ``found`` is broadcast; a larger one is copied to the parts that rows are dealt to by ``spread``.
+    """
+    found = stored(found)
+    if stored_bytes(found) <= tile_ops.BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), "image_id", how)
+    copies = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge")
+    return rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")).join(copies, ["image_id", "_part"], how).drop("_part")
+
+
 def _found(rows: DataFrame, code: str, n: Column | None = None) -> DataFrame:
     """A diagnostic of each image of ``rows`` (one row for each area)."""
     return rows.groupBy("image_id").agg(F.lit(code).alias("code"), (F.count("*") if n is None else n).alias("n"))
@@ -99,7 +115,8 @@ def keyed_pixels(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataF
         key, entry = F.when(F.col("a") == 0, TRANSPARENT).otherwise(own), F.lit(None).cast("int")
     rows = stored(px.select("image_id", block.cast("long").alias("block"), cell.cast("long").alias("cell"), p.alias("p"), key.alias("key"), entry.alias("entry"), F.col("a").between(1, 254).alias("partial")))
     partial = _found(rows.where("partial").select("image_id", "cell").distinct(), "partial-alpha")
-    return rows.drop("partial").join(partial.select("image_id"), "image_id", "left_anti"), bad.unionByName(partial)
+    partial = stored(partial)
+    return by_image(rows.drop("partial"), partial.select("image_id"), "left_anti", "block"), bad.unionByName(partial)
 
 
 def from_groups(px: DataFrame, palette: DataFrame, to: Target, shared: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -176,22 +193,25 @@ def in_palettes(px: DataFrame, to: Target, shared: int | None) -> tuple[DataFram
         capacity -= 1
         totals = px.where(F.col("key") != TRANSPARENT).groupBy("image_id", "key").agg(F.count("*").alias("n"))
         zero = totals.groupBy("image_id").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("zero"))
-        px = px.join(zero, "image_id", "left").withColumn("zero", F.lit(shared) if shared is not None else F.coalesce("zero", F.lit(DEFAULT_ZERO)))
+        px = by_image(px, zero, "left", "block").withColumn("zero", F.lit(shared) if shared is not None else F.coalesce("zero", F.lit(DEFAULT_ZERO)))
         px = stored(px.withColumn("key", F.when(F.col("key") == TRANSPARENT, F.col("zero")).otherwise(F.col("key"))))
         used = px.groupBy("image_id", "block").agg(F.sort_array(F.collect_set(F.when(F.col("key") != F.col("zero"), F.col("key")))).alias("colors"), F.first("zero").alias("zero"))
     else:
         used = px.groupBy("image_id", "block").agg(F.sort_array(F.collect_set("key")).alias("colors"))
     used = stored(used)  # a block has at most as many colours as pixels
-    over = _found(used.where(F.size("colors") > capacity), "region-colors")
-    fitting = used.join(over.select("image_id"), "image_id", "left_anti")
-    chosen = stored(first_fit(fitting.select("image_id", "block", "colors"), capacity).join(fitting, ["image_id", "block"]))
+    over = stored(_found(used.where(F.size("colors") > capacity), "region-colors"))
+    fitting = by_image(used, over.select("image_id"), "left_anti", "block")
+    chosen = stored(first_fit(fitting.select("image_id", "block", "colors"), capacity).hint("merge").join(fitting, ["image_id", "block"]))
     many = chosen.groupBy("image_id").agg((F.max("palette") + 1).cast("long").alias("n")).where(F.col("n") > to.palettes).select("image_id", F.lit("palette-count").alias("code"), "n")
-    chosen = chosen.join(many.select("image_id"), "image_id", "left_anti")
+    many = stored(many)
+    chosen = by_image(chosen, many.select("image_id"), "left_anti", "block")
     entries = chosen.groupBy("image_id", "palette").agg(F.array_distinct(F.flatten(F.collect_set("colors"))).alias("colors"), *([F.first("zero").alias("zero")] if to.shared_zero else []))
     keys = by_light(F.col("colors"), to)
     rows = stored(entries.select("image_id", "palette", (F.concat(F.array("zero"), keys) if to.shared_zero else keys).alias("keys")))
     index = (F.array_position("keys", F.col("key")) - 1).cast("int")
-    values = px.join(chosen.select("image_id", "block", "palette"), ["image_id", "block"]).join(rows, ["image_id", "palette"]).select("image_id", "cell", "palette", "p", index.alias("v"))
+    # blocks take their palette's keys, so pixels are only joined by block; blocks are never broadcast
+    placed = tile_ops.looked_up(chosen.select("image_id", "block", "palette"), rows, ["image_id", "palette"])
+    values = px.join(placed.hint("merge"), ["image_id", "block"]).select("image_id", "cell", "palette", "p", index.alias("v"))
     return values, rows.select("image_id", "palette", F.posexplode("keys").alias("idx", "key")), over.unionByName(many)
 
 
@@ -237,7 +257,8 @@ def convert(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataFrame
         placed = tile_ops.with_tile_ids(cells.withColumnRenamed("tile", "pattern"), key="pattern").withColumnRenamed("tile", "tile_id").withColumnRenamed("pattern", "tile").withColumn("flags", F.lit(0))
     placed = stored(placed)
     count = placed.groupBy("image_id").agg((F.max("tile_id") + 1).alias("n")).where(F.col("n") > to.tiles).select("image_id", F.lit("tile-count").alias("code"), "n")
-    fine = placed.join(count.select("image_id"), "image_id", "left_anti")
+    count = stored(count)
+    fine = by_image(placed, count.select("image_id"), "left_anti", "cell")
     passed = fine.select("image_id").distinct()
     return {
         "diagnostics": found.unionByName(count),
