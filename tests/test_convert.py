@@ -154,3 +154,23 @@ def test_pixels_of_one_image_are_many_tasks(spark, monkeypatch):
         finally:
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert sizes > 1
+
+
+def test_whole_cells(spark):
+    """Cells convert as their pixels do, also where blocks cut cells; colors of arrays are matched as single ones are."""
+    from tilefold.plans.convert import nes_keys
+    from tilefold.plans.queries import hardware_color
+
+    draw = lambda x, y: None if x == y else [BLACK, WHITE, RED, GREEN][(x * x // 3 + y // 8) % 2 + x // 32 * 2]
+    pixels, sizes = image(spark, 64, 32, draw)
+    order = F.array_sort(F.collect_list(F.struct((F.col("y") % 8 * 8 + F.col("x") % 8).alias("p"), "r", "g", "b", "a")))
+    cells = pixels.groupBy("image_id", (F.floor(F.col("x") / 8) * 8).cast("int").alias("x"), (F.floor(F.col("y") / 8) * 8).cast("int").alias("y")).agg(F.transform(order, lambda c: c.dropFields("p")).alias("rgba"))
+    for to in (target("nes"), target("gbc"), target("generic", block=4, palettes=4, colors=4, tiles=64, flips=False)):
+        rows = [{k: sorted(map(str, v.collect())) for k, v in convert(p, sizes, to).items()} for p in (pixels, cells)]
+        assert rows[0] == rows[1] and rows[0]["cells"]
+    colors = spark.createDataFrame([(i, i * 37 % 256, i * 91 % 256, i * 53 % 256) for i in range(300)] + [(300, None, 1, 2)], "n int, r int, g int, b int")
+    listed = colors.groupBy(F.floor(F.col("n") / 50)).agg(*[F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(c).alias("v")))), lambda s: s["v"]).alias(c) for c in ("n", "r", "g", "b")])
+    for preferred in (None, 0x1D):
+        found = listed.select(F.explode(F.arrays_zip("n", nes_keys(preferred)("r", "g", "b").alias("key"))).alias("s")).select("s.*")
+        single = {r.n: r.key for r in colors.where("n < 300").select("n", hardware_color(F.col("r"), F.col("g"), F.col("b"), preferred).alias("key")).collect()}
+        assert {r[0]: r[1] for r in found.collect()} == single | {300: None}

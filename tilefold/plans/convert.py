@@ -9,13 +9,17 @@ later steps read is stored once.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, tiles
-from ..model import CONVERSION_NES, TARGETS, rgb_table
+from ..model import CONVERSION_NES, TARGETS, nes_candidates, rgb_table
 from ..operators import tiles as tile_ops
 from ..operators.palettes import first_fit
 from ..working import stored, stored_bytes
@@ -26,6 +30,8 @@ TRANSPARENT = -1
 DEFAULT_ZERO = 0x0F
 #: Colours of the monochrome handheld.
 SHADES = 4
+#: Colours that are matched at once.
+COLORS = 4096
 
 
 @dataclass(frozen=True)
@@ -91,8 +97,30 @@ def _found(rows: DataFrame, code: str, n: Column | None = None) -> DataFrame:
     return rows.groupBy("image_id").agg(F.lit(code).alias("code"), (F.count("*") if n is None else n).alias("n"))
 
 
+def nes_keys(preferred: int | None) -> Callable[..., Column]:
+    """``hardware_color`` of arrays of channels. Each color of a batch is matched once."""
+    order = np.array(nes_candidates(preferred), np.int32)
+    table = np.array(rgb_table(CONVERSION_NES), np.int64)[order]
+
+    @F.arrow_udf("array<int>")
+    def keys(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+        flat = [c.flatten() for c in (r, g, b)]
+        missing = np.logical_or.reduce([np.asarray(c.is_null()) for c in flat])
+        red, green, blue = (np.asarray(c.fill_null(0)).astype(np.int64) + (1 << 20) for c in flat)
+        colors, place = np.unique(red << 42 | green << 21 | blue, return_inverse=True)
+        found = np.empty(len(colors), np.int32)
+        for s in range(0, len(colors), COLORS):
+            part = np.stack([(colors[s : s + COLORS] >> shift & (1 << 21) - 1) - (1 << 20) for shift in (42, 21, 0)], axis=1)
+            found[s : s + COLORS] = order[((part[:, None] - table) ** 2).sum(axis=2).argmin(axis=1)]
+        ends = np.concatenate([[0], np.cumsum(np.asarray(r.value_lengths().fill_null(0)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found[place], pa.int32(), mask=missing))
+
+    return keys
+
+
 def keyed_pixels(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataFrame | None, shared: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pixels with their hardware colour (image_id, block, cell, p, key, entry), and diagnostics of images that are left out.
+    """Pixels with their hardware colour, gathered by block and cell (image_id, block, cell, e: p, key and entry in the
+    order of p), and diagnostics of images that are left out.
 
     Pixels of indexed images (with a ``palette``) have the colour of their entry, black where there is none.
     """
@@ -102,18 +130,33 @@ def keyed_pixels(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataF
     block = F.floor(F.col("y") / to.block) * across + F.floor(F.col("x") / to.block)
     cell = F.floor(F.col("y") / 8) * F.floor(w / 8) + F.floor(F.col("x") / 8)
     p = (F.col("y") % 8 * 8 + F.col("x") % 8).cast("int")
-    own = to.key(F.col("r"), F.col("g"), F.col("b"), shared).cast("int")
+    if "rgba" in pixels.columns and (palette is not None or to.block % 8):
+        one = pixels.select("image_id", "x", "y", F.posexplode("rgba").alias("_p", "_c"))
+        pixels = one.select("image_id", (F.col("x") + F.col("_p") % 8).alias("x"), (F.col("y") + F.floor(F.col("_p") / 8)).alias("y"), "_c.*")
     px = pixels.join(sizes, "image_id").join(bad.select("image_id"), "image_id", "left_anti")
+    place = ["image_id", block.cast("long").alias("block"), cell.cast("long").alias("cell")]
+    indexed, black = F.lit(False), F.lit(None).cast("int")
     if palette is not None and to.name != "generic":
-        table = palette.select("image_id", "entry", own.alias("entry_key"))
+        table = palette.select("image_id", "entry", to.key(F.col("r"), F.col("g"), F.col("b"), shared).cast("int").alias("entry_key"))
         images = table.select("image_id", F.lit(True).alias("indexed")).distinct()
         px = px.join(images, "image_id", "left").join(table, ["image_id", "entry"], "left")
-        black = to.key(F.lit(0), F.lit(0), F.lit(0), shared).cast("int")
-        key = F.when(F.col("indexed"), F.coalesce("entry_key", black)).when(F.col("a") == 0, TRANSPARENT).otherwise(own)
-        entry = F.when(F.col("indexed"), F.col("entry").cast("int"))
+        indexed, black = F.coalesce("indexed", F.lit(False)), to.key(F.lit(0), F.lit(0), F.lit(0), shared).cast("int")
+        entry, entry_key = F.when(indexed, F.col("entry").cast("int")), F.col("entry_key")
+    else:
+        entry = entry_key = F.lit(None).cast("int")
+    if "rgba" in px.columns:
+        none = F.lit(None).cast("int")
+        rows = px.select(*place, F.transform("rgba", lambda c, i: F.struct(i.alias("p"), *[c[n].cast("int").alias(n) for n in "rgba"], none.alias("entry"), none.alias("entry_key"), F.lit(False).alias("indexed"))).alias("c"))
     else:
-        key, entry = F.when(F.col("a") == 0, TRANSPARENT).otherwise(own), F.lit(None).cast("int")
-    rows = stored(px.select("image_id", block.cast("long").alias("block"), cell.cast("long").alias("cell"), p.alias("p"), key.alias("key"), entry.alias("entry"), F.col("a").between(1, 254).alias("partial")))
+        one = F.struct(p.alias("p"), *[F.col(n).cast("int").alias(n) for n in "rgba"], entry.alias("entry"), entry_key.alias("entry_key"), indexed.alias("indexed"))
+        rows = px.select(*place, one.alias("one")).groupBy("image_id", "block", "cell").agg(F.array_sort(F.collect_list("one")).alias("c"))
+    if to.name == "nes":
+        keys = nes_keys(shared)(*[F.col(f"c.{n}") for n in "rgb"])
+    else:
+        keys = F.transform("c", lambda c: to.key(c["r"], c["g"], c["b"], shared).cast("int"))
+    keyed = F.zip_with("c", "keys", lambda c, k: F.struct(c["p"].alias("p"), F.when(c["indexed"], F.coalesce(c["entry_key"], black)).when(c["a"] == 0, TRANSPARENT).otherwise(k).alias("key"), c["entry"].alias("entry")))
+    partial = F.exists("c.a", lambda a: a.between(1, 254))
+    rows = stored(rows.withColumn("keys", keys).select("image_id", "block", "cell", keyed.alias("e"), partial.alias("partial")))
     partial = _found(rows.where("partial").select("image_id", "cell").distinct(), "partial-alpha")
     partial = stored(partial)
     return by_image(rows.drop("partial"), partial.select("image_id"), "left_anti", "block"), bad.unionByName(partial)
@@ -187,17 +230,22 @@ def in_shades(px: DataFrame, to: Target, auto: bool) -> tuple[DataFrame, DataFra
 
 
 def in_palettes(px: DataFrame, to: Target, shared: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """True-colour art: the colour sets of blocks are packed into palettes. (values, palettes, diagnostics)."""
+    """True-colour art: the colour sets of blocks are packed into palettes. (values, palettes, diagnostics).
+
+    Pixels stay gathered (image_id, block, cell, e), and so are the values (image_id, cell, palette, e: p and v).
+    """
     capacity = to.colors
+    rows = px.select("image_id", "block", "cell", F.col("e.p").alias("p"), F.col("e.key").alias("key"))
     if to.shared_zero:
         capacity -= 1
-        totals = px.where(F.col("key") != TRANSPARENT).groupBy("image_id", "key").agg(F.count("*").alias("n"))
+        totals = rows.select("image_id", F.explode("key").alias("key")).where(F.col("key") != TRANSPARENT).groupBy("image_id", "key").agg(F.count("*").alias("n"))
         zero = totals.groupBy("image_id").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("zero"))
-        px = by_image(px, zero, "left", "block").withColumn("zero", F.lit(shared) if shared is not None else F.coalesce("zero", F.lit(DEFAULT_ZERO)))
-        px = stored(px.withColumn("key", F.when(F.col("key") == TRANSPARENT, F.col("zero")).otherwise(F.col("key"))))
-        used = px.groupBy("image_id", "block").agg(F.sort_array(F.collect_set(F.when(F.col("key") != F.col("zero"), F.col("key")))).alias("colors"), F.first("zero").alias("zero"))
+        rows = by_image(rows, zero, "left", "block").withColumn("zero", F.lit(shared) if shared is not None else F.coalesce("zero", F.lit(DEFAULT_ZERO)))
+        rows = stored(rows.withColumn("key", F.transform("key", lambda k: F.when(k == TRANSPARENT, F.col("zero")).otherwise(k))))
+        shown, more = F.array_remove(F.array_compact(F.array_distinct("key")), F.col("zero")), [F.first("zero").alias("zero")]
     else:
-        used = px.groupBy("image_id", "block").agg(F.sort_array(F.collect_set("key")).alias("colors"))
+        shown, more = F.array_compact(F.array_distinct("key")), []
+    used = rows.withColumn("shown", shown).groupBy("image_id", "block").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("shown")))).alias("colors"), *more)
     used = stored(used)  # a block has at most as many colours as pixels
     over = stored(_found(used.where(F.size("colors") > capacity), "region-colors"))
     fitting = by_image(used, over.select("image_id"), "left_anti", "block")
@@ -207,16 +255,17 @@ def in_palettes(px: DataFrame, to: Target, shared: int | None) -> tuple[DataFram
     chosen = by_image(chosen, many.select("image_id"), "left_anti", "block")
     entries = chosen.groupBy("image_id", "palette").agg(F.array_distinct(F.flatten(F.collect_set("colors"))).alias("colors"), *([F.first("zero").alias("zero")] if to.shared_zero else []))
     keys = by_light(F.col("colors"), to)
-    rows = stored(entries.select("image_id", "palette", (F.concat(F.array("zero"), keys) if to.shared_zero else keys).alias("keys")))
-    index = (F.array_position("keys", F.col("key")) - 1).cast("int")
-    # blocks take their palette's keys, so pixels are only joined by block; blocks are never broadcast
-    placed = tile_ops.looked_up(chosen.select("image_id", "block", "palette"), rows, ["image_id", "palette"])
-    values = px.join(placed.hint("merge"), ["image_id", "block"]).select("image_id", "cell", "palette", "p", index.alias("v"))
-    return values, rows.select("image_id", "palette", F.posexplode("keys").alias("idx", "key")), over.unionByName(many)
+    table = stored(entries.select("image_id", "palette", (F.concat(F.array("zero"), keys) if to.shared_zero else keys).alias("keys")))
+    index = F.zip_with("p", "key", lambda p, k: F.struct(p.alias("p"), (F.array_position("keys", k) - 1).cast("int").alias("v")))
+    # blocks take their palette's keys, so cells are only joined by block; blocks are never broadcast
+    placed = tile_ops.looked_up(chosen.select("image_id", "block", "palette"), table, ["image_id", "palette"])
+    values = rows.select("image_id", "block", "cell", "p", "key").join(placed.hint("merge"), ["image_id", "block"]).select("image_id", "cell", "palette", index.alias("e"))
+    return values, table.select("image_id", "palette", F.posexplode("keys").alias("idx", "key")), over.unionByName(many)
 
 
 def convert(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataFrame | None = None, auto_shades: bool = False, shared: int | None = None) -> dict[str, DataFrame]:
-    """``pixels``: image_id, x, y, r, g, b, a; ``sizes``: image_id, width, height.
+    """``pixels``: image_id, x, y, r, g, b, a; ``sizes``: image_id, width, height. Pixels may also come as whole cells of
+    8x8 (image_id, x and y of the upper left one, ``rgba``: an array of 64 structs), which are then not gathered again.
 
     Indexed images have rows in ``palette`` (image_id, entry, r, g, b), and their pixels an ``entry``. ``shared``
     fixes the colour that all palettes share. ``auto_shades``: see ``in_shades``; indexed art beyond entry 3 is then
@@ -227,22 +276,29 @@ def convert(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataFrame
     pattern), and ``registers`` (image_id, bgp, auto_shaded) of the monochrome handheld. Diagnostics of a later stage
     are only given for images that passed the earlier ones.
     """
-    px, found = keyed_pixels(pixels, sizes, to, palette, shared)
+    gathered, found = keyed_pixels(pixels, sizes, to, palette, shared)
+    px = gathered.select("image_id", "block", "cell", F.inline("e"))
     by_group = px.where("entry is not null")
     if to.shades and auto_shades:
         by_group = by_group.join(px.where("entry > 3").select("image_id").distinct(), "image_id", "left_anti")
-    parts, tables, registers = [], [], None
+    parts, tables, registers, cells = [], [], None, []
     if palette is not None and to.name != "generic":
         values, table, more = from_groups(by_group, palette, to, shared)
         parts, tables, found = [values], [table], found.unionByName(more)
-        px = px.join(by_group.select("image_id").distinct(), "image_id", "left_anti")
+        in_groups = by_group.select("image_id").distinct()
+        px, gathered = (rows.join(in_groups, "image_id", "left_anti") for rows in (px, gathered))
     if to.shades:
         values, table, more, grouped = in_shades(px, to, auto_shades)
         tables = [t.withColumn("shade", F.lit(None).cast("int")) for t in tables]
+        parts.append(values)
     else:
-        values, table, more = in_palettes(px, to, shared)
+        values, table, more = in_palettes(gathered, to, shared)
+        if to.block % 8:
+            parts.append(values.select("image_id", "cell", "palette", F.inline("e")))
+        else:  # a cell lies in one block
+            cells.append(values.select("image_id", "cell", "palette", F.col("e.v").alias("tile")))
     for one in parts:
-        values = values.unionByName(one)
+        cells.append(one.groupBy("image_id", "cell").agg(F.first("palette").alias("palette"), F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("tile")))
     for one in tables:
         table = table.unionByName(one)
     found = found.unionByName(more)
@@ -250,7 +306,7 @@ def convert(pixels: DataFrame, sizes: DataFrame, to: Target, palette: DataFrame
         table = stored(with_shades(table, to))
         byte = F.sum(F.when(F.col("idx") < SHADES, F.col("shade") * F.element_at(F.array(*[F.lit(1 << 2 * i) for i in range(SHADES)]), F.col("idx") + 1)))
         registers = table.where("palette = 0").groupBy("image_id").agg(byte.cast("int").alias("bgp")).join(grouped, "image_id", "left").select("image_id", "bgp", F.coalesce("auto_shaded", F.lit(0)).alias("auto_shaded"))
-    cells = stored(values.groupBy("image_id", "cell").agg(F.first("palette").alias("palette"), F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("tile")))
+    cells = stored(functools.reduce(DataFrame.unionByName, cells))
     if to.flips:
         placed = tile_ops.with_flipped_ids(cells)
     else:
