@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilefold.sources import maps as m
 from tilefold.sources import png
@@ -128,3 +129,31 @@ def test_main_files_and_chosen_layers(spark):
     names = spark.createDataFrame([("two", "B"), ("one", "other")], "path string, layer string")
     assert sorted((r.path, r.nth) for r in m.chosen_layers(layers, names).collect()) == [("one", 0), ("two", 1)]
     assert [(r.path, r.nth) for r in m.chosen_layers(layers).collect()] == [("one", 0)]
+
+
+def test_tilesets_in_stretches(spark, monkeypatch):
+    """Tilesets of any number, met stretch by stretch and not gathered by map, broadcast or not."""
+    monkeypatch.setattr(m, "STRETCH", 8)
+    firsts = {"a": [3, 4, 11, 40, 41], "b": [1]}
+    raws = [None, 0, 1, 2, 3, 5, 8, 10, 11, 12, 39, 40, 41, 90, 40 | 1 << 31, 41 | 7 << 29, 5 | 1 << 29]
+    cells = spark.createDataFrame([(p, i, r) for p in ("a", "b", "c", None) for i, r in enumerate(raws * 2)], "path string, cell int, raw long")
+    sets = spark.createDataFrame([(p, f) for p, all_ in firsts.items() for f in all_ + all_[:1]], "path string, firstgid long")
+    tiles = spark.createDataFrame([(p, f, i, [f, i, 2, 3]) for p, all_ in firsts.items() for f in all_ for i in range(3)], "path string, firstgid long, id long, pixels array<int>")
+    for limit in (m.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(m, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(m.tile_ops, "BROADCAST_BYTES", limit)
+        rows = m.drawn(m.tiles_as_of(cells, sets), tiles, F.lit(2), F.lit(2)).collect()
+        assert len(rows) == cells.count()
+        for r in rows:
+            gid = None if r.raw is None else r.raw & (1 << 28) - 1
+            first = max((f for f in firsts.get(r.path, []) if gid and f <= gid), default=None)
+            assert (r.gid, r.firstgid, r.id) == (gid, first, None if first is None else gid - first)
+            if first is None or gid - first > 2:
+                assert (r.state, r.pixels) == (("empty", [0] * 4) if gid == 0 else ("outside", None))
+                continue
+            t, turned = [first, gid - first, 2, 3], []
+            for y in range(2):
+                for x in range(2):
+                    u, v = 1 - x if r.raw >> 31 & 1 else x, 1 - y if r.raw >> 30 & 1 else y
+                    turned.append(t[u * 2 + v] if r.raw >> 29 & 1 else t[v * 2 + u])
+            assert (r.state, r.pixels) == ("tile", turned)

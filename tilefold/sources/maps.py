@@ -12,6 +12,7 @@ with tiles. Empty cells are index 0, and cells without a tile are kept and count
 
 from __future__ import annotations
 
+import functools
 import json
 import xml.etree.ElementTree as ET
 import zlib
@@ -19,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..working import stored
+from ..operators import tiles as tile_ops
+from ..operators.tiles import BROADCAST_BYTES
+from ..working import stored, stored_bytes
 from . import png
 from .tiled import ID_MASK, _tileset, parse
 
@@ -190,36 +193,61 @@ def load(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: Tile ids that are matched with tilesets in one task.
+STRETCH = 1 << 12
+
+
 def tiles_as_of(cells: DataFrame, tilesets: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Cells (keys, raw) with ``gid`` (0 where empty), ``firstgid`` of the last tileset that begins by then (null if there is none) and ``id``.
 
-    The tilesets of a map are few, so they travel as one array.
+    Distinct ids meet the tilesets in stretches of ids; what a stretch has from before it is the last tileset of an
+    earlier one. Neither the cells nor the tilesets of a map are gathered.
     """
-    listed = tilesets.groupBy(*keys).agg(F.array_sort(F.collect_list("firstgid")).alias("_firsts"))
-    gid = F.col("raw").bitwiseAND(F.lit(ID_MASK).cast("long"))
-    rows = cells.withColumn("gid", gid).join(listed, list(keys), "left")
-    first = F.array_max(F.filter("_firsts", lambda f: f <= F.col("gid")))
-    return rows.withColumn("firstgid", F.when(F.col("gid") > 0, first)).withColumn("id", F.col("gid") - F.col("firstgid")).drop("_firsts")
+    rows = cells.withColumn("gid", F.col("raw").bitwiseAND(F.lit(ID_MASK).cast("long")))
+    asked = rows.where("gid > 0").select(*keys, "gid").distinct().select(*keys, F.col("gid").alias("_at"), F.lit(None).cast("long").alias("_first"))
+    begun = tilesets.select(*keys, F.col("firstgid").cast("long").alias("_at"), F.col("firstgid").cast("long").alias("_first")).where("_at is not null").distinct()
+    placed = asked.unionByName(begun).withColumn("_stretch", F.floor(F.col("_at") / STRETCH))
+    run = Window.partitionBy(*keys, "_stretch").orderBy("_at", F.col("_first").asc_nulls_last())
+    within = placed.withColumn("_last", F.last("_first", ignorenulls=True).over(run))
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    before = placed.groupBy(*keys, "_stretch").agg(F.max("_first").alias("_top")).select(*keys, "_stretch", F.max("_top").over(earlier).alias("_before"))
+    known = within.where("_first is null").join(before, [*keys, "_stretch"]).select(*keys, F.col("_at").alias("gid"), F.coalesce("_last", "_before").alias("firstgid"))
+    out = _looked_up(rows, stored(known.where("firstgid is not null")), [*keys, "gid"])
+    return out.withColumn("id", F.col("gid") - F.col("firstgid"))
+
+
+def _looked_up(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``found`` (stored, a row for each key), or null. Rows that lack a key are dealt out, not gathered."""
+    if stored_bytes(found) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), on, "left")
+    lacks = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    spread = rows.withColumn("_spread", F.when(lacks, F.xxhash64(*rows.columns)).otherwise(0))
+    return spread.join(found.withColumn("_spread", F.lit(0).cast("long")).hint("merge"), [*on, "_spread"], "left").drop("_spread")
 
 
 def drawn(cells: DataFrame, tiles: DataFrame, width: Column, height: Column, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """``tiles_as_of`` cells with ``pixels`` (row by row, as shown) and ``state``: tile, empty or outside (no pixels).
 
-    Cells are flipped after the diagonal swap, so the swap is undone last.
+    A tile is drawn once for each way in which cells of its map turn it. Cells are flipped after the diagonal swap, so
+    the swap is undone last.
     """
-    rows = cells.join(tiles.select(*keys, "firstgid", "id", F.col("pixels").alias("_source")), [*keys, "firstgid", "id"], "left")
-    bit = lambda b: F.shiftright("raw", b).bitwiseAND(F.lit(1).cast("long")) == 1
-    w, h = width.cast("int"), height.cast("int")
+    flips = F.shiftright("raw", 29).bitwiseAND(F.lit(7).cast("long")).cast("int")
+    rows = cells.withColumn("_w", width.cast("int")).withColumn("_h", height.cast("int")).withColumn("_flips", F.when(F.col("firstgid").isNotNull(), flips))
+    on = [*keys, "firstgid", "id", "_flips", "_w", "_h"]
+    used = stored(rows.where("firstgid is not null").select(*on).distinct())
+    bit = lambda b: F.shiftright("_flips", b).bitwiseAND(1) == 1
+    w, h = F.col("_w"), F.col("_h")
 
     def at(p: Column) -> Column:
         x, y = p % w, F.floor(p / w).cast("int")
-        u, v = F.when(bit(31), w - 1 - x).otherwise(x), F.when(bit(30), h - 1 - y).otherwise(y)
-        return F.get("_source", (F.when(bit(29), u).otherwise(v) * w + F.when(bit(29), v).otherwise(u)).cast("int"))
-
-    places = F.sequence(F.lit(0), w * h - 1)
-    state = F.when(F.col("gid") == 0, "empty").when(F.col("_source").isNull(), "outside").otherwise("tile")
-    pixels = F.when(F.col("gid") == 0, F.transform(places, lambda p: F.lit(0))).when(F.col("_source").isNotNull(), F.transform(places, at))
-    return rows.withColumn("state", state).withColumn("pixels", pixels).drop("_source")
+        u, v = F.when(bit(2), w - 1 - x).otherwise(x), F.when(bit(1), h - 1 - y).otherwise(y)
+        return F.get("_source", (F.when(bit(0), u).otherwise(v) * w + F.when(bit(0), v).otherwise(u)).cast("int"))
+
+    sources = tile_ops.looked_up(tiles.select(*keys, "firstgid", "id", F.col("pixels").alias("_source")), used, [*keys, "firstgid", "id"]).where("_source is not null")
+    turned = stored(sources.select(*on, F.transform(F.sequence(F.lit(0), w * h - 1), at).alias("pixels")))
+    out = _looked_up(rows, turned, on)
+    state = F.when(F.col("gid") == 0, "empty").when(F.col("pixels").isNull(), "outside").otherwise("tile")
+    return out.withColumn("state", state).withColumn("pixels", F.when(F.col("gid") == 0, F.array_repeat(F.lit(0), w * h)).otherwise(F.col("pixels"))).drop("_flips", "_w", "_h")
 
 
 def flatten(loaded: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
