@@ -139,3 +139,36 @@ def test_first_fit_log(spark):
                 palettes[expected:] = [palettes[expected] | s, *palettes[expected + 1 :]] if expected < len(palettes) else [s]
             assert got[i, b * 3] == expected
     assert out.where(F.col("palette").isNull()).count() == 0
+
+
+def test_cells_are_read_twice(spark):
+    """Once for the patterns and once for their ids, however costly they are to make."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    cells = frame(spark, {1: art(random.Random(4), 30, 1)})
+    got = cp.compress(cells.mapInArrow(counted, cells.schema), 4, 1, True, 1)
+    assert got["cells"].count() == 30 and got["summary"].first().tiles == 4
+    assert read.value <= 60
+
+
+def test_noise_of_cells(spark, tmp_path):
+    """Patterns that are made once for each place where the noise begins are those of every cell."""
+    from tilefold.plans import queries as plans
+
+    part = spark.createDataFrame([(i, abs(i) * 7 % 50 + 1) for i in [*range(-9, 0), *range(20), *range(395, 420)]], "p_partkey long, p_size int")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    rows = {r.cell: r.tile for r in plans.mosaic(spark, str(tmp_path)).select("cell", "tile").collect()}
+    for noise in (1, 5):
+        found = {(r.image_id, r.cell): bytes(r.pattern) for r in plans.rgba_cells(spark, str(tmp_path), noise).collect()}
+        rest = lambda a: a % noise if a >= 0 else -(-a % noise)  # noqa: E731, B023
+        expected = {}
+        for c, tile in rows.items():
+            rgba = [x for p, v in enumerate(tile) for x in (v * 85 - (rest(p * 5 + c * 3) if v else 0), 255 - v * 85, v * 17, 255)]
+            expected[c // 400, c % 400 if c >= 0 else -(-c % 400)] = rgba
+        ok = {k for k, v in expected.items() if max(v) < 256}
+        assert found.keys() == expected.keys() and all(found[k] == bytes(expected[k]) for k in ok) and len(ok) >= 45

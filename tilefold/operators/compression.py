@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..working import stored
-from .tiles import numbered, retained
+from .tiles import looked_up, numbered, retained
 
 #: Tiles of a chunk; a pair of chunks is one unit of work.
 CHUNK = 512
@@ -222,6 +222,14 @@ def merged(cells: DataFrame, tolerance: float = 0, flips: bool = False, channels
     Returns ``cells`` (image_id, cell, id of its pattern ``pid``, tile, flags, exact: whether the pattern is
     the tile's) and ``tiles`` (image_id, tile, drawn: its pattern). ``tolerance``: mean absolute difference of a byte.
     """
+    return merged_patterns(cells, tolerance, flips, channels)[:2]
+
+
+def merged_patterns(cells: DataFrame, tolerance: float, flips: bool, channels: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``merged``, and the distinct patterns (image_id, pid: the first cell of the pattern, pattern).
+
+    Cells are read twice: for their patterns, and for the pattern's id that stands for it from then on.
+    """
     limit = float(tolerance) * 64 * channels
     marked = F.min(F.when(F.col("marked"), F.col("cell")))
     patterns = cells.groupBy("image_id", "pattern").agg(F.min("cell").alias("pid"), marked.alias("marked"))
@@ -238,11 +246,12 @@ def merged(cells: DataFrame, tolerance: float = 0, flips: bool = False, channels
     near = mine.where("joins is not null").select("image_id", "pattern", "pid", F.col("joins").alias("leads")).join(tiles, ["image_id", "leads"]).select("image_id", "pattern", "pid", "leads", "tile", "drawn")
     both = first_flags(exact, 0, flips, channels).select("image_id", "pid", F.lit(True).alias("exact"), "leads", "tile", "flags").unionByName(first_flags(near, limit, flips, channels).select("image_id", "pid", F.lit(False).alias("exact"), "leads", "tile", "flags"))
     options = both.groupBy("image_id", "pid").agg(*[F.max(F.when(F.col("exact") == kind, F.struct("leads", "tile", "flags"))).alias(name) for kind, name in ((True, "own"), (False, "other"))])
-    placed = cells.select("image_id", "cell", "pattern", "marked").join(patterns.select("image_id", "pattern", "pid"), ["image_id", "pattern"]).join(options, ["image_id", "pid"])
+    known = stored(patterns.select("image_id", "pattern", "pid").join(options, ["image_id", "pid"]))
+    placed = looked_up(cells.select("image_id", "cell", "pattern", "marked"), known, ["image_id", "pattern"])
     own = F.coalesce(F.col("own.leads") <= F.col("cell"), F.lit(False))
     use = F.when(own, F.col("own")).otherwise(F.col("other"))
     out = placed.select("image_id", "cell", "pid", "marked", use["tile"].alias("tile"), use["flags"].alias("flags"), own.alias("exact"))
-    return out, tiles.select("image_id", "tile", "drawn")
+    return out, tiles.select("image_id", "tile", "drawn"), patterns.select("image_id", "pid", "pattern")
 
 
 def nearest_kept(tiles: DataFrame, kept: DataFrame, flips: bool, channels: int) -> DataFrame:
@@ -271,7 +280,7 @@ def compress(cells: DataFrame, target: int, tolerance: float = 0, flips: bool =
     cell), ``tiles`` (image_id, tile, pattern), and ``summary`` (image_id, original_tiles, marked_tiles, tiles,
     substitutions, squared_error, mse). A target below 1 counts as 1. Cells must be all of an image, once each.
     """
-    placed, tiles = merged(cells, tolerance, flips, channels)
+    placed, tiles, patterns = merged_patterns(cells, tolerance, flips, channels)
     placed = stored(placed)
     used = placed.groupBy("image_id", "tile").agg(F.count("*").alias("uses"), F.max(F.col("marked").cast("int")).alias("marked"))
     used = stored(tiles.join(used, ["image_id", "tile"]))
@@ -286,8 +295,7 @@ def compress(cells: DataFrame, target: int, tolerance: float = 0, flips: bool =
     found = placed.join(match, ["image_id", "tile"]).select("image_id", "cell", "pid", "exact", F.col("index").alias("tile"), F.col("flags").bitwiseXOR(F.col("turn")).alias("flags"))
 
     # the error of a redrawn cell depends on its pattern, tile and flags alone
-    source = cells.select("image_id", F.col("cell").alias("pid"), "pattern")
-    kinds = found.select("image_id", "pid", "tile", "flags").distinct().join(source, ["image_id", "pid"]).join(kept.select("image_id", F.col("index").alias("tile"), "drawn"), ["image_id", "tile"])
+    kinds = found.select("image_id", "pid", "tile", "flags").distinct().join(patterns, ["image_id", "pid"]).join(kept.select("image_id", F.col("index").alias("tile"), "drawn"), ["image_id", "tile"])
     errors = redrawn_errors(kinds, channels).select("image_id", "pid", "tile", "flags", "error")
     out = stored(found.join(errors, ["image_id", "pid", "tile", "flags"]).select("image_id", "cell", "pid", "exact", "tile", "flags", "error"))
     # patterns that joined another tile somewhere count as tiles of the original too
